@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from passlake.llm.common import BROADCAST_ROWS, Workspace, gapless_rank, small,
 CAPACITY = 1024
 END_ID = 2
 #: Distinct chunks (a word with the space before it) whose ids a Python worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_IDS = f"{_PIECES}, ids array<int>"
 #: White space of Unicode, and the four separators, other than the space and the line feed.
@@ -41,6 +42,17 @@ def _load(path: str):
     return found
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that later tasks find the chunks of earlier ones."""
+    return Encoder(path)
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -55,7 +67,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     @staticmethod
     def chunks(text: str) -> list[str] | None:
@@ -74,7 +86,7 @@ class Encoder:
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+                known[c] = _bytes(e.ids)
         return [b"".join([known[c] for c in parts]) if parts is not None else self._ids(t) for t, parts in zip(texts, cut, strict=True)]
 
 
@@ -88,13 +100,13 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         for batch in batches:
             rows, ids = [], []
             texts = batch["text"].tolist()
             for at in range(0, len(texts), 256):
                 part = slice(at, at + 256)
-                for uid, doc, raw in zip(batch["uid"][part], batch["doc_id"].astype(object)[part], encoder.encode(texts[part]), strict=True):
+                for uid, doc, raw in zip(batch["uid"][part], batch["doc_id"].astype(object)[part], tokens.encode(texts[part]), strict=True):
                     raw += end
                     for k, (start, length) in enumerate(cut_points(len(raw) // 4, capacity)):
                         own = raw[4 * start : 4 * (start + length)]
