@@ -22,6 +22,8 @@ SEED = 20_240_717
 #: Signatures of pairs at 0.8 agree in 0.8 of 150 minima, with a deviation of 0.033: below this share no set is compared.
 LEAST_AGREEMENT = 0.6
 _CACHE = 200_000
+#: Hashes of words that a Python worker has met; later tasks find those of earlier ones.
+_SEEN: dict[bytes, int] = {}
 _FEATURES = (
     "uid long, doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, signature binary"
 )
@@ -81,8 +83,7 @@ def features(text: str | None, words: int, hashes: Hashes, bands: int, seen: dic
 
 def _pair_check(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, int] = {}
-        key, base = None, None
+        seen, key, base = _SEEN, None, None
         for batch in batches:
             u, v = [], []
             for a, b, sa, sb, ta, tb in batch[["a", "b", "sig_a", "sig_b", "text_a", "text_b"]].itertuples(index=False):
@@ -128,7 +129,7 @@ def near_duplicates(
     hashes_n = bands * rows_per_band
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, int] = {}
+        seen = _SEEN
         hashes = Hashes(hashes_n)
         names = ["n_shingles", "set_key", "bands", "signature"]
         for batch in batches:
