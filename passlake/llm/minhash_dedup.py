@@ -20,7 +20,9 @@ BANDS = 30
 ROWS_PER_BAND = 5
 SEED = 20_240_717
 #: Signatures of pairs at 0.8 agree in 0.8 of 150 minima, with a deviation of 0.033: below this share no set is compared.
-LEAST_AGREEMENT = 0.6
+LEAST_AGREEMENT = 0.65
+#: Members of a band that are compared with as many others at once.
+BLOCK_ROWS = 64
 _CACHE = 200_000
 #: Hashes of words that a Python worker has met; later tasks find those of earlier ones.
 _SEEN: dict[bytes, int] = {}
@@ -70,7 +72,7 @@ class Hashes:
 
 
 def features(text: str | None, words: int, hashes: Hashes, bands: int, seen: dict[bytes, int]) -> tuple:
-    """Set size, 128-bit key of the set, hashed bands and signature."""
+    """Set size, 128-bit key of the set, hashed bands and signature (the lower 16 bits of each minimum)."""
     values = shingles(text, words, seen)
     if not len(values):
         return 0, None, [], None
@@ -78,20 +80,43 @@ def features(text: str | None, words: int, hashes: Hashes, bands: int, seen: dic
     keys = [
         xxhash.xxh3_64_intdigest(x.tobytes(), seed=k) - (1 << 63) for k, x in enumerate(minima.reshape(bands, -1))
     ]
-    return len(values), xxhash.xxh3_128_digest(values.tobytes()), keys, minima.tobytes()
+    return len(values), xxhash.xxh3_128_digest(values.tobytes()), keys, minima.astype(np.uint16).tobytes()
 
 
-def _pair_check(words: int, percent: int):
+def _signature_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs whose signatures agree in enough places."""
+    for batch in batches:
+        if len(batch):
+            left, right = (
+                np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), -1) for c in ("sig_a", "sig_b")
+            )
+            batch = batch[(left == right).mean(axis=1) >= LEAST_AGREEMENT]
+        yield batch[["a", "b"]]
+
+
+def _block_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of two blocks of a band that lie in different components and whose signatures agree in enough places."""
+    for batch in batches:
+        found = [np.empty((0, 2), np.int64)]
+        for x in batch.itertuples(index=False):
+            left, right = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (x.sigs_a, x.sigs_b))
+            alike = (left[:, None, :] == right[None, :, :]).mean(axis=2) >= LEAST_AGREEMENT
+            i, k = np.nonzero(alike & (np.asarray(x.labels_a)[:, None] != np.asarray(x.labels_b)[None, :]))
+            pair = np.stack([np.asarray(x.nodes_a)[i], np.asarray(x.nodes_b)[k]], axis=1)
+            found.append(np.sort(pair, axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _set_check(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, key, base = _SEEN, None, None
+        key, base = None, None
         for batch in batches:
             u, v = [], []
-            for a, b, sa, sb, ta, tb in batch[["a", "b", "sig_a", "sig_b", "text_a", "text_b"]].itertuples(index=False):
-                if np.mean(np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)) < LEAST_AGREEMENT:
-                    continue
+            for a, b, ta, tb in batch[["a", "b", "text_a", "text_b"]].itertuples(index=False):
                 if a != key:
-                    key, base = a, shingles(ta, words, seen)
-                other = shingles(tb, words, seen)
+                    key, base = a, shingles(ta, words, _SEEN)
+                other = shingles(tb, words, _SEEN)
                 common = len(np.intersect1d(base, other, assume_unique=True))
                 if 100 * common >= percent * (len(base) + len(other) - common):
                     u.append(a)
@@ -112,11 +137,11 @@ def near_duplicates(
     """One row for each row of docs: uid, doc_id, text_hash, n_shingles, component_id, kept.
 
     1. Documents with equal shingle sets are one node, so exact copies never form pairs.
-    2. Nodes meet in bands. In each band with several nodes a few of them are pivots; each pivot is
-       compared with the others by signature and then by full set, and never all with all. Found
-       links are merged into components; only bands that still hold several components
-       and nodes that were not pivots get further (four times as many) pivots. At the end each pair that shares
-       a band was compared or lies in one component.
+    2. Nodes meet in bands. First each band's nodes are compared with its first and its last node, by signature and
+       then by full set; components of the links are formed. In bands that still hold several
+       components, the nodes outside the largest one are compared with all nodes of other components, in blocks of
+       signatures; pairs that agree are compared by full set. So each pair that shares a band was compared or
+       lies in one component, and a group of copies yields links in proportion to its size.
     3. Components come from alternating large-star and small-star rounds.
 
     component_id is the smallest doc_id of the component and kept is doc_id = component_id. Null and
@@ -165,53 +190,54 @@ def near_duplicates(
     )
     sets = work.save(sets.join(text_of, "node"), "candidates")
 
-    edges = None
-    labels = None
-    open_, pivots = members.withColumn("label", F.col("node")), 1
-    while True:
-        # One pivot for each part of a band; the parts are dealt by a hash that changes with their number.
-        part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = work.save(
-            open_.where("not done" if "done" in open_.columns else "true")
-            .groupBy("band", part.alias("part"))
-            .agg(F.min("node").alias("pivot"), F.min_by("label", "node").alias("pivot_label")),
-            "pivots",
-        ).drop("part")
-        pairs = (
-            open_.join(chosen, "band")
-            .where("label <> pivot_label")
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            .distinct()
-        )
-        left = sets.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"), F.col("text").alias("text_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"), F.col("text").alias("text_b"))
-        checked = pairs.join(right, "b").join(left, "a").mapInPandas(_pair_check(words, percent), "u long, v long")
-        new = work.save(checked, "links")
-        edges = new if edges is None else work.save(edges.union(new), "links")
-        labels = work.save(connected_components(work, edges), "labels")
-        done = chosen.select("band", F.col("pivot").alias("node"), F.lit(True).alias("now_done"))
-        state = open_ if "done" in open_.columns else open_.withColumn("done", F.lit(False))
-        state = (
-            state.drop("label")
-            .join(labels, "node", "left")
-            .join(done, ["band", "node"], "left")
-            .select("band", "node", F.coalesce("label", "node").alias("label"), (F.col("done") | F.coalesce("now_done", F.lit(False))).alias("done"))
-        )
-        state = work.save(state, "state")
-        unsettled = (
-            state.groupBy("band")
-            .agg(
-                F.min("label").alias("p"),
-                F.max("label").alias("q"),
-                F.min(F.when(~F.col("done"), F.col("label"))).alias("r"),
-                F.max(F.when(~F.col("done"), F.col("label"))).alias("s"),
-            )
-            .where("p <> q and r <> s")
-        )
-        open_ = work.save(state.join(unsettled.select("band"), "band"), "open")
-        if open_.isEmpty():
-            break
-        pivots *= 4
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that full sets confirm."""
+        text = sets.select("node", "text")
+        right = text.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        left = text.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        return work.save(pairs.join(right, "b").join(left, "a").mapInPandas(_set_check(words, percent), "u long, v long"), "links")
+
+    # Stars around the first and the last node of each band.
+    ends = work.save(crowded.select("band", F.explode(F.array("p", "q")).alias("pivot")), "ends")
+    pairs = (
+        members.join(ends, "band")
+        .where("node <> pivot")
+        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        .distinct()
+    )
+    sig = sets.select("node", "signature")
+    pairs = pairs.join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
+    pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
+    edges = links(work.save(pairs.mapInPandas(_signature_check, "a long, b long"), "alike"))
+    labels = work.save(connected_components(work, edges), "labels")
+
+    # The rest: nodes outside a band's largest component against all of the band, block by block.
+    state = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    state = work.save(state, "state")
+    parts = state.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("band").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", "n").alias("main")
+    )
+    # Two nodes in two components were compared as first and last node.
+    open_ = work.save(open_.where("labels > 1 and n > 2").drop("labels"), "open")
+    rest = state.join(open_, "band").join(sig, "node")
+    rest = work.save(
+        rest.groupBy(
+            "band",
+            (F.col("label") == F.col("main")).alias("main"),
+            F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_ROWS)).alias("block"),
+        ).agg(F.collect_list(F.struct("node", "label", "signature")).alias("x")),
+        "blocks",
+    )
+    one = rest.where(~F.col("main")).select(
+        "band", F.col("x.node").alias("nodes_a"), F.col("x.label").alias("labels_a"), F.col("x.signature").alias("sigs_a")
+    )
+    other = rest.select(
+        "band", F.col("x.node").alias("nodes_b"), F.col("x.label").alias("labels_b"), F.col("x.signature").alias("sigs_b")
+    )
+    pairs = one.join(other, "band").drop("band").mapInPandas(_block_check, "a long, b long").distinct()
+    more = links(work.save(pairs, "alike"))
+    labels = work.save(connected_components(work, edges.union(more)), "labels")
     named = nodes.join(labels, "node", "left").select(
         "set_key", "least_id", F.coalesce("label", "node").alias("label")
     )
