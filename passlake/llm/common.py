@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Rows up to which a side of two or three numbers may be broadcast.
 BROADCAST_ROWS = 10_000
+#: Rows of two or three numbers (5 MB or so) up to which a list of row keys is broadcast to a scan of texts.
+BROADCAST_KEYS = 200_000
 
 
 class Workspace:
@@ -35,6 +39,18 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Python functions get so many rows at once: for jobs on rows of many kilobytes each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def with_uid(df: DataFrame) -> DataFrame:
     """A number for each row. Only for tables that are saved before the number is used."""
     return df.withColumn("uid", F.monotonically_increasing_id())

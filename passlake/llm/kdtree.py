@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passlake.llm.common import Workspace
+from passlake.llm.common import Workspace, arrow_rows
 
 TOP = 5
 SCALE = 256
@@ -175,7 +175,8 @@ def top_k(
     first = packed.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).withColumn(
         "least", F.pandas_udf(fresh, "binary")("query_ids")
     )
-    found = work.save(_meet(first, trees).mapInPandas(_search(k), _FOUND), "first")
+    with arrow_rows(spark, 4):  # a row has a whole shard and a block of queries
+        found = work.save(_meet(first, trees).mapInPandas(_search(k), _FOUND), "first")
 
     def kth(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         scores = right.groupby("query_id")["score"].agg(["size", "min"])
@@ -191,7 +192,8 @@ def top_k(
     bounded = work.save(bounded, "bounded")
     rest = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     rest = rest.where(F.col("shard") != F.pmod(F.col("block"), F.lit(shards)))
-    later = work.save(_meet(rest, trees).mapInPandas(_search(k), _FOUND), "later")
+    with arrow_rows(spark, 4):
+        later = work.save(_meet(rest, trees).mapInPandas(_search(k), _FOUND), "later")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.union(later)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passlake.llm.common import Workspace, small
+from passlake.llm.common import BROADCAST_KEYS, Workspace, small
 
 #: Shorter normalised lines (headings, list marks) are left alone.
 MIN_CHARS = 20
-#: Candidate lines, of about 40 bytes each, up to which their list is broadcast to the scan.
-CANDIDATE_ROWS = 200_000
 #: Aimed length of the segments within which deletion variants are made.
 SEGMENT_CHARS = 24
 
@@ -96,7 +94,7 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_C
     candidates = work.save(candidates, "candidates")
     texts = work.save(
         exploded.select("row_key", "line_no", "norm", "n")
-        .join(small(candidates, candidates.count(), CANDIDATE_ROWS), ["row_key", "line_no"])
+        .join(small(candidates, candidates.count(), BROADCAST_KEYS), ["row_key", "line_no"])
         .dropDuplicates(["row_key", "line_no"])
         .select("first", "norm", "n", "options"),
         "texts",

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passlake.llm.common import Workspace, small, with_uid
+from passlake.llm.common import BROADCAST_KEYS, Workspace, arrow_rows, small, with_uid
 from passlake.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -22,7 +22,11 @@ SEED = 20_240_717
 #: Signatures of pairs at 0.8 agree in 0.8 of 150 minima, with a deviation of 0.033: below this share no set is compared.
 LEAST_AGREEMENT = 0.65
 #: Members of a band that are compared with as many others at once.
-BLOCK_ROWS = 64
+BLOCK_ROWS = 32
+#: Shingle hashes of a sketch, the smallest ones: sets up to this size are held whole.
+SKETCH = 1024
+#: Sketches of larger sets estimate a similarity of 0.8 with a deviation of 0.013 at most.
+LEAST_ESTIMATE = 0.74
 _CACHE = 200_000
 #: Hashes of words that a Python worker has met; later tasks find those of earlier ones.
 _SEEN: dict[bytes, int] = {}
@@ -94,18 +98,49 @@ def _signature_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]]
 
 
-def _block_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of two blocks of a band that lie in different components and whose signatures agree in enough places."""
-    for batch in batches:
-        found = [np.empty((0, 2), np.int64)]
-        for x in batch.itertuples(index=False):
-            left, right = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (x.sigs_a, x.sigs_b))
-            alike = (left[:, None, :] == right[None, :, :]).mean(axis=2) >= LEAST_AGREEMENT
-            i, k = np.nonzero(alike & (np.asarray(x.labels_a)[:, None] != np.asarray(x.labels_b)[None, :]))
-            pair = np.stack([np.asarray(x.nodes_a)[i], np.asarray(x.nodes_b)[k]], axis=1)
-            found.append(np.sort(pair, axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _sketches(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique((shingles(t, words, _SEEN) >> np.uint64(32)).astype(np.uint32)) for t in batch["text"]]
+            found = pd.DataFrame({"n": [len(x) for x in sets], "sketch": [x[:SKETCH].tobytes() for x in sets]})
+            yield pd.concat([batch[["node", "signature"]].reset_index(drop=True), found], axis=1)
+
+    return run
+
+
+def _likely(a: np.ndarray, b: np.ndarray, na: int, nb: int, percent: int) -> bool:
+    """Whether two sets may reach the similarity: exactly if the sketches hold both, else by the smallest hashes of their union."""
+    if na <= SKETCH and nb <= SKETCH:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= percent * (na + nb - common)
+    smallest = np.union1d(a, b)[:SKETCH]
+    common = np.intersect1d(np.intersect1d(a, b, assume_unique=True), smallest, assume_unique=True)
+    return len(common) >= LEAST_ESTIMATE * len(smallest)
+
+
+def _block_check(bands: int, percent: int):
+    """Pairs of two blocks of a band that lie in different components and may be similar enough.
+
+    A pair is looked at in the first band that its signatures share, and only there.
+    """
+
+    def table(values: list[bytes], kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for x in batch.itertuples(index=False):
+                same = table(x.a["signature"], np.uint16)[:, None, :] == table(x.b["signature"], np.uint16)[None, :, :]
+                first = same.reshape(*same.shape[:2], bands, -1).all(axis=3).argmax(axis=2) == x.number
+                apart = np.asarray(x.a["label"])[:, None] != np.asarray(x.b["label"])[None, :]
+                left, right = ([np.frombuffer(v, np.uint32) for v in y["sketch"]] for y in (x.a, x.b))
+                for i, k in zip(*np.nonzero(first & apart & (same.mean(axis=2) >= LEAST_AGREEMENT)), strict=True):
+                    if _likely(left[i], right[k], x.a["n"][i], x.b["n"][k], percent):
+                        found.append(sorted((x.a["node"][i], x.b["node"][k])))
+            yield pd.DataFrame(found, columns=["a", "b"]).astype(np.int64).drop_duplicates()
+
+    return run
 
 
 def _set_check(words: int, percent: int):
@@ -140,7 +175,7 @@ def near_duplicates(
     2. Nodes meet in bands. First each band's nodes are compared with its first and its last node, by signature and
        then by full set; components of the links are formed. In bands that still hold several
        components, the nodes outside the largest one are compared with all nodes of other components, in blocks of
-       signatures; pairs that agree are compared by full set. So each pair that shares a band was compared or
+       signatures and sketches; pairs that agree are compared by full set. So each pair that shares a band was compared or
        lies in one component, and a group of copies yields links in proportion to its size.
     3. Components come from alternating large-star and small-star rounds.
 
@@ -171,9 +206,9 @@ def near_duplicates(
         "nodes",
     )
     members = (
-        filled.select("uid", F.explode("bands").alias("band"))
+        filled.select("uid", "bands")
         .join(nodes.select(F.col("node").alias("uid")), "uid")
-        .select("band", F.col("uid").alias("node"))
+        .select(F.col("uid").alias("node"), F.posexplode("bands").alias("number", "band"))
     )
     members = work.save(members, "members")
     crowded = members.groupBy("band").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q")
@@ -184,7 +219,7 @@ def near_duplicates(
     where = work.save(where, "wanted")
     text_of = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(small(where, where.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")))
+        .join(small(where, where.count(), BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")))
         .select("node", "text")
         .dropDuplicates(["node"])
     )
@@ -212,7 +247,7 @@ def near_duplicates(
     labels = work.save(connected_components(work, edges), "labels")
 
     # The rest: nodes outside a band's largest component against all of the band, block by block.
-    state = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    state = members.join(labels, "node", "left").select("band", "number", "node", F.coalesce("label", "node").alias("label"))
     state = work.save(state, "state")
     parts = state.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("band").agg(
@@ -220,23 +255,27 @@ def near_duplicates(
     )
     # Two nodes in two components were compared as first and last node.
     open_ = work.save(open_.where("labels > 1 and n > 2").drop("labels"), "open")
-    rest = state.join(open_, "band").join(sig, "node")
-    rest = work.save(
-        rest.groupBy(
-            "band",
-            (F.col("label") == F.col("main")).alias("main"),
-            F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_ROWS)).alias("block"),
-        ).agg(F.collect_list(F.struct("node", "label", "signature")).alias("x")),
-        "blocks",
-    )
-    one = rest.where(~F.col("main")).select(
-        "band", F.col("x.node").alias("nodes_a"), F.col("x.label").alias("labels_a"), F.col("x.signature").alias("sigs_a")
+    rest = work.save(state.join(open_, "band"), "rest")
+    sketch = sets.join(rest.select("node").distinct(), "node").select("node", "signature", "text")
+    sketch = work.save(
+        sketch.mapInPandas(_sketches(words), "node long, signature binary, n long, sketch binary"), "sketches"
     )
-    other = rest.select(
-        "band", F.col("x.node").alias("nodes_b"), F.col("x.label").alias("labels_b"), F.col("x.signature").alias("sigs_b")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_band") / BLOCK_ROWS))
+    blocks = (
+        rest.withColumnRenamed("n", "n_band")
+        .join(sketch, "node")
+        .groupBy("band", "number", (F.col("label") == F.col("main")).alias("in_main"), block.alias("block"))
+        .agg(F.collect_list(F.struct("node", "label", "signature", "n", "sketch")).alias("x"))
+        .select("band", "number", "in_main", F.struct(*[F.col(f"x.{c}").alias(c) for c in ("node", "label", "signature", "n", "sketch")]).alias("x"))
     )
-    pairs = one.join(other, "band").drop("band").mapInPandas(_block_check, "a long, b long").distinct()
-    more = links(work.save(pairs, "alike"))
+    blocks = work.save(blocks, "blocks")
+    one = blocks.where(~F.col("in_main")).select("band", "number", F.col("x").alias("a"))
+    other = blocks.select("band", F.col("x").alias("b"))
+    pairs = one.join(other, "band").select("number", "a", "b")
+    pairs = pairs.mapInPandas(_block_check(bands, percent), "a long, b long").distinct()
+    with arrow_rows(spark, 64):  # a row has two blocks of sketches, 300 KB at most
+        pairs = work.save(pairs, "alike")
+    more = links(pairs)
     labels = work.save(connected_components(work, edges.union(more)), "labels")
     named = nodes.join(labels, "node", "left").select(
         "set_key", "least_id", F.coalesce("label", "node").alias("label")
@@ -260,7 +299,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     verdicts = near_duplicates(spark, docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"))
     gone = Workspace(spark, "minhash").save(verdicts.where(~F.col("kept")).drop("kept"), "dropped")
-    gone = small(gone, gone.count()).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = small(gone, gone.count(), BROADCAST_KEYS).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash"))
     return docs.join(gone, same, "left_anti")
 
