@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from passlake.llm.common import BROADCAST_KEYS, Workspace, small, with_uid
+from passlake.llm.common import BROADCAST_KEYS, Workspace, small
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -24,10 +26,17 @@ _CACHE = 200_000
 #: Hashes of words that a Python worker has met; later tasks find those of earlier ones.
 _SEEN: dict[bytes, int] = {}
 _MASK = (1 << 63) - 1
-_MEASURES = (
-    "uid long, doc_id long, text_hash long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, sig long, line_hash array<long>, line_words array<int>"
-)
+_LINES = "doc_id long, text_hash long, host string, sig long, line_hash array<long>, line_no array<int>"
+_MEASURES = {
+    "n_words": "long",
+    "word_chars": "long",
+    "n_symbols": "long",
+    "n_dup_lines": "long",
+    "n_repeat_words": "long",
+    "removed_words": "long",
+    "base_failed": "boolean",
+    "kept": "boolean",
+}
 
 
 def _grams(ids: np.ndarray, m: int) -> np.ndarray:
@@ -38,53 +47,144 @@ def _grams(ids: np.ndarray, m: int) -> np.ndarray:
     return pairs[:-1] * m + ids[2:]
 
 
-def measure(text: str | None, words_seen: dict[bytes, int]) -> tuple:
-    """Counters, near-copy signature and hashed normalised lines of one whole text."""
+def signature(text: str | None, words_seen: dict[bytes, int]) -> int:
+    """The smallest hash of the text's 3-word windows."""
+    words = text.encode("utf-8", "replace").split() if text else []
+    if not words:
+        return 0
+    hashed = []
+    for w in words:
+        h = words_seen.get(w)
+        if h is None:
+            if len(words_seen) >= _CACHE:
+                words_seen.clear()
+            h = words_seen[w] = int.from_bytes(hashlib.md5(w).digest()[:8], "big")
+        hashed.append(h)
+    h = np.array(hashed, np.uint64)
+    if len(h) < 3:
+        return int(h[0]) & _MASK
+    return int((h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)).min()) & _MASK
+
+
+def hashed_lines(text: str | None) -> tuple[list[int], list[int]]:
+    """Hash of the normalised line and line number of every line with words."""
+    hashes, places = [], []
+    for k, x in enumerate(text.encode("utf-8", "replace").split(b"\n") if text else ()):
+        if parts := x.split():
+            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(parts).lower()) - (1 << 63))
+            places.append(k)
+    return hashes, places
+
+
+def measure(text: str | None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of one whole text."""
     if not text:
-        return 0, 0, 0, 0, 0, 0, [], []
+        return 0, 0, 0, 0, 0
     raw = text.encode("utf-8", "replace")
     words = raw.split()
     n = len(words)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeats, sig = 0, 0
-    if n:
+    repeats = 0
+    if n >= 3:
         own: dict[bytes, int] = {}
         ids = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, n)
-        hashed = []
-        for w in own:
-            h = words_seen.get(w)
-            if h is None:
-                if len(words_seen) >= _CACHE:
-                    words_seen.clear()
-                h = words_seen[w] = int.from_bytes(hashlib.md5(w).digest()[:8], "big")
-            hashed.append(h)
-        h = np.array(hashed, np.uint64)[ids]
-        if n < 3:
-            sig = int(h[0]) & _MASK
-        else:
-            mixed = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)
-            sig = int(mixed.min()) & _MASK
-            _, where, counts = np.unique(_grams(ids, len(own)), return_inverse=True, return_counts=True)
-            again = counts[where] >= 2
-            covered = np.zeros(n, bool)
-            for k in range(3):
-                covered[k : n - 2 + k] |= again
-            repeats = int(covered.sum())
-    hashes, sizes = [], []
-    for x in lines:
-        parts = x.split()
-        hashes.append(xxhash.xxh3_64_intdigest(b" ".join(parts).lower()) - (1 << 63))
-        sizes.append(len(parts))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeats, sig, hashes, sizes
-
-
-def _measures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sig", "line_hash", "line_words"]
+        _, where, counts = np.unique(_grams(ids, len(own)), return_inverse=True, return_counts=True)
+        again = counts[where] >= 2
+        covered = np.zeros(n, bool)
+        for k in range(3):
+            covered[k : n - 2 + k] |= again
+        repeats = int(covered.sum())
+    return n, chars, symbols, len(lines) - len(set(lines)), repeats
+
+
+def without_lines(text: str, gone: list[int]) -> tuple[str, int]:
+    """The text without the lines of these numbers, and how many words they held."""
+    lines, numbers = text.split("\n"), set(gone)
+    words = sum(len(lines[k].encode("utf-8", "replace").split()) for k in numbers)
+    return "\n".join(x for k, x in enumerate(lines) if k not in numbers), words
+
+
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = pd.DataFrame([measure(t, _SEEN) for t in batch["text"]], columns=names, index=batch.index)
-        yield pd.concat([batch[["uid", "doc_id", "text_hash", "host"]], found], axis=1)
+        rows = [(signature(t, _SEEN), *hashed_lines(t)) for t in batch["text"]]
+        found = pd.DataFrame(rows, columns=["sig", "line_hash", "line_no"], index=batch.index)
+        yield pd.concat([batch[["doc_id", "text_hash", "host"]], found], axis=1)
+
+
+def _judge(columns: list[str], max_removed_percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("text").type
+            texts, measures = [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+                found = measure(text)
+                n, repeats, removed = found[0], found[-1], 0
+                if gone:
+                    text, removed = without_lines(text, gone)
+                failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+                texts.append(text)
+                measures.append((*found, removed, failed, not failed and 100 * removed <= max_removed_percent * n))
+            out = [pa.array(texts, kind) if c == "text" else batch.column(c) for c in columns]
+            for k, t in enumerate(_MEASURES.values()):
+                out.append(pa.array([m[k] for m in measures], pa.int64() if t == "long" else pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, [*columns, *[f"__{c}" for c in _MEASURES]])
+
+    return run
+
+
+def _removed_lines(spark: SparkSession, work: Workspace, docs: DataFrame, host: str, min_docs: int, share: float) -> DataFrame:
+    """doc_id, text_hash, host and the numbers of the lines that go, of the documents that lose any."""
+    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), _host(host).alias("host"), "text")
+    found = work.save(given.mapInPandas(_lines, _LINES), "lines")
+    key = ["doc_id", "text_hash", "host"]
+    lines = found.select(*key, "sig", F.explode(F.arrays_zip("line_hash", "line_no")).alias("x")).select(
+        *key, "sig", F.col("x.line_hash").alias("line"), F.col("x.line_no").alias("line_no")
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash"))
+    by_sig = lines.groupBy("host", "line", "sig").agg(first.alias("first"))
+    counted = by_sig.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
+    hosts = found.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    over = (
+        counted.where(F.col("n_docs") > min_docs)
+        .join(hosts, "host")
+        .where(F.col("n_docs") > F.col("host_docs") * share)
+        .select("host", "line", F.col("first.doc_id").alias("owner"), F.col("first.text_hash").alias("owner_text"))
+    )
+    removed = (
+        lines.drop("sig")
+        .join(over, ["host", "line"])
+        .where(~(F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_hash") == F.col("owner_text"))))
+        .groupBy(*key)
+        .agg(F.collect_set("line_no").alias("gone"))
+    )
+    return work.save(removed, "removed")
+
+
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host), F.lit(""))
+
+
+def _judged(
+    spark: SparkSession, docs: DataFrame, host: str, min_docs: int, share: float, max_removed_percent: int
+) -> DataFrame:
+    """docs with the text that the line rule leaves, and the measures under names that begin with __."""
+    work = Workspace(spark, "quality")
+    removed = _removed_lines(spark, work, docs, host, min_docs, share)
+    removed = small(removed, removed.count(), BROADCAST_KEYS).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("host").alias("__host"), F.col("gone").alias("__gone")
+    )
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+        & (F.xxhash64("text") == F.col("__hash"))
+        & (_host(host) == F.col("__host"))
+    )
+    joined = docs.join(removed, same, "left").select(*docs.columns, "__gone")
+    schema = StructType(list(docs.schema.fields))
+    for c, t in _MEASURES.items():
+        schema = schema.add(f"__{c}", t)
+    return joined.mapInArrow(_judge(docs.columns, max_removed_percent), schema)
 
 
 def quality_rules(
@@ -95,69 +195,38 @@ def quality_rules(
     share: float = SHARE,
     max_removed_percent: int = MAX_REMOVED_PERCENT,
 ) -> DataFrame:
-    """One row for each row of docs: uid, doc_id, text_hash, the measures, removed_words, base_failed, kept.
+    """One row for each row of docs: doc_id, text_hash, the measures, removed_words, base_failed, kept, text.
 
     Lines are normalised (ASCII lower case, single spaces) and hashed. For each host and line the
     distinct documents are counted, near copies as one: a document is known by the smallest hash
     of its 3-word windows, so that a group of copies of one page does not make its own lines
     look like boilerplate. Where a line is over its limit, all documents lose it but the one
-    with the smallest doc_id in the host. A document that loses more than
-    max_removed_percent of its words is rejected, and so is one that fails the base rules.
+    with the smallest doc_id in the host: text is what is left. text_hash and the measures are those of the text as
+    given. A document that loses more than max_removed_percent of its words is rejected, and so is one that
+    fails the base rules.
 
-    Null and empty texts count 0 words and fail the base rules. Null hosts are one host. Each
-    repeated row is judged by itself; among rows of one doc_id the first row owns the line.
-    An empty table gives an empty result; other columns are ignored.
+    Null and empty texts count 0 words and fail the base rules; they stay as they are. Null hosts are one host. Rows equal in
+    doc_id, text and host are one document and get the same result each; among texts of one doc_id that
+    with the smallest hash owns the line. An empty table gives an empty result; other columns are ignored.
     """
-    work = Workspace(spark, "quality")
-    given = with_uid(
-        docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
-    )
-    measured = work.save(given.mapInPandas(_measures, _MEASURES), "measures")
-    lines = measured.select(
-        "uid", "doc_id", "host", "sig", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x")
-    ).select("uid", "doc_id", "host", "sig", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("words"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid"))
-    by_sig = lines.groupBy("host", "line", "sig").agg(first.alias("first"))
-    counted = by_sig.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    over = (
-        counted.where(F.col("n_docs") > min_docs)
-        .join(hosts, "host")
-        .where(F.col("n_docs") > F.col("host_docs") * share)
-        .select("host", "line", F.col("first.uid").alias("owner"))
-    )
-    removed = (
-        lines.select("uid", "host", "line", "words")
-        .join(over, ["host", "line"])
-        .where("uid <> owner")
-        .groupBy("uid")
-        .agg(F.sum("words").alias("removed_words"))
-    )
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (
-        measured.drop("line_hash", "line_words", "sig", "host")
-        .join(removed, "uid", "left")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-        .withColumn("base_failed", base)
-        .withColumn(
-            "kept", ~base & (100 * F.col("removed_words") <= max_removed_percent * F.col("n_words"))
-        )
-    )
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _host(host).alias("host"), "text")
+    judged = _judged(spark, given, "host", min_docs, share, max_removed_percent)
+    return judged.select("doc_id", "text_hash", *[F.col(f"__{c}").alias(c) for c in _MEASURES], "text")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all columns.
+    """The rows of docs that the rules keep, with all columns, their text without the lines over the limit.
 
-    Equal rows share a verdict: a row is known by doc_id and its text's hash, and goes if all rows
-    of that key are rejected.
+    An n_chars column is brought up to date where a text lost lines.
     """
-    verdicts = quality_rules(spark, docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"))
-    gone = Workspace(spark, "quality").save(verdicts.where(~F.col("kept")).drop("kept"), "rejected")
-    gone = small(gone, gone.count(), BROADCAST_KEYS).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash"))
-    return docs.join(gone, same, "left_anti")
+    kept = _judged(spark, docs, "source", MIN_DOCS, SHARE, MAX_REMOVED_PERCENT).where("__kept")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        n = F.when(F.col("__removed_words") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", n)
+    return kept.select(*docs.columns)
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return quality_rules(spark, docs).drop("uid", "text_hash")
+    return quality_rules(spark, docs).drop("text_hash")

@@ -66,6 +66,34 @@ def test_quality_line_limits(spark):
     assert quality_rules.keep_quality(spark, docs).columns == docs.columns
 
 
+def test_quality_removes_lines(spark):
+    notice = ["Shared  NOTICE of this host", "shared notice of this host "]
+    rows = []
+    for k in range(140):
+        own = [" ".join(f"w{k}q{i}x{j}" for i in range(20)) for j in range(4)]
+        own[1:1] = [notice[k % 2], ""] * (1 + k % 3)
+        rows.append((k, "\n".join(own), "h" if k < 130 else None))
+    rows.append((5, rows[5][1], "h"))  # an equal row gets the same result
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars int").repartition(5)
+    holders = collections.defaultdict(dict)
+    for d, t, h in rows:
+        for line in t.split("\n"):
+            holders[h, " ".join(line.lower().split())].setdefault(t, d)
+    want = collections.Counter()
+    for d, t, h in rows:
+        kept = []
+        for line in t.split("\n"):
+            of = holders[h, " ".join(line.lower().split())]
+            if not line.split() or len(of) <= 100 or min(of.values()) == d:
+                kept.append(line)
+        want[d, "\n".join(kept)] += 1
+    got = quality_rules.quality_rules(spark, docs).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == want
+    assert all(r.removed_words == (0 if r.doc_id == 0 or r.doc_id >= 130 else 5 * (1 + r.doc_id % 3)) for r in got)
+    left = quality_rules.keep_quality(spark, docs).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in left) == want and all(r.n_chars == len(r.text) for r in left)
+
+
 def test_licences(spark):
     notices = {"apache-2.0": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "unknown": "All rights reserved.", "none": "Just a line of prose."}
     docs = spark.createDataFrame(list(enumerate(f"Some prose.\n{t}" for t in notices.values())) + [(9, None)], "doc_id long, text string")
