@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,19 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passlake.llm.common import BROADCAST_KEYS, Workspace, small
+from passlake.llm.minhash_dedup import near_duplicates
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is over its limit when more than max(MIN_DOCS, SHARE * documents of the host) distinct documents hold it.
+#: A line is over its limit when more than so many distinct documents of a host hold it.
 MIN_DOCS = 100
-SHARE = 0.02
 #: A document is depleted when lines over the limit hold more than this percentage of its words.
 MAX_REMOVED_PERCENT = 50
-_CACHE = 200_000
-#: Hashes of words that a Python worker has met; later tasks find those of earlier ones.
-_SEEN: dict[bytes, int] = {}
-_MASK = (1 << 63) - 1
-_LINES = "doc_id long, text_hash long, host string, sig long, line_hash array<long>, line_no array<int>"
+_LINES = "doc_id long, text_hash long, host string, line_hash array<long>, line_no array<int>"
 _MEASURES = {
     "n_words": "long",
     "word_chars": "long",
@@ -47,25 +42,6 @@ def _grams(ids: np.ndarray, m: int) -> np.ndarray:
     return pairs[:-1] * m + ids[2:]
 
 
-def signature(text: str | None, words_seen: dict[bytes, int]) -> int:
-    """The smallest hash of the text's 3-word windows."""
-    words = text.encode("utf-8", "replace").split() if text else []
-    if not words:
-        return 0
-    hashed = []
-    for w in words:
-        h = words_seen.get(w)
-        if h is None:
-            if len(words_seen) >= _CACHE:
-                words_seen.clear()
-            h = words_seen[w] = int.from_bytes(hashlib.md5(w).digest()[:8], "big")
-        hashed.append(h)
-    h = np.array(hashed, np.uint64)
-    if len(h) < 3:
-        return int(h[0]) & _MASK
-    return int((h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)).min()) & _MASK
-
-
 def hashed_lines(text: str | None) -> tuple[list[int], list[int]]:
     """Hash of the normalised line and line number of every line with words."""
     hashes, places = [], []
@@ -108,8 +84,7 @@ def without_lines(text: str, gone: list[int]) -> tuple[str, int]:
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(signature(t, _SEEN), *hashed_lines(t)) for t in batch["text"]]
-        found = pd.DataFrame(rows, columns=["sig", "line_hash", "line_no"], index=batch.index)
+        found = pd.DataFrame([hashed_lines(t) for t in batch["text"]], columns=["line_hash", "line_no"], index=batch.index)
         yield pd.concat([batch[["doc_id", "text_hash", "host"]], found], axis=1)
 
 
@@ -134,27 +109,29 @@ def _judge(columns: list[str], max_removed_percent: int):
     return run
 
 
-def _removed_lines(spark: SparkSession, work: Workspace, docs: DataFrame, host: str, min_docs: int, share: float) -> DataFrame:
+def _removed_lines(spark: SparkSession, work: Workspace, docs: DataFrame, host: str, min_docs: int) -> DataFrame:
     """doc_id, text_hash, host and the numbers of the lines that go, of the documents that lose any."""
-    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), _host(host).alias("host"), "text")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _host(host).alias("host"), "text")
     found = work.save(given.mapInPandas(_lines, _LINES), "lines")
     key = ["doc_id", "text_hash", "host"]
-    lines = found.select(*key, "sig", F.explode(F.arrays_zip("line_hash", "line_no")).alias("x")).select(
-        *key, "sig", F.col("x.line_hash").alias("line"), F.col("x.line_no").alias("line_no")
+    lines = found.select(*key, F.explode(F.arrays_zip("line_hash", "line_no")).alias("x")).select(
+        *key, F.col("x.line_hash").alias("line"), F.col("x.line_no").alias("line_no")
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash"))
-    by_sig = lines.groupBy("host", "line", "sig").agg(first.alias("first"))
-    counted = by_sig.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
-    hosts = found.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    over = (
-        counted.where(F.col("n_docs") > min_docs)
-        .join(hosts, "host")
-        .where(F.col("n_docs") > F.col("host_docs") * share)
-        .select("host", "line", F.col("first.doc_id").alias("owner"), F.col("first.text_hash").alias("owner_text"))
+    by_text = lines.groupBy("host", "line", "text_hash").agg(first.alias("first"))
+    counted = by_text.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
+    often = work.save(
+        counted.where(F.col("n_docs") > min_docs).select(
+            "host", "line", F.col("first.doc_id").alias("owner"), F.col("first.text_hash").alias("owner_text")
+        ),
+        "often",
     )
+    often = small(often, often.count())
+    held = work.save(lines.join(often.select("host", "line"), ["host", "line"]), "held")
+    over = often.join(_distinct(spark, work, given, held).where(F.col("n_docs") > min_docs), ["host", "line"]).drop("n_docs")
+    over = work.save(over, "over")
     removed = (
-        lines.drop("sig")
-        .join(over, ["host", "line"])
+        held.join(small(over, over.count()), ["host", "line"])
         .where(~(F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_hash") == F.col("owner_text"))))
         .groupBy(*key)
         .agg(F.collect_set("line_no").alias("gone"))
@@ -162,16 +139,30 @@ def _removed_lines(spark: SparkSession, work: Workspace, docs: DataFrame, host:
     return work.save(removed, "removed")
 
 
+def _distinct(spark: SparkSession, work: Workspace, given: DataFrame, held: DataFrame) -> DataFrame:
+    """host, line, n_docs: distinct documents that hold a line of held, near copies as one.
+
+    Near copies are those of op7: texts linked by a similarity of their whole sets of shingles. Only texts that hold such a line are compared.
+    """
+    texts = held.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id")).alias("first"))
+    texts = work.save(texts.select(F.col("text_hash").alias("__hash"), F.col("first.doc_id").alias("__id")), "holders")
+    one = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    compared = given.join(small(texts, texts.count(), BROADCAST_KEYS), one).select(F.col("__hash").alias("doc_id"), "text")
+    copies = near_duplicates(spark, compared).groupBy(F.col("doc_id").alias("text_hash")).agg(F.min("component_id").alias("document"))
+    each = held.select("host", "line", "text_hash").distinct().join(copies, "text_hash").select("host", "line", "document").distinct()
+    return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 def _host(host: str) -> Column:
     return F.coalesce(F.col(host), F.lit(""))
 
 
 def _judged(
-    spark: SparkSession, docs: DataFrame, host: str, min_docs: int, share: float, max_removed_percent: int
+    spark: SparkSession, docs: DataFrame, host: str, min_docs: int, max_removed_percent: int
 ) -> DataFrame:
     """docs with the text that the line rule leaves, and the measures under names that begin with __."""
     work = Workspace(spark, "quality")
-    removed = _removed_lines(spark, work, docs, host, min_docs, share)
+    removed = _removed_lines(spark, work, docs, host, min_docs)
     removed = small(removed, removed.count(), BROADCAST_KEYS).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("host").alias("__host"), F.col("gone").alias("__gone")
     )
@@ -192,16 +183,15 @@ def quality_rules(
     docs: DataFrame,
     host: str = "source",
     min_docs: int = MIN_DOCS,
-    share: float = SHARE,
     max_removed_percent: int = MAX_REMOVED_PERCENT,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, the measures, removed_words, base_failed, kept, text.
 
     Lines are normalised (ASCII lower case, single spaces) and hashed. For each host and line the
-    distinct documents are counted, near copies as one: a document is known by the smallest hash
-    of its 3-word windows, so that a group of copies of one page does not make its own lines
-    look like boilerplate. Where a line is over its limit, all documents lose it but the one
-    with the smallest doc_id in the host: text is what is left. text_hash and the measures are those of the text as
+    distinct texts are counted. Where they pass the limit they are compared by their whole sets of shingles and
+    near copies (see near_duplicates) count as one document, so that a group of copies of one page does not make its own lines
+    look like boilerplate. The limit is a number of documents, whatever the size of the host. Where a line is over its limit, all
+    documents lose it but the one with the smallest doc_id in the host: text is what is left. text_hash and the measures are those of the text as
     given. A document that loses more than max_removed_percent of its words is rejected, and so is one that
     fails the base rules.
 
@@ -210,7 +200,7 @@ def quality_rules(
     with the smallest hash owns the line. An empty table gives an empty result; other columns are ignored.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _host(host).alias("host"), "text")
-    judged = _judged(spark, given, "host", min_docs, share, max_removed_percent)
+    judged = _judged(spark, given, "host", min_docs, max_removed_percent)
     return judged.select("doc_id", "text_hash", *[F.col(f"__{c}").alias(c) for c in _MEASURES], "text")
 
 
@@ -219,7 +209,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     An n_chars column is brought up to date where a text lost lines.
     """
-    kept = _judged(spark, docs, "source", MIN_DOCS, SHARE, MAX_REMOVED_PERCENT).where("__kept")
+    kept = _judged(spark, docs, "source", MIN_DOCS, MAX_REMOVED_PERCENT).where("__kept")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         n = F.when(F.col("__removed_words") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))

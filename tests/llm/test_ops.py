@@ -94,6 +94,19 @@ def test_quality_removes_lines(spark):
     assert collections.Counter((r.doc_id, r.text) for r in left) == want and all(r.n_chars == len(r.text) for r in left)
 
 
+def test_quality_counts_distinct_documents(spark):
+    notice = " ".join(f"notice{k}" for k in range(170))
+    rows = [(k, f"{notice}\n" + " ".join(f"own{k}x{j}" for j in range(30)), "h") for k in range(160)]  # 85 % one notice each
+    page = [" ".join(f"page{k}x{j}" for j in range(60)) for k in range(5)]
+    rows += [(1000 + k, "\n".join(page) + f"\nedit{k} of this page", "h") for k in range(130)]  # near copies of one page
+    rows += [(2000 + k, " ".join(f"other{k}x{j}" for j in range(60)), "h") for k in range(7000)]  # 2 % of the host are over 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark, docs).collect()}
+    assert got[0].kept and got[0].removed_words == 0
+    assert all(got[k].removed_words == 170 and not got[k].kept for k in range(1, 160))
+    assert all(r.removed_words == 0 and r.kept for d, r in got.items() if d >= 1000)
+
+
 def test_licences(spark):
     notices = {"apache-2.0": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "unknown": "All rights reserved.", "none": "Just a line of prose."}
     docs = spark.createDataFrame(list(enumerate(f"Some prose.\n{t}" for t in notices.values())) + [(9, None)], "doc_id long, text string")
