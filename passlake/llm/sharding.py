@@ -8,61 +8,104 @@ from pyspark.sql import functions as F
 from passlake.llm.common import Workspace, gapless_rank, null_safe_join, with_uid
 
 SHARDS = 16
-ROUNDS = 12
 
 
-def propagate(
-    spark: SparkSession, work: Workspace, linked: DataFrame, capacity: list[int], rounds: int = ROUNDS
-) -> DataFrame:
+def propagate(spark: SparkSession, work: Workspace, linked: DataFrame, capacity: list[int]) -> DataFrame:
     """(uid, grp, label) of linked rows after label propagation under capacity quotas.
 
-    linked: uid and grp; rows of one grp are neighbours of each other. A round counts each group's labels,
-    lets rows prefer the label that most of their neighbours have among those with room, and moves rows of
-    labels with fewer neighbours there, as far as the label's free places reach. Places go to large groups
-    first; where a size class gets fewer places than it asked for, rows are taken by rank.
-    Rows only move towards more neighbours, and sizes never pass the capacity.
+    linked: uid and grp; rows of one grp are neighbours of each other. A round counts each group's labels, and
+    rows ask to move to the label that most of their neighbours have (ties by a hash that changes with the round), unless their
+    group fills that label alone. Rows whose asks form a cycle of labels change places; other asks go into free places.
+    Quotas are counts of asks by pair of labels; large groups come first, and where a size class gets fewer places than it
+    asked for, rows are taken by rank. Rows only move towards more neighbours, so rounds end: the last two grant nothing.
     """
     shards = len(capacity)
     state = linked.select("uid", "grp", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("label"))
     state = work.save(_fit(spark, work.save(state, "start"), capacity), "labels")
-    for _ in range(rounds):
+    full = F.get(F.array(*[F.lit(c) for c in capacity]), F.col("label"))
+    turn, idle = 0, 0
+    while idle < 2:
+        turn += 1
         sizes = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         free = {k: capacity[k] - sizes.get(k, 0) for k in range(shards)}
-        has_room = F.array(*[F.lit(free[k] > 0) for k in range(shards)])
         votes = state.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
-        rank = F.struct("n", (-F.col("label")).alias("k"))
-        best = votes.groupBy("grp").agg(F.sum("n").alias("all"), F.max(F.when(F.get(has_room, F.col("label")), rank)).alias("b"))
+        rank = F.struct("n", F.xxhash64("grp", "label", F.lit(turn)).alias("tie"), "label")
+        best = votes.groupBy("grp").agg(F.sum("n").alias("all"), F.max(F.when(F.col("n") < full, rank)).alias("b"))
         asks = votes.join(best.where("b is not null"), "grp").where(rank < F.col("b"))
         asks = asks.select(
-            "grp", "label", "n", (-F.col("b.k")).alias("target"), F.floor(F.log2(F.col("all").cast("double"))).cast("int").alias("klass")
+            "grp", "label", "n", F.col("b.label").alias("target"), F.floor(F.log2(F.col("all").cast("double"))).cast("int").alias("klass")
         )
         asks = work.save(asks, "asks")
-        # Quotas: a label grants whole classes of groups by size, the largest first, while it has room.
-        classes = asks.groupBy("target", "klass").agg(F.sum("n").alias("ask")).collect()  # shards x log2(rows) numbers
-        grants = {}
-        for r in sorted(classes, key=lambda r: (r["target"], -r["klass"])):
-            take = min(free[r["target"]], r["ask"])
-            free[r["target"]] -= take
-            grants[r["target"], r["klass"]] = (take, r["ask"])
-        if not any(take for take, _ in grants.values()):
-            break
-        movers = state.join(asks.drop("n"), ["grp", "label"]).select("uid", "target", "klass")
-        movers = work.save(movers, "movers")
-        if all(take == ask for take, ask in grants.values()):
-            moved = movers.select("uid", "target")
-        else:
-            ranked = gapless_rank(spark, movers, ["target", "klass"], F.xxhash64("uid"), [F.col("uid")])
-            limit = F.create_map(
-                *[F.lit(x) for (t, c), (take, _) in grants.items() for x in (t * 100 + c, take)]
-            )
-            moved = ranked.where(
-                F.col("rank") < F.element_at(limit, F.col("target") * 100 + F.col("klass"))
-            ).select("uid", "target")
+        # At most shards x shards x log2(rows) numbers.
+        classes = asks.groupBy("label", "target", "klass").agg(F.sum("n").alias("ask")).collect()
+        wanted: dict[tuple[int, int], int] = {}
+        for r in classes:
+            wanted[r["label"], r["target"]] = wanted.get((r["label"], r["target"]), 0) + r["ask"]
+        quota = quotas(wanted, free)
+        grants = []
+        for r in sorted(classes, key=lambda r: -r["klass"]):
+            take = min(quota.get((r["label"], r["target"]), 0), r["ask"])
+            if take:
+                quota[r["label"], r["target"]] -= take
+                grants.append((r["label"], r["target"], r["klass"], take, take == r["ask"]))
+        idle = 0 if grants else idle + 1
+        if not grants:
+            continue
+        granted = F.broadcast(spark.createDataFrame(grants, "label int, target int, klass int, take long, whole boolean"))
+        movers = state.join(asks.drop("n"), ["grp", "label"]).join(granted, ["label", "target", "klass"])
+        movers = work.save(movers.select("uid", "label", "target", "klass", "take", "whole"), "movers")
+        moved = movers.where("whole").select("uid", "target")
+        if not all(whole for *_, whole in grants):
+            ranked = gapless_rank(spark, movers.where("not whole"), ["label", "target", "klass"], F.xxhash64("uid"), [F.col("uid")])
+            moved = moved.union(ranked.where("rank < take").select("uid", "target"))
         state = state.join(moved, "uid", "left").select("uid", "grp", F.coalesce("target", "label").alias("label"))
         state = work.save(state, "labels")
     return state
 
 
+def quotas(wanted: dict[tuple[int, int], int], free: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many of the wanted moves (from, to) go ahead, so that no label grows by more than its free places.
+
+    Moves along a cycle of labels cancel out. Cycles of two go first, then longer ones, then moves into free places, which free others.
+    """
+    left, room, out = {k: n for k, n in wanted.items() if n > 0}, dict(free), {}
+
+    def take(path: list[tuple[int, int]], n: int) -> None:
+        for k in path:
+            out[k] = out.get(k, 0) + n
+            left[k] -= n
+            if not left[k]:
+                del left[k]
+
+    def cycle(start: tuple[int, int]) -> list[tuple[int, int]]:
+        """The shortest cycle through a move."""
+        came, line = {start[1]: start}, [start[1]]
+        for at in line:
+            if at == start[0]:
+                path = [came[at]]
+                while path[-1] != start:
+                    path.append(came[path[-1][0]])
+                return path
+            for k in sorted(left):
+                if k[0] == at and k[1] not in came:
+                    came[k[1]] = k
+                    line.append(k[1])
+        return []
+
+    for a, b in sorted(left):
+        if a < b and (a, b) in left and (b, a) in left:
+            take([(a, b), (b, a)], min(left[a, b], left[b, a]))
+    for start in sorted(left):
+        while start in left and (path := cycle(start)):
+            take(path, min(left[k] for k in path))
+    while ready := [k for k in sorted(left) if room[k[1]] > 0]:
+        n = min(left[ready[0]], room[ready[0][1]])
+        room[ready[0][1]] -= n
+        room[ready[0][0]] += n
+        take(ready[:1], n)
+    return out
+
+
 def _fit(spark: SparkSession, state: DataFrame, capacity: list[int]) -> DataFrame:
     """Moves rows out of labels that start over their capacity, into free places."""
     sizes = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

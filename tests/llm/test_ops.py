@@ -155,6 +155,19 @@ def test_shards_are_even_and_keep_copies(spark, given, rows):
     assert len(of) <= 8 and set(collections.Counter(r.shard for r in out).values()) == {62, 63}
 
 
+def test_shards_of_a_table_of_copies(spark):
+    rows = [(k, f"text {k}") for k in range(250) for _ in range(2 + k % 9)]
+    out = sharding.shard(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = collections.Counter(r.shard for r in out)
+    assert len(out) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    of = collections.defaultdict(collections.Counter)
+    for r in out:
+        of[r.doc_id][r.shard] += 1
+    together = sum(n * (n - 1) for c in of.values() for n in c.values())
+    links = sum(n * (n - 1) for n in collections.Counter(d for d, _ in rows).values())
+    assert together >= 0.75 * links
+
+
 def test_mixing_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
