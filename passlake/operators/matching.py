@@ -111,7 +111,7 @@ def catalog_match(occurrences: DataFrame, catalog: DataFrame, tolerance: float =
 
 
 def near_duplicates(items: DataFrame, least: float = 0.985) -> DataFrame:
-    """Each item with the earliest item of its group that is at least so similar in size (half), width and height (a quarter each)."""
+    """Each item with the earliest item of its group that is at least so similar in size and width (half each)."""
     log = F.floor(F.log("size") / F.log(F.lit(1.05))).cast("long")
     a = items.select("grp", "id", "size", "width", log.alias("cell"))
     b = items.select("grp", F.col("id").alias("first"), F.col("size").alias("s"), F.col("width").alias("w"), F.explode(F.array(log - 1, log, log + 1)).alias("cell"))
