@@ -24,6 +24,8 @@ SKIPPED = frozenset(
     "script style template noscript head title nav header footer aside form button select option textarea input iframe "
     "object embed svg canvas math audio video dialog menu".split()
 )
+#: Of these, elements that may still surround the article.
+AROUND = frozenset("header form".split())
 #: Words in class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header "
@@ -53,34 +55,44 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
         if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_WORDS.findall(value.lower())):
             return True
     return False
 
 
+def _unseen(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether no text of the element is main text, wherever the page's text is."""
+    if tag in SKIPPED:
+        return tag not in AROUND
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+
+
 class Lines(HTMLParser):
-    """Collects the lines (blocks) of a page with their number of tags, their region and whether they are boilerplate."""
+    """Collects the lines (blocks) of a page: text, number of tags, region, whether unseen, characters in links, and the marked elements around."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int, tuple[int, ...]]] = []
         self.parents, self.kinds = [-1], ["root"]
-        self.stack: list[tuple[str, int, bool]] = [("root", 0, False)]
+        self.stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("root", 0, False, ())]
+        self.marks = self.links = self.linked = 0
         self.parts: list[str] = []
         self.tags = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.stack[-1][1], self.stack[-1][2]))
+            self.lines.append((text, self.tags, *self.stack[-1][1:3], self.linked, self.stack[-1][3]))
             self.tags = 0
         self.parts.clear()
+        self.linked = 0
 
     def _pop(self, at: int) -> None:
-        if any(x[0] in BLOCKS or x[2] != self.stack[at - 1][2] for x in self.stack[at:]):
+        if any(x[0] in BLOCKS or x[2:] != self.stack[at - 1][2:] for x in self.stack[at:]):
             self._flush()
+        self.links -= sum(x[0] == "a" for x in self.stack[at:])
         del self.stack[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -95,17 +107,20 @@ class Lines(HTMLParser):
             self._flush()
         if tag in VOID:
             return
-        _, region, bad = self.stack[-1]
-        skip = tag in SKIPPED or _marked(tag, attrs)
-        if skip and not bad:
+        _, region, bad, around = self.stack[-1]
+        skip = _unseen(tag, attrs)
+        marked = _marked(tag, attrs) or tag == "form" or (tag == "header" and not self._inside("article"))
+        if (skip or marked) and not bad:
             self._flush()
-        if tag == "header" and self._inside("article"):
-            skip = _marked(tag, attrs)
+        if marked and not skip and not bad:
+            self.marks += 1
+            around = (*around, self.marks)
+        self.links += tag == "a"
         if tag in REGIONS and not bad and not skip:
             self.parents.append(region)
             self.kinds.append(tag)
             region = len(self.kinds) - 1
-        self.stack.append((tag, region, bad or skip))
+        self.stack.append((tag, region, bad or skip, around))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -131,6 +146,8 @@ class Lines(HTMLParser):
         if self.stack[-1][0] in ("script", "style"):
             return
         self.parts.append(data)
+        if self.links:
+            self.linked += len(data.strip())
 
     def end(self) -> None:
         self.close()
@@ -148,10 +165,11 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None, sigma: float = SIGMA, deviations: float = DEVIATIONS) -> str:
     """The main text of one whole page; empty for null, empty and text-free pages.
 
-    A line's ratio is its characters over its tags, 0 in boilerplate. Ratios are smoothed, and lines over
-    the threshold are content. The region that holds most content characters is the article (an
-    article element before a main element before others, if it has text); from it all
-    lines outside boilerplate are returned, short ones too.
+    A line's ratio is its characters over its tags, 0 where it is unseen. Elements that their tag or names mark as
+    boilerplate are dropped, but not one that holds most of the characters of the page's high-ratio lines. Ratios of what is left are
+    smoothed, and lines over the threshold are content. The article elements (or, without these, main elements) that hold content are
+    the article, in order; else the region that holds most of it. From these the lines are returned, short ones too, but lines
+    under the threshold that are mostly links go.
     """
     if not html:
         return ""
@@ -159,12 +177,23 @@ def main_text(html: str | None, sigma: float = SIGMA, deviations: float = DEVIAT
     parser.feed(html)
     parser.end()
     lines = parser.lines
-    good = [k for k, x in enumerate(lines) if not x[3]]
+    plain = np.array([0.0 if x[3] or 2 * x[4] > len(x[0]) else len(x[0]) / max(1, x[1]) for x in lines])
+    least = deviations * plain.std() if lines else 0.0
+    high = [k for k in range(len(lines)) if plain[k] > 0 and plain[k] >= least]
+    held: dict[int, int] = {}
+    for k in high:
+        for m in lines[k][5]:
+            held[m] = held.get(m, 0) + len(lines[k][0])
+    all_high = sum(len(lines[k][0]) for k in high)
+    spared = {m for m, n in held.items() if 2 * n > all_high}
+    bad = [x[3] or not spared.issuperset(x[5]) for x in lines]
+    good = [k for k, x in enumerate(bad) if not x]
     if not good:
         return ""
-    ratios = np.array([0.0 if x[3] else len(x[0]) / max(1, x[1]) for x in lines])
+    ratios = np.array([0.0 if bad[k] else len(x[0]) / max(1, x[1]) for k, x in enumerate(lines)])
     smoothed = smooth(ratios, sigma)
-    chosen = [k for k in good if smoothed[k] >= deviations * ratios.std()] or good
+    low = deviations * ratios.std()
+    chosen = [k for k in good if smoothed[k] >= low] or good
 
     def above(region: int) -> list[int]:
         out = []
@@ -179,15 +208,18 @@ def main_text(html: str | None, sigma: float = SIGMA, deviations: float = DEVIAT
         for r in paths[k]:
             weight[r] = weight.get(r, 0) + len(lines[k][0])
     total = sum(len(lines[k][0]) for k in chosen)
-    best = 0
+    best = {0}
     for kind in ("article", "main"):
-        if found := [r for r in weight if parser.kinds[r] == kind]:
-            best = max(found, key=lambda r: (weight[r], -r))
+        if found := {r for r in weight if parser.kinds[r] == kind}:
+            best = found
             break
     else:  # down from the root while one region below holds most of what is content
-        while below := [r for r in weight if parser.parents[r] == best and 2 * weight[r] > total]:
-            best = below[0]
-    return " ".join(lines[k][0] for k in good if best in paths[k])
+        at = 0
+        while below := [r for r in weight if parser.parents[r] == at and 2 * weight[r] > total]:
+            at = below[0]
+        best = {at}
+    links = {k for k in good if smoothed[k] < low and 2 * lines[k][4] > len(lines[k][0])}
+    return " ".join(lines[k][0] for k in good if k not in links and not best.isdisjoint(paths[k]))
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -268,6 +268,19 @@ def test_main_text():
     assert html_text.main_text(plain).endswith("here. Short.") and "more" not in html_text.main_text(plain)
 
 
+def test_main_text_in_marked_elements():
+    prose = [f"Sentence {k} of a longer text that goes on for a while. " * 4 for k in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    want = " ".join(x.strip() for x in prose)
+    for around in ("<div class='content-with-sidebar'>{}</div>", "<div id='share-page'><article>{}</article></div>", "<form>{}</form>", "<div class='search-results'><div>{}</div></div>"):
+        page = f"<body><nav><a>Menu</a></nav>{around.format(body)}<div class='sidebar'>More</div></body>"
+        assert html_text.main_text(page) == want, around
+    two = f"<body><article>{body}</article><div class='ad'>Buy</div><article><p>{prose[0]}</p></article></body>"
+    assert html_text.main_text(two) == f"{want} {prose[0].strip()}"
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(12))
+    assert html_text.main_text(f"<body><div>{body}<ul>{links}</ul></div></body>").count("Link") <= 4
+
+
 def test_packing_round_trip(spark, given, rows):
     from tokenizers import Tokenizer
 
