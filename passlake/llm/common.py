@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 10_000
 #: Rows of two or three numbers (5 MB or so) up to which a list of row keys is broadcast to a scan of texts.
 BROADCAST_KEYS = 200_000
+#: Rows that a Python function turns into Python objects at once.
+SLICE_ROWS = 500
 
 
 class Workspace:
@@ -22,12 +25,14 @@ class Workspace:
 
     A saved table is read back from its files, so that a lost executor costs no recomputation
     and values such as row ids stay fixed. A folder of its own is made only where the setting
-    is absent, as in tests on one machine.
+    is absent and the session has one machine, as in tests.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="passlake-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.path, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
@@ -51,6 +56,24 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def arrow_map(found: Callable[[dict[str, list]], dict[str, list]], read: list[str], schema: pa.Schema):
+    """A function for mapInArrow that makes `schema` rows of slices of each batch.
+
+    found gets the columns `read` as Python lists, of SLICE_ROWS rows at most, and returns lists of new
+    columns; columns of the schema that it does not return are passed on as they are, so numbers beside nulls stay whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                new = found({c: part.column(c).to_pylist() for c in read})
+                out = [pa.array(new[f.name], f.type) if f.name in new else part.column(f.name).cast(f.type) for f in schema]
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
+
+    return run
+
+
 def with_uid(df: DataFrame) -> DataFrame:
     """A number for each row. Only for tables that are saved before the number is used."""
     return df.withColumn("uid", F.monotonically_increasing_id())

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passlake.llm.common import BROADCAST_KEYS, Workspace, arrow_rows, small, with_uid
+from passlake.llm.common import BROADCAST_KEYS, Workspace, arrow_map, arrow_rows, small, with_uid
 from passlake.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -27,15 +28,23 @@ BLOCK_ROWS = 32
 SKETCH = 1024
 #: Sketches of larger sets estimate a similarity of 0.8 with a deviation of 0.013 at most.
 LEAST_ESTIMATE = 0.74
-_CACHE = 200_000
+_CACHE = 100_000
 #: Hashes of words that a Python worker has met; later tasks find those of earlier ones.
 _SEEN: dict[bytes, int] = {}
 _FEATURES = (
     "uid long, doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, signature binary"
 )
+_FEATURES_ARROW = pa.schema(
+    [
+        ("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
+        ("bands", pa.list_(pa.int64())), ("signature", pa.binary()),
+    ]
+)
+#: Pairs of sets, and sets, that a Python function holds at once.
+PAIR_ROWS = 500
 
 
-def shingles(text: str | None, words: int, seen: dict[bytes, int]) -> np.ndarray:
+def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles; of all words if there are fewer."""
     parts = text.encode("utf-8", "replace").lower().split() if text else []
     if not parts:
@@ -44,11 +53,11 @@ def shingles(text: str | None, words: int, seen: dict[bytes, int]) -> np.ndarray
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(parts), seed=len(parts))], np.uint64)
     hashed = []
     for w in parts:
-        h = seen.get(w)
+        h = _SEEN.get(w)
         if h is None:
-            if len(seen) >= _CACHE:
-                seen.clear()
-            h = seen[w] = xxhash.xxh3_64_intdigest(w)
+            if len(_SEEN) >= _CACHE:
+                _SEEN.clear()
+            h = _SEEN[w] = xxhash.xxh3_64_intdigest(w)
         hashed.append(h)
     h = np.array(hashed, np.uint64)
     n = len(h) - words + 1
@@ -75,16 +84,19 @@ class Hashes:
         return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def features(text: str | None, words: int, hashes: Hashes, bands: int, seen: dict[bytes, int]) -> tuple:
-    """Set size, 128-bit key of the set, hashed bands and signature (the lower 16 bits of each minimum)."""
-    values = shingles(text, words, seen)
+def features(text: str | None, words: int, hashes: Hashes, bands: int) -> tuple:
+    """Set size, 128-bit key of the set, hashed bands and signature (the lower 16 bits of each minimum).
+
+    Bands are hashed from the signature, so equal bands and equal parts of signatures are the same thing.
+    """
+    values = shingles(text, words)
     if not len(values):
         return 0, None, [], None
-    minima = hashes.minima(values)
+    minima = hashes.minima(values).astype(np.uint16)
     keys = [
         xxhash.xxh3_64_intdigest(x.tobytes(), seed=k) - (1 << 63) for k, x in enumerate(minima.reshape(bands, -1))
     ]
-    return len(values), xxhash.xxh3_128_digest(values.tobytes()), keys, minima.astype(np.uint16).tobytes()
+    return len(values), xxhash.xxh3_128_digest(values.tobytes()), keys, minima.tobytes()
 
 
 def _signature_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,14 +110,11 @@ def _signature_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]]
 
 
-def _sketches(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [np.unique((shingles(t, words, _SEEN) >> np.uint64(32)).astype(np.uint32)) for t in batch["text"]]
-            found = pd.DataFrame({"n": [len(x) for x in sets], "sketch": [x[:SKETCH].tobytes() for x in sets]})
-            yield pd.concat([batch[["node", "signature"]].reset_index(drop=True), found], axis=1)
-
-    return run
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)) for x in batch["shingles"]]
+        found = pd.DataFrame({"n": [len(x) for x in sets], "sketch": [x[:SKETCH].tobytes() for x in sets]})
+        yield pd.concat([batch[["node", "signature"]].reset_index(drop=True), found], axis=1)
 
 
 def _likely(a: np.ndarray, b: np.ndarray, na: int, nb: int, percent: int) -> bool:
@@ -143,15 +152,12 @@ def _block_check(bands: int, percent: int):
     return run
 
 
-def _set_check(words: int, percent: int):
+def _set_check(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, base = None, None
         for batch in batches:
             u, v = [], []
-            for a, b, ta, tb in batch[["a", "b", "text_a", "text_b"]].itertuples(index=False):
-                if a != key:
-                    key, base = a, shingles(ta, words, _SEEN)
-                other = shingles(tb, words, _SEEN)
+            for a, b, own, others in batch[["a", "b", "set_a", "set_b"]].itertuples(index=False):
+                base, other = np.frombuffer(own, np.uint64), np.frombuffer(others, np.uint64)
                 common = len(np.intersect1d(base, other, assume_unique=True))
                 if 100 * common >= percent * (len(base) + len(other) - common):
                     u.append(a)
@@ -188,16 +194,18 @@ def near_duplicates(
     work = Workspace(spark, "minhash")
     hashes_n = bands * rows_per_band
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = _SEEN
-        hashes = Hashes(hashes_n)
-        names = ["n_shingles", "set_key", "bands", "signature"]
-        for batch in batches:
-            found = [features(t, words, hashes, bands, seen) for t in batch["text"]]
-            yield pd.concat([batch[["uid", "doc_id", "text_hash"]], pd.DataFrame(found, columns=names, index=batch.index)], axis=1)
+    hashes = Hashes(hashes_n)
 
+    def described(rows: dict[str, list]) -> dict[str, list]:
+        found = [features(t, words, hashes, bands) for t in rows["text"]]
+        return dict(zip(("n_shingles", "set_key", "bands", "signature"), map(list, zip(*found, strict=True)), strict=True))
+
+    def shingled(rows: dict[str, list]) -> dict[str, list]:
+        return {"shingles": [shingles(t, words).tobytes() for t in rows["text"]]}
+
+    run = arrow_map(described, ["text"], _FEATURES_ARROW)
     given = with_uid(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"))
-    found = work.save(given.mapInPandas(run, _FEATURES), "features")
+    found = work.save(given.mapInArrow(run, _FEATURES), "features")
     filled = found.where("n_shingles > 0")
     nodes = work.save(
         filled.groupBy("set_key").agg(
@@ -221,16 +229,17 @@ def near_duplicates(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(small(where, where.count(), BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")))
         .select("node", "text")
-        .dropDuplicates(["node"])
     )
-    sets = work.save(sets.join(text_of, "node"), "candidates")
+    kind = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    hashed = text_of.mapInArrow(arrow_map(shingled, ["text"], kind), "node long, shingles binary").dropDuplicates(["node"])
+    sets = work.save(sets.join(hashed, "node"), "candidates")
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that full sets confirm."""
-        text = sets.select("node", "text")
-        right = text.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        left = text.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        return work.save(pairs.join(right, "b").join(left, "a").mapInPandas(_set_check(words, percent), "u long, v long"), "links")
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+        with arrow_rows(spark, PAIR_ROWS):
+            return work.save(pairs.join(right, "b").join(left, "a").mapInPandas(_set_check(percent), "u long, v long"), "links")
 
     # Stars around the first and the last node of each band.
     ends = work.save(crowded.select("band", F.explode(F.array("p", "q")).alias("pivot")), "ends")
@@ -256,10 +265,9 @@ def near_duplicates(
     # Two nodes in two components were compared as first and last node.
     open_ = work.save(open_.where("labels > 1 and n > 2").drop("labels"), "open")
     rest = work.save(state.join(open_, "band"), "rest")
-    sketch = sets.join(rest.select("node").distinct(), "node").select("node", "signature", "text")
-    sketch = work.save(
-        sketch.mapInPandas(_sketches(words), "node long, signature binary, n long, sketch binary"), "sketches"
-    )
+    sketch = sets.join(rest.select("node").distinct(), "node").select("node", "signature", "shingles")
+    with arrow_rows(spark, PAIR_ROWS):
+        sketch = work.save(sketch.mapInPandas(_sketches, "node long, signature binary, n long, sketch binary"), "sketches")
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_band") / BLOCK_ROWS))
     blocks = (
         rest.withColumnRenamed("n", "n_band")
