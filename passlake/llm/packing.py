@@ -9,8 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +17,10 @@ from passlake.llm.common import BROADCAST_ROWS, Workspace, gapless_rank, small,
 
 CAPACITY = 1024
 END_ID = 2
-#: Distinct chunks (a word with the space before it) whose ids a Python worker remembers.
-CACHE_CHUNKS = 1_000_000
+#: Distinct chunks (a word with the space before it), met twice or once, whose ids a Python worker remembers.
+CACHE_CHUNKS = 100_000
+#: Texts that are encoded together.
+TEXTS = 256
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_IDS = f"{_PIECES}, ids array<int>"
 #: White space of Unicode, and the four separators, other than the space and the line feed.
@@ -65,6 +66,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = _load(path)
         self.known: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -78,16 +80,26 @@ class Encoder:
         return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
+        """Chunks met in one call only are forgotten first, as most of them never come again."""
+        known, once = self.known, self.once
         if len(known) > CACHE_CHUNKS:
             known.clear()
+        if len(once) > CACHE_CHUNKS:
+            once.clear()
         cut = [self.chunks(t) if t else [] for t in texts]
-        new = list({c for parts in cut if parts for c in parts}.difference(known))
+        absent = {c for parts in cut if parts for c in parts}.difference(known)
+        again = absent.intersection(once)
+        for c in again:
+            known[c] = once.pop(c)
+        new = list(absent.difference(again))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[c] = _bytes(e.ids)
-        return [b"".join([known[c] for c in parts]) if parts is not None else self._ids(t) for t, parts in zip(texts, cut, strict=True)]
+        out = [b"".join([known[c] for c in parts]) if parts is not None else self._ids(t) for t, parts in zip(texts, cut, strict=True)]
+        for c in new:
+            once[c] = known.pop(c)
+        return out
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -97,25 +109,22 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
-    end = np.array([end_id], "<u4").tobytes()
+    end = _bytes([end_id])
+    kind = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32")]])
+    kind = kind.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else kind
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            rows, ids = [], []
-            texts = batch["text"].tolist()
-            for at in range(0, len(texts), 256):
-                part = slice(at, at + 256)
-                for uid, doc, raw in zip(batch["uid"][part], batch["doc_id"].astype(object)[part], tokens.encode(texts[part]), strict=True):
+            for at in range(0, batch.num_rows, TEXTS):
+                rows = [batch.column(c).slice(at, TEXTS).to_pylist() for c in ("uid", "doc_id", "text")]
+                out: list[tuple] = []
+                for uid, doc, raw in zip(*rows[:2], tokens.encode(rows[2]), strict=True):
                     raw += end
                     for k, (start, length) in enumerate(cut_points(len(raw) // 4, capacity)):
                         own = raw[4 * start : 4 * (start + length)]
-                        rows.append((uid, None if pd.isna(doc) else int(doc), k, start, length, zlib.crc32(own)))
-                        if with_ids:
-                            ids.append(np.frombuffer(own, "<u4").astype(np.int32))
-            out = pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out.assign(ids=ids) if with_ids else out
+                        out.append((uid, doc, k, start, length, zlib.crc32(own), *([list(struct.unpack(f"<{length}I", own))] if with_ids else [])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
 
     return run
 
@@ -211,7 +220,7 @@ def pack(
     work = Workspace(spark, "pack")
     given = with_uid(docs.select(F.col("doc_id").cast("long"), "text"))
     run = _tokenise(path or tokenizer_path(), capacity, end_id, with_ids)
-    pieces = work.save(given.mapInPandas(run, _PIECES_IDS if with_ids else _PIECES), "pieces")
+    pieces = work.save(given.mapInArrow(run, _PIECES_IDS if with_ids else _PIECES), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = layout(counts, capacity)
     ranked = gapless_rank(
