@@ -5,23 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from passlake.llm.common import BROADCAST_KEYS, Workspace, small
+from passlake.llm.common import BROADCAST_KEYS, SLICE_ROWS, Workspace, arrow_map, small
 from passlake.llm.minhash_dedup import near_duplicates
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line is over its limit when more than so many distinct documents of a host hold it.
-MIN_DOCS = 100
+MIN_DOCS = 10
 #: A document is depleted when lines over the limit hold more than this percentage of its words.
 MAX_REMOVED_PERCENT = 50
 _LINES = "doc_id long, text_hash long, host string, line_hash array<long>, line_no array<int>"
+_LINES_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("host", pa.string()), ("line_hash", pa.list_(pa.int64())), ("line_no", pa.list_(pa.int32()))]
+)
 _MEASURES = {
     "n_words": "long",
     "word_chars": "long",
@@ -82,15 +84,14 @@ def without_lines(text: str, gone: list[int]) -> tuple[str, int]:
     return "\n".join(x for k, x in enumerate(lines) if k not in numbers), words
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = pd.DataFrame([hashed_lines(t) for t in batch["text"]], columns=["line_hash", "line_no"], index=batch.index)
-        yield pd.concat([batch[["doc_id", "text_hash", "host"]], found], axis=1)
+def _lines(rows: dict[str, list]) -> dict[str, list]:
+    found = [hashed_lines(t) for t in rows["text"]]
+    return {"line_hash": [x[0] for x in found], "line_no": [x[1] for x in found]}
 
 
 def _judge(columns: list[str], max_removed_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             kind = batch.schema.field("text").type
             texts, measures = [], []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
@@ -112,7 +113,7 @@ def _judge(columns: list[str], max_removed_percent: int):
 def _removed_lines(spark: SparkSession, work: Workspace, docs: DataFrame, host: str, min_docs: int) -> DataFrame:
     """doc_id, text_hash, host and the numbers of the lines that go, of the documents that lose any."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _host(host).alias("host"), "text")
-    found = work.save(given.mapInPandas(_lines, _LINES), "lines")
+    found = work.save(given.mapInArrow(arrow_map(_lines, ["text"], _LINES_ARROW), _LINES), "lines")
     key = ["doc_id", "text_hash", "host"]
     lines = found.select(*key, F.explode(F.arrays_zip("line_hash", "line_no")).alias("x")).select(
         *key, F.col("x.line_hash").alias("line"), F.col("x.line_no").alias("line_no")
