@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passlake.llm.common import arrow_map
+
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -48,15 +51,27 @@ ENDS = {
     "td": {"td", "th", "tr", "tbody", "tfoot"},
     "th": {"td", "th", "tr", "tbody", "tfoot"},
 }
+#: Words beside "header" in a class or id that make it the heading of an article.
+HEADED = frozenset("article content entry page post section story title".split())
+#: Share of the text of the main clusters that an element must hold to be the region.
+REGION_SHARE = 0.8
+#: A cluster with less text than this share of the largest one's says nothing about the region.
+CLUSTER_SHARE = 0.2
+#: End tags of other elements do not close these.
+SCOPES = frozenset("article main nav aside footer table".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_WORDS.findall(value.lower())):
-            return True
+        if name in ("class", "id", "role") and value:
+            for part in value.lower().split():
+                words = set(_WORDS.findall(part))
+                if found := words & MARKS:
+                    if found != {"header"} or words.isdisjoint(HEADED):
+                        return True
     return False
 
 
@@ -69,84 +84,120 @@ def _unseen(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
 
 
+class Line(NamedTuple):
+    """A block of text: its tags, its innermost region, whether it is unseen, its characters in links, its innermost mark."""
+
+    text: str
+    tags: int
+    region: int
+    unseen: bool
+    linked: int
+    mark: int
+
+
+class Open(NamedTuple):
+    """An open element with the state of the text in it, and the place in the stack of the block around it."""
+
+    tag: str
+    region: int
+    unseen: bool
+    mark: int
+    block: int
+
+
 class Lines(HTMLParser):
-    """Collects the lines (blocks) of a page: text, number of tags, region, whether unseen, characters in links, and the marked elements around."""
+    """Collects the lines of a page. Regions and marks are trees, as lists of parents; work and memory follow the page's length, whatever its depth."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int, tuple[int, ...]]] = []
+        self.lines: list[Line] = []
         self.parents, self.kinds = [-1], ["root"]
-        self.stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("root", 0, False, ())]
-        self.marks = self.links = self.linked = 0
+        self.marks = [-1]
+        self.stack = [Open("root", 0, False, 0, 0)]
+        self.open: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, *self.stack[-1][1:3], self.linked, self.stack[-1][3]))
+            top = self.stack[-1]
+            self.lines.append(Line(text, self.tags, top.region, top.unseen, self.linked, top.mark))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
 
-    def _pop(self, at: int) -> None:
-        if any(x[0] in BLOCKS or x[2:] != self.stack[at - 1][2:] for x in self.stack[at:]):
-            self._flush()
-        self.links -= sum(x[0] == "a" for x in self.stack[at:])
-        del self.stack[at:]
+    def _push(self, entry: Open) -> None:
+        self.stack.append(entry)
+        self.open[entry.tag] += 1
+        self.scopes[-1][entry.tag] += 1
+        if entry.tag in SCOPES:
+            self.scopes.append(Counter())
+
+    def _pop_to(self, tag: str) -> None:
+        """Ends the innermost open element of the tag, and those in it."""
+        while True:
+            top, around = self.stack[-1], self.stack[-2]
+            if top.tag in BLOCKS or top[1:4] != around[1:4]:
+                self._flush()
+            self.stack.pop()
+            self.open[top.tag] -= 1
+            if top.tag in SCOPES:
+                self.scopes.pop()
+            self.scopes[-1][top.tag] -= 1
+            if top.tag == tag:
+                return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        while self.stack[-1][0] in ENDS and tag in ENDS[self.stack[-1][0]]:
-            self._pop(len(self.stack) - 1)
+        while tag in ENDS.get(self.stack[-1].tag, ()):
+            self._pop_to(self.stack[-1].tag)
         if tag in BLOCKS:
-            if tag != "br" and self.stack[-1][0] not in BLOCKS:  # an open p ends below inline elements too
-                at = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k][0] in BLOCKS), 0)
-                if at and self.stack[at][0] == "p" and tag in ENDS["p"]:
-                    self._pop(at)
+            block = self.stack[self.stack[-1].block]
+            if tag != "br" and block.tag == "p" and tag in ENDS["p"]:  # an open p ends below inline elements too
+                self._pop_to("p")
             self._flush()
         if tag in VOID:
             return
-        _, region, bad, around = self.stack[-1]
+        top = self.stack[-1]
+        region, mark = top.region, top.mark
         skip = _unseen(tag, attrs)
-        marked = _marked(tag, attrs) or tag == "form" or (tag == "header" and not self._inside("article"))
-        if (skip or marked) and not bad:
+        marked = _marked(tag, attrs) or tag == "form" or (tag == "header" and not self.open["article"])
+        if (skip or marked) and not top.unseen:
             self._flush()
-        if marked and not skip and not bad:
-            self.marks += 1
-            around = (*around, self.marks)
-        self.links += tag == "a"
-        if tag in REGIONS and not bad and not skip:
+        if marked and not skip and not top.unseen:
+            self.marks.append(mark)
+            mark = len(self.marks) - 1
+        if tag in REGIONS and not top.unseen and not skip:
             self.parents.append(region)
             self.kinds.append(tag)
             region = len(self.kinds) - 1
-        self.stack.append((tag, region, bad or skip, around))
+        self._push(Open(tag, region, top.unseen or skip, mark, len(self.stack) if tag in BLOCKS else top.block))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self._flush()
 
-    def _inside(self, tag: str) -> bool:
-        return any(x[0] == tag for x in self.stack)
-
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self._flush()
-        for at in range(len(self.stack) - 1, 0, -1):
-            name = self.stack[at][0]
-            if name == tag:
-                self._pop(at)
-                return
-            if name in ("article", "main", "nav", "aside", "footer", "table") and tag not in ("article", "main", "body", "html"):
-                return
+        within = self.scopes[-1][tag] > 0
+        ends_scope = tag in SCOPES and len(self.scopes) > 1 and self._scope() == tag
+        if within or ends_scope or (tag in ("article", "main", "body", "html") and self.open[tag] > 0):
+            self._pop_to(tag)
+
+    def _scope(self) -> str:
+        """The tag that opened the innermost scope."""
+        return next(x for x, n in self.scopes[-2].items() if x in SCOPES and n > 0)
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1][0] in ("script", "style"):
+        if self.stack[-1].tag in ("script", "style"):
             return
         self.parts.append(data)
-        if self.links:
+        if self.open["a"] > 0:
             self.linked += len(data.strip())
 
     def end(self) -> None:
@@ -162,14 +213,58 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return long / np.convolve(np.pad(np.ones_like(values), reach), weights, "valid")
 
 
+def clusters(smoothed: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(start, end, size) of the runs of neighbouring lines whose smoothed ratio is at least `least`."""
+    high = np.concatenate([[False], smoothed >= least, [False]])
+    at = np.flatnonzero(high[1:] != high[:-1])
+    return [(int(i), int(k), int(sizes[i:k].sum())) for i, k in zip(at[::2], at[1::2], strict=True)]
+
+
+def _summed(parents: list[int], own: dict[int, int]) -> list[int]:
+    """The sum of each node of a tree and all below it; parents come before their children."""
+    out = [own.get(k, 0) for k in range(len(parents))]
+    for k in range(len(parents) - 1, 0, -1):
+        out[parents[k]] += out[k]
+    return out
+
+
+def _region(parser: Lines, weight: list[int]) -> list[bool]:
+    """For each region, whether it lies in the article.
+
+    Down from the root while one region holds REGION_SHARE of the text of the main clusters. Article elements (or main
+    ones) below are taken instead where they hold as much together.
+    """
+    parents, kinds = parser.parents, parser.kinds
+    at = 0
+    for k in range(1, len(parents)):  # children come after their parents
+        if parents[k] == at and weight[k] >= REGION_SHARE * weight[0]:
+            at = k
+    chosen = [k == at for k in range(len(parents))]
+    for kind in ("article", "main"):
+        outer = [False] * len(parents)  # below an element of the kind
+        found = []
+        for k in range(1, len(parents)):
+            outer[k] = outer[parents[k]] or kinds[parents[k]] == kind
+            if kinds[k] == kind and not outer[k] and weight[k] > 0:
+                found.append(k)
+        if found and sum(weight[k] for k in found) >= REGION_SHARE * weight[0]:
+            chosen = [False] * len(parents)
+            for k in found:
+                chosen[k] = True
+            break
+    for k in range(1, len(parents)):
+        chosen[k] = chosen[k] or chosen[parents[k]]
+    return chosen
+
+
 def main_text(html: str | None, sigma: float = SIGMA, deviations: float = DEVIATIONS) -> str:
     """The main text of one whole page; empty for null, empty and text-free pages.
 
     A line's ratio is its characters over its tags, 0 where it is unseen. Elements that their tag or names mark as
-    boilerplate are dropped, but not one that holds most of the characters of the page's high-ratio lines. Ratios of what is left are
-    smoothed, and lines over the threshold are content. The article elements (or, without these, main elements) that hold content are
-    the article, in order; else the region that holds most of it. From these the lines are returned, short ones too, but lines
-    under the threshold that are mostly links go.
+    boilerplate are dropped, but not one that holds most of the characters of the page's high-ratio lines. Ratios of what is left
+    are smoothed, and runs of lines over the threshold are clusters. The region is the smallest element that holds nearly all text
+    of the main clusters, or the article (else main) elements that do together. All its lines are
+    returned, short ones too, but lines under the threshold that are mostly links go. Time and memory are in proportion to the page's length.
     """
     if not html:
         return ""
@@ -177,65 +272,57 @@ def main_text(html: str | None, sigma: float = SIGMA, deviations: float = DEVIAT
     parser.feed(html)
     parser.end()
     lines = parser.lines
-    plain = np.array([0.0 if x[3] or 2 * x[4] > len(x[0]) else len(x[0]) / max(1, x[1]) for x in lines])
-    least = deviations * plain.std() if lines else 0.0
-    high = [k for k in range(len(lines)) if plain[k] > 0 and plain[k] >= least]
-    held: dict[int, int] = {}
-    for k in high:
-        for m in lines[k][5]:
-            held[m] = held.get(m, 0) + len(lines[k][0])
-    all_high = sum(len(lines[k][0]) for k in high)
-    spared = {m for m, n in held.items() if 2 * n > all_high}
-    bad = [x[3] or not spared.issuperset(x[5]) for x in lines]
-    good = [k for k, x in enumerate(bad) if not x]
-    if not good:
+    if not lines:
         return ""
-    ratios = np.array([0.0 if bad[k] else len(x[0]) / max(1, x[1]) for k, x in enumerate(lines)])
+    sizes = np.array([len(x.text) for x in lines])
+    plain = np.array([0.0 if x.unseen or 2 * x.linked > len(x.text) else len(x.text) / max(1, x.tags) for x in lines])
+    high = (plain > 0) & (plain >= deviations * plain.std())
+    held: Counter[int] = Counter()
+    for k in np.flatnonzero(high):
+        held[lines[k].mark] += int(sizes[k])
+    below = _summed(parser.marks, held)
+    dropped = [False] * len(parser.marks)
+    for m in range(1, len(parser.marks)):
+        dropped[m] = dropped[parser.marks[m]] or 2 * below[m] <= below[0]
+    bad = np.array([x.unseen or dropped[x.mark] for x in lines])
+    if bad.all():
+        return ""
+    ratios = np.where(bad, 0.0, sizes / np.maximum(1, [x.tags for x in lines]))
     smoothed = smooth(ratios, sigma)
     low = deviations * ratios.std()
-    chosen = [k for k in good if smoothed[k] >= low] or good
-
-    def above(region: int) -> list[int]:
-        out = []
-        while region >= 0:
-            out.append(region)
-            region = parser.parents[region]
-        return out
-
-    paths = {k: above(lines[k][2]) for k in good}
-    weight: dict[int, int] = {}
-    for k in chosen:
-        for r in paths[k]:
-            weight[r] = weight.get(r, 0) + len(lines[k][0])
-    total = sum(len(lines[k][0]) for k in chosen)
-    best = {0}
-    for kind in ("article", "main"):
-        if found := {r for r in weight if parser.kinds[r] == kind}:
-            best = found
-            break
-    else:  # down from the root while one region below holds most of what is content
-        at = 0
-        while below := [r for r in weight if parser.parents[r] == at and 2 * weight[r] > total]:
-            at = below[0]
-        best = {at}
-    links = {k for k in good if smoothed[k] < low and 2 * lines[k][4] > len(lines[k][0])}
-    return " ".join(lines[k][0] for k in good if k not in links and not best.isdisjoint(paths[k]))
+    found = clusters(smoothed, np.where(bad, 0, sizes), low)
+    most = max((n for *_, n in found), default=0)
+    own: Counter[int] = Counter()
+    for start, end, n in found:
+        if n >= CLUSTER_SHARE * most:
+            for k in range(start, end):
+                if not bad[k]:
+                    own[lines[k].region] += int(sizes[k])
+    if not own:  # no line is over the threshold
+        for k in np.flatnonzero(~bad):
+            own[lines[k].region] += int(sizes[k])
+    inside = _region(parser, _summed(parser.parents, own))
+    links = (smoothed < low) & (2 * np.array([x.linked for x in lines]) > sizes)
+    return " ".join(x.text for k, x in enumerate(lines) if not bad[k] and not links[k] and inside[x.region])
+
+
+_PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = batch["html"].map(main_text)
-        yield batch[["page_id", "url"]].assign(text=texts, n_chars=texts.str.len().astype("int64"))
+def _texts(rows: dict[str, list]) -> dict[str, list]:
+    texts = [main_text(x) for x in rows["html"]]
+    return {"text": texts, "n_chars": [len(x) for x in texts]}
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, in one pass over rows and without a shuffle.
 
     Null and empty pages have an empty text. Repeated rows are extracted one by one, urls and null ids pass
-    through, an empty table gives an empty result, and other columns are ignored.
+    through, very long and deeply nested pages take time in proportion to their length, an empty table gives an empty result, and
+    other columns are ignored.
     """
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
+    return rows.mapInArrow(arrow_map(_texts, ["html"], _PAGES), "page_id long, url string, text string, n_chars long")
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, on the smallest tables and on a fixture of hard rows."""
 
 import collections
+import time
 import zlib
 
 import duckdb
@@ -281,6 +282,59 @@ def test_main_text_in_marked_elements():
     assert html_text.main_text(f"<body><div>{body}<ul>{links}</ul></div></body>").count("Link") <= 4
 
 
+STORY = "".join(f"<p>Sentence {k} of the story goes on for quite a while, as one would expect of it.</p>" for k in range(8))
+TOLD = " ".join(f"Sentence {k} of the story goes on for quite a while, as one would expect of it." for k in range(8))
+WORDS = "".join(f"<span>word{k}</span><br>" for k in range(40))
+LAYOUTS = [
+    f"<body><div id=top>{WORDS}</div><div class=story>{STORY}</div></body>",
+    f"<body><div class=story><h2>Head</h2>{STORY}</div><div>{WORDS}</div></body>",
+    f"<body><header><h1>Site</h1></header><main>{STORY}</main><footer>Foot</footer></body>",
+    f"<body><main><article>{STORY}</article><aside>More</aside></main></body>",
+    f"<body><article class=comment>Nice!</article><div id=body>{STORY}</div></body>",
+    f"<body><aside><article>Teaser</article></aside><div>{STORY}</div></body>",
+    f"<body><div><article><a href=x>One teaser</a></article></div><div class=text>{STORY}</div></body>",
+    f"<body><div class=page-header><h1>Head</h1></div><article>{STORY}</article></body>",
+    f"<body><article><div class=entry-header><h1>Head</h1></div>{STORY}</article></body>",
+    f"<body><article>{STORY}<section class=comments><p>A comment that is long enough to look like text.</p></section></article></body>",
+    f"<body><div class='cookie-notice'>We use cookies on this site, as all others do.</div><div>{STORY}</div></body>",
+    f"<body><table><tr><td><ul><li><a href=a>A</a><li><a href=b>B</a></ul></td><td>{STORY}</td></tr></table></body>",
+    f"<body><div><nav><p>Go to the next page of this site if you please.</p></nav>{STORY}</div></body>",
+    f"<body><form><p>Your address, please</p><input></form><div>{STORY}</div></body>",
+    f"<body><div>{STORY}</div><div hidden><p>A hidden sentence that nobody is going to read.</p></div></body>",
+    f"<body><div role=navigation><p>Some text about the ways to go from here.</p></div><section>{STORY}</section></body>",
+    f"<body><noscript>Please switch scripts on.</noscript>{STORY}</body>",
+    f"<body><div><div><div>{STORY}</div></div></div><div id=sidebar><p>A few words about the author of the text.</p></div></body>",
+    f"<body><article>{STORY}</article><article class=ad><p>Buy this, it is much better than that.</p></article></body>",
+    f"<body><div>{STORY}<dl><dt>Term<dd>What it means</dl></div></body>",
+]
+HEADS = {1: "Head ", 8: "Head "}
+TAILS = {19: " Term What it means"}
+
+
+@pytest.mark.parametrize("k", range(len(LAYOUTS)))
+def test_main_text_of_layouts(k):
+    assert html_text.main_text(LAYOUTS[k]) == HEADS.get(k, "") + TOLD + TAILS.get(k, "")
+
+
+def test_threshold_decides_regions():
+    for k in (0, 1):
+        assert "word7" in html_text.main_text(LAYOUTS[k], deviations=-1e9) and "word7" not in html_text.main_text(LAYOUTS[k])
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for page in ("<div>x y z" * 100_000, "<div class=ad>x y " * 60_000, "<b>" * 60_000 + "<hr>x" * 60_000, "<div><article>" + "<b>x" * 60_000 + "</div>" * 60_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 10
+
+
+def test_pages_with_hard_ids(spark):
+    rows = [(2**53 + 1, "u", "<p>a</p>", 1, "t"), (None, None, None, 2, "t"), (2**53 + 1, "u", "<p>a</p>", 3, "t"), (7, "v", "", 4, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string")
+    got = sorted(map(tuple, html_text.extract_text(pages).collect()), key=str)
+    assert got == sorted([(2**53 + 1, "u", "a", 1)] * 2 + [(None, None, "", 0), (7, "v", "", 0)], key=str)
+
+
 def test_packing_round_trip(spark, given, rows):
     from tokenizers import Tokenizer
 
