@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -12,57 +10,95 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NONE, UNKNOWN = "none", "unknown"
-FEATURES = 1 << 12
-#: Paragraphs without licence words, chosen by hash, that the class `none` is fitted on: a documented bound.
+FEATURES = 1 << 13
+#: Documents, chosen by hash, and paragraphs of them that the class `none` is fitted on: documented bounds.
+NONE_DOCS = 400
 MAX_NONE_ROWS = 2000
 #: Share of held-out licence paragraphs that may fall below the probability from which a family is believed.
 MISSED_SHARE = 0.02
-#: Share of a paragraph's word pairs that its family's templates must hold.
+#: Share of a paragraph's word pairs that its family's templates must hold, or of one template's that the paragraph must.
 MIN_TEMPLATE_SHARE = 0.5
-#: Short notices of licence families, as their publishers word them.
+#: Notices of licence families and grants of whole licences, as their publishers word them.
 TEMPLATES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "Available under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
+        "License: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "This project is licensed under the MIT License. See the LICENSE file for details.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
         "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/",
+        "This library is free software under the terms of the GNU Lesser General Public License, version 2.1 or later.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under GPLv3 or later.",
+        "Distributed under the GNU GPL v2.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "License: GPL-3.0",
     ],
     "bsd": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "Released under the 3-clause BSD license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "License: BSD-2-Clause",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
         "SPDX-License-Identifier: MPL-2.0",
+        "License: MPL-2.0",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "Content is available under CC-BY-SA-3.0",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "cc0": [
         "Licensed under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: CC0-1.0",
     ],
     # Licence talk of no listed family: what the classifier must call unknown.
     UNKNOWN: [
@@ -70,29 +106,32 @@ TEMPLATES = {
         "All rights reserved. No part of this work may be reproduced without written permission.",
         "This work is licensed under terms that are set out in a separate document.",
         "Copyright of the respective owners. Use is subject to license terms.",
+        "Copyright (c) the authors. All rights reserved.",
     ],
 }
-#: Stems of which every licence notice holds one; a paragraph without any of them is `none`.
-CUES = (
-    "licen",
-    "lizenz",
-    "copyright",
-    "rights reserved",
-    "spdx",
-    "permission",
-    "redistribut",
-    "creative commons",
-    "free software",
-    "public domain",
-    "cc by",
-    "cc0",
-    "waived",
-)
+#: Prose with words that licences use too, for the class `none`.
+PROSE = [
+    "She asked for permission to leave the room before the lesson was over.",
+    "The driver lost his license after the accident and walked to work for a year.",
+    "The copyright of the book went to the children of the author when he died.",
+    "The new software was free of charge for all visitors of the fair.",
+    "The Apache people lived in the mountains and on the plains of the south.",
+    "He studied at MIT for four years and wrote a paper on engines.",
+    "You may copy the recipe and give it to all of your friends.",
+    "The house was sold as it was, without warranty by the former owner.",
+    "The library holds the rights to the letters and lends them to the public.",
+    "The general public was not admitted, but a version of the speech was printed.",
+    "Creative people from the commons of the town met to share their work.",
+    "The source of the river lies in a binary system of two lakes.",
+    "The terms of the contract were set out by the two foundations.",
+    "All the seats were reserved, and no part of the hall was left to the public.",
+    "The notice on the door said that the distribution of food had ended.",
+]
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of letters, digits and inner dots or hyphens."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.\-]+|[.\-]+(?![\p{L}\p{N}])"), lambda w: w != "")
+    """Lower-case words of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def pairs(parts: Column) -> Column:
@@ -109,19 +148,19 @@ def grams(parts: Column) -> Column:
 
 
 def examples(spark: SparkSession) -> DataFrame:
-    """family, text: every window of 4 words or more of every template, and the whole template; with its part: 0 to fit, 1 to calibrate.
+    """family, text: windows of 4 words or more of every template and prose, and these whole; with its part: 0 to fit, 1 to calibrate.
 
     Parts are dealt by hash of the window.
     """
-    rows = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
-    base = spark.createDataFrame(rows, "family string, template string")
+    rows = [(family, text) for family, texts in (TEMPLATES | {NONE: PROSE}).items() for text in texts]
+    base = spark.createDataFrame(rows, "family string, template string").coalesce(1)
     parts = F.split("template", " ")
     n = F.size(parts)
     spans = F.flatten(
         F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 4, F.lit(0))),
+            F.sequence(F.lit(0), F.greatest(n - 4, F.lit(0)), F.when(n > 24, 2).otherwise(1)),
             lambda a: F.transform(
-                F.array_distinct(F.array(*[F.least(a + k, n) for k in (4, 5, 6, 8, 12, 16)], n)),
+                F.array_distinct(F.array(*[F.least(a + k, n) for k in (4, 5, 6, 8, 12, 16, 32)], n)),
                 lambda b: F.array_join(F.slice(parts, a + 1, b - a), " "),
             ),
         )
@@ -132,12 +171,6 @@ def examples(spark: SparkSession) -> DataFrame:
     return shared.select("family", "text", F.pmod(F.xxhash64("text"), F.lit(5)).eqNullSafe(0).cast("int").alias("part"))
 
 
-def cued(text: Column) -> Column:
-    """Whether a text holds a cue, which a byte search per cue finds."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(c)) for c in CUES])
-
-
 def paragraphs(docs: DataFrame) -> DataFrame:
     """row_key, line_no, text of every line of every text."""
     return docs.select(
@@ -145,6 +178,17 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     )
 
 
+def template_share(parts: Column, family: Column) -> Column:
+    """The share of a paragraph's word pairs that the templates of the family hold, or that the paragraph holds of one of them, if larger."""
+    own = F.array_distinct(pairs(parts))
+    cut = {f: [F.array_distinct(pairs(words(F.lit(t)))) for t in texts] for f, texts in TEMPLATES.items()}
+    all_ = F.create_map(*[x for f, lists in cut.items() for x in (F.lit(f), F.array_distinct(F.concat(*lists)))])
+    each = F.create_map(*[x for f, lists in cut.items() for x in (F.lit(f), F.array(*lists))])
+    held = F.size(F.array_intersect(own, F.element_at(all_, family))) / F.greatest(F.size(own), F.lit(1))
+    most = F.array_max(F.transform(F.element_at(each, family), lambda t: F.size(F.array_intersect(own, t)) / F.size(t)))
+    return F.greatest(held, most)
+
+
 class LicenseModel:
     """Multinomial logistic regression on hashed words and pairs, with the probability from which a family is believed."""
 
@@ -153,10 +197,11 @@ class LicenseModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows (with text) and family, probability: none, unknown or a family."""
-        scored = self.stages.transform(rows.withColumn("grams", grams(words(F.col("text")))))
+        parts = rows.withColumn("__parts", words(F.col("text")))
+        scored = self.stages.transform(parts.withColumn("grams", grams(F.col("__parts"))))
         found = F.array_max(F.transform(vector_to_array("probability"), lambda p, i: F.struct(p.alias("p"), i.alias("i"))))
         names = F.array(*[F.lit(x) for x in self.families])
-        out = scored.withColumn("__best", found).drop("grams", "features", "rawPrediction", "probability", "prediction")
+        out = scored.withColumn("__best", found).drop("__parts", "grams", "features", "rawPrediction", "probability", "prediction")
         family = F.element_at(names, F.col("__best.i") + 1)
         sure = F.col("__best.p") >= self.believed
         return out.select(
@@ -166,28 +211,35 @@ class LicenseModel:
         )
 
 
-def train(spark: SparkSession, docs: DataFrame, max_none_rows: int = MAX_NONE_ROWS) -> LicenseModel:
-    """Fits on template windows and on max_none_rows paragraphs of docs without licence words; calibrates on windows held back."""
+def train(spark: SparkSession, docs: DataFrame, max_none_rows: int = MAX_NONE_ROWS, none_docs: int = NONE_DOCS) -> LicenseModel:
+    """Fits on windows of templates and prose and on max_none_rows paragraphs of about none_docs documents; calibrates on windows held back.
+
+    Paragraphs of which templates hold half of the word pairs are no examples of none.
+    """
     labelled = examples(spark)
+    n = max(1, docs.count())
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) < none_docs)
+    lines = paragraphs(some).where(F.trim("text") != "").select("text").distinct().withColumn("parts", words(F.col("text")))
+    held = F.array_distinct(F.concat(*[pairs(words(F.lit(t))) for texts in TEMPLATES.values() for t in texts]))
+    own = F.array_distinct(pairs(F.col("parts")))
+    known = F.size(F.array_intersect(own, held)) / F.greatest(F.size(own), F.lit(1))
     plain = (
-        paragraphs(docs)
-        .where(~cued(F.col("text")) & (F.trim("text") != ""))
-        .select(F.xxhash64("text").alias("h"), F.substring("text", 1, 400).alias("text"))
+        lines.where(known < MIN_TEMPLATE_SHARE)
+        .select(F.xxhash64("text").alias("h"), "text")
         .orderBy("h", "text")
         .limit(max_none_rows)
         .select(F.lit(NONE).alias("family"), "text", F.lit(0).alias("part"))
     )
     families = [NONE, *TEMPLATES]
     number = F.array_position(F.array(*[F.lit(x) for x in families]), F.col("family")) - 1
-    rows = labelled.unionByName(plain).select(
-        "text", "part", number.cast("double").alias("label"), grams(words(F.col("text"))).alias("grams")
-    )
+    rows = labelled.unionByName(plain).withColumn("parts", words(F.col("text")))
+    rows = rows.select("text", "part", number.cast("double").alias("label"), grams(F.col("parts")).alias("grams"))
     rows = rows.coalesce(1).persist()
     try:
         stages = Pipeline(
             stages=[
                 HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True),
-                LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40, standardization=False),
+                LogisticRegression(family="multinomial", regParam=1e-4, maxIter=30, standardization=False),
             ]
         ).fit(rows.where("part = 0"))
         # The class number is fixed by the training rows: the model has max(label) + 1 classes.
@@ -202,26 +254,17 @@ def train(spark: SparkSession, docs: DataFrame, max_none_rows: int = MAX_NONE_RO
 def scan(spark: SparkSession, docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_paragraphs, families, n_licensed, n_unknown, probability, license.
 
-    Every line of every text that is not blank is a paragraph. One without any licence cue is none; the others are
-    classified. A predicted family is confirmed
-    when its templates hold at least MIN_TEMPLATE_SHARE of the paragraph's word pairs; one that isn't
+    Every line of every text that is not blank is a paragraph, and every paragraph is classified. A predicted family is confirmed
+    when its templates hold at least MIN_TEMPLATE_SHARE of the paragraph's word pairs, or the paragraph of one template's; one that isn't
     counts as unknown. families: confirmed ones in alphabetical order; license: the one of the likeliest paragraph, or
-    unknown, or none; probability: of that paragraph, null for none. Null and empty texts have no paragraphs. Rows equal in
-    doc_id and text are one document and get the same result each; an empty table gives an empty result;
-    other columns are ignored.
+    unknown, or none; probability: of that paragraph, null for none. Null and empty texts have no paragraphs; very long ones
+    are classified line by line like others. Rows equal in doc_id and text are one document and get the same result each; an empty
+    table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = model or train(spark, docs)
-    seen = model.predict(paragraphs(docs.where(cued(F.col("text")))).where(cued(F.col("text")))).where(F.col("family") != NONE)
-    held = F.create_map(
-        *[
-            x
-            for family, texts in TEMPLATES.items()
-            for x in (F.lit(family), F.array_distinct(F.concat(*[pairs(words(F.lit(t))) for t in texts])))
-        ]
-    )
-    own = F.array_distinct(pairs(words(F.col("text"))))
-    share = F.size(F.array_intersect(own, F.element_at(held, F.col("family")))) / F.greatest(F.size(own), F.lit(1))
+    seen = model.predict(paragraphs(docs).where(F.trim("text") != "")).where(F.col("family") != NONE)
+    share = template_share(words(F.col("text")), F.col("family"))
     judged = seen.withColumn("share", share).withColumn(
         "family", F.when((F.col("family") != UNKNOWN) & (F.col("share") >= MIN_TEMPLATE_SHARE), F.col("family")).otherwise(F.lit(UNKNOWN))
     )
