@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passlake.llm.common import arrow_map
+
 #: Labelled rows, chosen by hash of doc_id, that the model is fitted on: a documented bound.
 MAX_TRAIN_ROWS = 20_000
-#: Terms are hashed to this many numbers; those with the strongest association with the label become features.
+#: Terms are hashed to this many numbers.
 HASH_SIZE = 1 << 20
+#: Features: terms with the strongest association with the label, and members of pairs of frequent terms that
+#: stand together with other labels than either would tell.
 MAX_TERMS = 4096
 MIN_TERM_DOCS = 5
 MIN_Z = 4.0
+PAIR_TERMS = 1024
+MAX_PAIRS = 512
+MIN_PAIR_DOCS = 20
+MIN_PAIR_Z = 6.0
 FACTORS = 4
 STEPS = 600
 THRESHOLD = 0.3
@@ -25,7 +32,7 @@ THRESHOLD = 0.3
 STEMS = (4, 5, 6)
 SEED = 7
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 def term_ids(word: str) -> tuple[int, ...]:
@@ -43,10 +50,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [np.array(sorted({i for w in words_of(t) for i in term_ids(w)}), np.int32) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": found})
+_TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32()))])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
+
+
+def _terms(rows: dict[str, list]) -> dict[str, list]:
+    return {"terms": [sorted({i for w in words_of(t) for i in term_ids(w)}) for t in rows["text"]]}
 
 
 class FactorizationMachine:
@@ -70,7 +79,7 @@ def fit(
 ) -> FactorizationMachine:
     """Adam on the logistic loss of all rows, with weights and vectors drawn towards 0.
 
-    docs and places: row number and term number of each present term, sorted by row.
+    docs and places: row number and term number of each present term, sorted by row. Without factors it is a linear model.
     """
     n, m = len(labels), len(terms)
     rate = float(np.clip(labels.mean() if n else 0.0, 1e-4, 1 - 1e-4))
@@ -85,7 +94,7 @@ def fit(
     def by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
         if values.ndim == 1:
             return np.bincount(index, values, size)
-        return np.stack([np.bincount(index, x, size) for x in values.T], axis=1)
+        return np.array([np.bincount(index, x, size) for x in values.T]).reshape(-1, size).T
 
     for step in range(1, steps + 1):
         bias, w, v = theta
@@ -108,67 +117,104 @@ def fit(
     return FactorizationMachine(terms, float(theta[0][0]), theta[1], theta[2])
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> FactorizationMachine:
+def pair_members(docs: np.ndarray, places: np.ndarray, labels: np.ndarray, m: int) -> np.ndarray:
+    """Of m terms, those in pairs whose documents have other labels than the two terms' own rates add up to.
+
+    docs and places as in fit. Counts of all pairs come from products of blocks of the document-term matrix.
+    """
+    n = len(labels)
+    both, hits = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    edges = np.searchsorted(docs, np.arange(0, n + 2000, 2000))
+    for at, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        block = np.zeros((2000, m), np.float32)
+        block[docs[start:end] - 2000 * at, places[start:end]] = 1
+        toxic = block[np.flatnonzero(labels[2000 * at : 2000 * (at + 1)] > 0)]
+        both += block.T @ block
+        hits += toxic.T @ toxic
+    p = labels.mean()
+    rate = np.diag(hits) / np.maximum(1, np.diag(both))
+    wanted = np.clip(rate[:, None] + rate[None, :] - p, 0.0, 1.0)
+    z = np.abs(hits - both * wanted) / np.sqrt(both * (wanted * (1 - wanted) + 0.01) + 1e-9)
+    z[both < MIN_PAIR_DOCS] = 0
+    z = np.triu(z, 1)
+    best = np.argsort(-z, axis=None, kind="stable")[:MAX_PAIRS]
+    best = best[z.flat[best] >= MIN_PAIR_Z]
+    return np.unique(np.concatenate(np.unravel_index(best, z.shape))) if len(best) else np.empty(0, np.int64)
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, factors: int = FACTORS) -> FactorizationMachine:
     """The model of at most max_rows labelled rows outside the held-out quarter.
 
-    Terms are chosen by the deviation of their label rate from the mean, in standard errors. To
-    the driver come max_terms term counts and the chosen terms of max_rows rows.
+    Terms are chosen by the deviation of their label rate from the mean, in standard errors, and by that of pairs of the
+    PAIR_TERMS most frequent ones. To the driver come these terms and their places in max_rows rows. Of several texts
+    of one doc_id the least is learned from.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull())
-    rows = rows.mapInPandas(_terms, "doc_id long, toxic int, terms array<int>").persist()
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    there = known.count()
+    if there > max_rows:  # a hash bound first, so that only a little more than max_rows rows are sorted
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(there)) < max_rows + 5 * max_rows**0.5)
+    known = known.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, there))), "doc_id").limit(max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull())
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.mapInArrow(arrow_map(_terms, ["text"], _TERMS), "doc_id long, toxic int, terms array<int>").persist()
     try:
         n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         p = positive / n if n else 0.0
         seen, hits = F.col("n"), F.col("hits")
-        z = (hits - seen * p) / F.sqrt(seen * (p * (1 - p) + 1e-9))
-        chosen = (
+        z = F.abs((hits - seen * p) / F.sqrt(seen * (p * (1 - p) + 1e-9)))
+        counts = (
             rows.select("toxic", F.explode("terms").alias("term"))
             .groupBy("term")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
             .where(seen >= MIN_TERM_DOCS)
-            .withColumn("z", F.abs(z))
-            .where(F.col("z") >= MIN_Z)
-            .orderBy(F.desc("z"), "term")
-            .limit(MAX_TERMS)
+            .withColumn("z", z)
         )
-        terms = np.array(sorted(r["term"] for r in chosen.select("term").collect()), np.int64)
-        kept = F.array(*[F.lit(int(t)) for t in terms]) if len(terms) else F.array().cast("array<int>")
+        marked = {r["term"] for r in counts.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term").collect()}
+        often = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(PAIR_TERMS).select("term").collect()]
+        wanted = sorted(marked.union(often))
+        kept = F.array(*[F.lit(int(t)) for t in wanted]) if wanted else F.array().cast("array<int>")
         found = rows.select("doc_id", "toxic", F.array_intersect("terms", kept).alias("terms")).toPandas()
     finally:
         rows.unpersist()
     found = found.sort_values("doc_id", kind="stable")
     sizes = [len(x) for x in found["terms"]]
-    docs_at = np.repeat(np.arange(len(found)), sizes)
+    at = np.repeat(np.arange(len(found)), sizes)
     flat = np.concatenate([np.asarray(x, np.int64) for x in found["terms"]]) if sum(sizes) else np.empty(0, np.int64)
-    return fit(terms, docs_at, np.searchsorted(terms, flat), found["toxic"].to_numpy(np.float64))
+    y = found["toxic"].to_numpy(np.float64)
+
+    def only(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = np.isin(flat, terms)
+        return at[inside], np.searchsorted(terms, flat[inside])
+
+    frequent = np.array(sorted(often), np.int64)
+    if len(frequent) and len(y):
+        marked.update(int(t) for t in frequent[pair_members(*only(frequent), y, len(frequent))])
+    terms = np.array(sorted(marked), np.int64)
+    return fit(terms, *only(terms), y, factors)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted of every row, from its whole text, in one pass without a shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            scores = []
-            for text in batch["text"]:
-                present: set[int] = set()
-                for w in words_of(text):
-                    places = seen.get(w)
-                    if places is None:
-                        if len(seen) >= _CACHE:
-                            seen.clear()
-                        places = seen[w] = tuple(model.places[i] for i in term_ids(w) if i in model.places)
-                    if places:
-                        present.update(places)
-                scores.append(model.score(sorted(present)))
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": np.array(scores, np.float64)})
-            yield out.assign(predicted=(out["score"] >= threshold).astype("int32"))
+    """doc_id, held_out, score, predicted of every row, from its whole text, in one pass without a shuffle."""
+    seen: dict[str, tuple[int, ...]] = {}
+
+    def scored(rows: dict[str, list]) -> dict[str, list]:
+        scores = []
+        for text in rows["text"]:
+            present: set[int] = set()
+            for w in words_of(text):
+                places = seen.get(w)
+                if places is None:
+                    if len(seen) >= _CACHE:
+                        seen.clear()
+                    places = seen[w] = tuple(model.places[i] for i in term_ids(w) if i in model.places)
+                if places:
+                    present.update(places)
+            scores.append(model.score(sorted(present)))
+        return {"score": scores, "predicted": [int(x >= threshold) for x in scores]}
 
     given = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return given.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return given.mapInArrow(arrow_map(scored, ["text"], _SCORES), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
