@@ -50,6 +50,24 @@ def source_rates(docs: DataFrame, group: str = "source", weights: dict[str, floa
     return weighted.select("__group", "n_docs", rate.alias("rate"))
 
 
+def _mixed(spark: SparkSession, docs: DataFrame, group: str, weights: dict[str, float] | None, power: float, seed: str) -> DataFrame:
+    """docs with __n, __copy and __key, in the order of __key."""
+    work = Workspace(spark, "mix")
+    rates = work.save(source_rates(docs, group, weights, power), "rates")
+    rates = rates.select("__group", poisson_cdf(F.col("rate")).alias("__cdf"), F.col("rate").alias("__rate"))
+    # One row for each source, behind a count; more sources than that are joined by shuffle.
+    joined = docs.join(small(rates, rates.count(), 1000), F.col(group).eqNullSafe(F.col("__group")))
+    u = uniform(seed, F.col("doc_id"))
+    drawn = F.when(F.col("__rate") > 0, F.size(F.filter("__cdf", lambda c: c <= u))).otherwise(F.lit(0))
+    copies = joined.withColumn("__n", drawn.cast("long")).where("__n > 0").drop("__group", "__cdf", "__rate")
+    copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    keyed = copies.withColumn("__key", uniform(f"{seed}-order", F.col("doc_id"), F.col("__copy")))
+    # Keys are even over [0, 1): equal parts of that range are partitions of even size, without a sample.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionById(parts, F.floor(F.col("__key") * parts).cast("int"))
+    return dealt.sortWithinPartitions("__key", "doc_id", "__copy")
+
+
 def mix(
     spark: SparkSession,
     docs: DataFrame,
@@ -62,26 +80,19 @@ def mix(
 
     Each row gets a number of copies with the Poisson distribution of its group's rate, by inverting
     it at a hash of seed and doc_id: the same row gets the same number in every run and on every
-    executor. Rows of one doc_id share the number. All copies are range-partitioned and sorted by mix_key, a hash of
-    doc_id and copy. Null groups are one group, null doc_ids hash as 'null', texts are not
-    looked at, an empty table gives an empty result. Sums run over all rows.
+    executor. Rows of one doc_id share the number. All copies are dealt over equal parts of the range of mix_key, a hash of
+    doc_id and copy, and sorted by it. Null groups are one group, null doc_ids hash as 'null', texts are not
+    looked at, an empty table gives an empty result. Sums run over all rows. Columns of docs named n_copies, copy or mix_key
+    give way to these.
     """
-    work = Workspace(spark, "mix")
-    rates = work.save(source_rates(docs, group, weights, power), "rates")
-    rates = rates.select("__group", poisson_cdf(F.col("rate")).alias("__cdf"), F.col("rate").alias("__rate"))
-    # One row for each source, behind a count; more sources than that are joined by shuffle.
-    joined = docs.join(small(rates, rates.count(), 1000), F.col(group).eqNullSafe(F.col("__group")))
-    u = uniform(seed, F.col("doc_id"))
-    drawn = F.when(F.col("__rate") > 0, F.size(F.filter("__cdf", lambda c: c <= u))).otherwise(F.lit(0))
-    copies = joined.withColumn("n_copies", drawn.cast("long")).where("n_copies > 0").drop("__group", "__cdf", "__rate")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("mix_key", uniform(f"{seed}-order", F.col("doc_id"), F.col("copy")))
-    return keyed.repartitionByRange("mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
+    new = {"n_copies": "__n", "copy": "__copy", "mix_key": "__key"}
+    out = _mixed(spark, docs, group, weights, power, seed)
+    return out.select(*[c for c in docs.columns if c not in new], *[F.col(x).alias(c) for c, x in new.items()])
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs mixed to the default weights, in their own columns."""
-    return mix(spark, docs).select(*docs.columns)
+    """docs mixed to the default weights, in their own columns, whatever their names."""
+    return _mixed(spark, docs, "source", None, POWER, SEED).select(*docs.columns)
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
