@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from passlake.llm.common import BROADCAST_KEYS, Workspace, small
 
-#: Shorter normalised lines (headings, list marks) are left alone.
-MIN_CHARS = 20
-#: Aimed length of the segments within which deletion variants are made.
+#: Shorter normalised lines go only if they are equal: one edit makes other words of them.
+NEAR_CHARS = 8
+#: Least length of the segments within which deletion variants are made; in very long lines it is the root of the length.
 SEGMENT_CHARS = 24
+#: White space that a line loses at its ends.
+SPACE = " \t\x0b\x0c\r"
 
 
 def _row_key() -> Column:
@@ -18,7 +20,7 @@ def _row_key() -> Column:
 
 
 def _norm(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    return F.lower(F.trim(line, F.lit(SPACE)))
 
 
 def _cut(line: Column, start: Column, length: Column) -> Column:
@@ -43,10 +45,10 @@ def _shared(rows: DataFrame, key: str, who: str) -> DataFrame:
     return rows.join(both.select(key), key)
 
 
-def line_duplicates(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """row_key with the numbers of its lines that go: exact (equal to an earlier line) and near (one edit from one).
+def line_duplicates(spark: SparkSession, docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """doc_id, row_key and the numbers of the lines that go: exact (equal to an earlier line) and near (one edit from one).
 
-    Lines are lower-cased and trimmed; those of min_chars characters or more take part. The order
+    Lines are lower-cased and trimmed; all that are not blank take part, and in near pairs those of near_chars characters or more. The order
     is (doc_id, row_key, line number), null doc_ids last. A line goes if any earlier line is equal or at Levenshtein
     distance 1, whether that one stays or not; so the earliest line of every class stays.
 
@@ -65,7 +67,7 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_C
         .select("doc_id", _row_key().alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .withColumn("norm", _norm(F.col("line")))
         .withColumn("n", F.length("norm"))
-        .where(F.col("n") >= min_chars)
+        .where(F.col("n") > 0)
         .drop("line")
     )
     lines = work.save(
@@ -75,7 +77,7 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_C
             "line_no",
             F.xxhash64("norm").alias("k1"),
             F.hash("norm").alias("k2"),
-            _half_keys(F.col("norm"), F.col("n")).alias("halves"),
+            F.when(F.col("n") >= near_chars, _half_keys(F.col("norm"), F.col("n"))).alias("halves"),
         ),
         "lines",
     )
@@ -105,10 +107,10 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_C
     close = distinct.join(near, "first").select("k1", "k2", "first", F.lit(True).alias("near"))
     marks = repeated.union(close).groupBy("k1", "k2", "first").agg(F.max("near").alias("near"))
     gone = (
-        lines.select("k1", "k2", "row_key", "line_no", pos.alias("pos"))
+        lines.select("k1", "k2", "doc_id", "row_key", "line_no", pos.alias("pos"))
         .join(marks, ["k1", "k2"])
         .where("near or pos <> first")
-        .groupBy("row_key")
+        .groupBy("doc_id", "row_key")
         .agg(
             F.collect_set(F.when(~F.col("near") | (F.col("pos") != F.col("first")), F.col("line_no"))).alias("exact"),
             F.collect_set(F.when(F.col("near") & (F.col("pos") == F.col("first")), F.col("line_no"))).alias("near"),
@@ -120,7 +122,9 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_C
 def _near(work: Workspace, texts: DataFrame) -> DataFrame:
     """`first` of the lines with an earlier line at distance 1."""
     n, s, norm = F.col("n"), F.col("s"), F.col("norm")
-    parts = (2 * F.least(F.greatest(F.ceil(s / (2 * SEGMENT_CHARS)), F.lit(1)), F.lit(32))).cast("int")
+    # Hashing what is outside of each segment takes n * n / length, the variants n * length: with the root of n both stay n ** 1.5.
+    length = F.greatest(F.lit(float(SEGMENT_CHARS)), F.sqrt(s.cast("double")))
+    parts = (2 * F.greatest(F.ceil(s / (2 * length)), F.lit(1))).cast("int")
     start, end = F.floor(F.col("j") * s / F.col("parts")), F.floor((F.col("j") + 1) * s / F.col("parts"))
     half = (F.col("parts") / 2).cast("int")
     segments = (
@@ -188,40 +192,80 @@ def _near(work: Workspace, texts: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with `text` free of repeated lines, and n_lines, n_exact and n_near (longs: all lines, and lines that went).
-
-    Null texts stay null with 0 lines and empty texts stay as they are. Rows equal in doc_id and text get the
-    same result: they are one document. Other columns are kept, an n_chars column is brought
-    up to date, and an empty table gives an empty result.
-    """
-    gone = line_duplicates(spark, docs, min_chars).select(
-        F.col("row_key").alias("__key"), F.col("exact").alias("__exact"), F.col("near").alias("__near")
+def _cleaned(spark: SparkSession, docs: DataFrame, near_chars: int) -> DataFrame:
+    """docs with their text cleaned, and __lines, __n_exact and __n_near."""
+    gone = line_duplicates(spark, docs, near_chars).select(
+        F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("exact").alias("__exact"), F.col("near").alias("__near")
     )
     keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    joined = keyed.join(gone, F.col("__row") == F.col("__key"), "left")
+    same = (F.col("__row") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    joined = keyed.join(gone, same, "left")
     none = F.array().cast("array<int>")
     dropped = F.concat(F.coalesce("__exact", none), F.coalesce("__near", none))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(dropped, i)), "\n")
-    out = joined.select(
-        *[
-            F.when(F.col("__key").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c)
-            for c in docs.columns
-        ],
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__exact"), F.lit(0)).cast("long").alias("n_exact"),
-        F.coalesce(F.size("__near"), F.lit(0)).cast("long").alias("n_near"),
+    lines = F.split("text", "\n")
+    # The line numbers in order, each with its mark: work in proportion to the lines, however many go.
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+    mark = lambda numbers, gone: F.transform(numbers, lambda i: F.struct(i.alias("i"), F.lit(gone).alias("gone")))
+    marks = F.array_sort(F.concat(mark(dropped, True), mark(kept, False)))
+    left = F.array_join(F.zip_with(lines, marks, lambda x, m: F.when(~m["gone"], x)), "\n")
+    text = F.when(F.col("__key").isNull(), F.col("text")).otherwise(left)
+    return joined.select(
+        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"),
+        F.coalesce(F.size("__exact"), F.lit(0)).cast("long").alias("__n_exact"),
+        F.coalesce(F.size("__near"), F.lit(0)).cast("long").alias("__n_near"),
     )
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def _with_length(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """n_chars brought up to date where docs has it."""
+    if "n_chars" not in docs.columns:
+        return out
+    changed = F.col("__n_exact") + F.col("__n_near") > 0
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """docs with `text` free of repeated lines, and n_lines, n_exact and n_near (longs: all lines, and lines that went).
+
+    Null texts stay null with 0 lines, and empty texts and blank lines stay as they are. Rows equal in doc_id and text get the
+    same result: they are one document. Very long lines take time like length ** 1.5. Other columns are kept, but columns of docs named
+    n_lines, n_exact or n_near give way to these; an n_chars column is brought up to date where lines went, and an empty table gives an empty result.
+    """
+    new = {"n_lines": "__lines", "n_exact": "__n_exact", "n_near": "__n_near"}
+    out = _with_length(_cleaned(spark, docs, near_chars), docs)
+    return out.select(*[c for c in docs.columns if c not in new], *[F.col(x).alias(c) for c, x in new.items()])
 
 
 def keep_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with repeated lines removed; documents of which no word is left go, unless they had none before."""
-    out = dedup_lines(spark, docs)
-    emptied = (F.col("n_exact") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    """docs with repeated lines removed, in their own columns; documents of which no word is left go, unless they had none before."""
+    out = _with_length(_cleaned(spark, docs, NEAR_CHARS), docs)
+    emptied = (F.col("__n_exact") + F.col("__n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_lines(spark, docs.select("doc_id", "text"))
+
+
+OP8_SQL = f"""
+with l as (select doc_id, text, unnest(range(len(string_split(text, chr(10))))) line_no from documents where text is not null),
+lines as (select doc_id, line_no, string_split(text, chr(10))[line_no + 1] line,
+    lower(trim(string_split(text, chr(10))[line_no + 1], ' ' || chr(9) || chr(11) || chr(12) || chr(13))) norm from l),
+firsts as (select norm, min(struct_pack(d := doc_id, l := line_no)) pos, length(norm) n from lines where norm <> '' group by norm),
+halves as (select norm, pos, n, s, unnest([[0, hash(norm[1:s // 2])], [1, hash(norm[n - (s - s // 2) + 1:n])]]) half
+    from (select norm, pos, n, unnest([n, n - 1]) s from firsts where n >= {NEAR_CHARS})),
+pairs as (select distinct b.norm, a.norm other from halves a join halves b on a.s = b.s and a.half = b.half and a.pos < b.pos and abs(a.n - b.n) <= 1
+    and a.s <= least(a.n, b.n)),
+shaped as (select norm, case when length(norm) < length(other) then norm else other end x, case when length(norm) < length(other) then other else norm end y from pairs),
+meets as (select *, coalesce(list_position(list_transform(range(1, length(x) + 1), lambda i: x[i:i] = y[i:i]), false), length(x) + 1) p from shaped),
+near as (select distinct norm from meets where x[p + (case when length(x) = length(y) then 1 else 0 end):] = y[p + 1:]),
+marked as (select o.*, f.norm is not null and f.pos <> struct_pack(d := o.doc_id, l := o.line_no) is_exact,
+    near.norm is not null and f.pos = struct_pack(d := o.doc_id, l := o.line_no) is_near
+    from lines o left join firsts f on o.norm = f.norm left join near on o.norm = near.norm),
+done as (select doc_id, coalesce(string_agg(line, chr(10) order by line_no) filter (not is_exact and not is_near), '') text, count(*) n_lines,
+    count(*) filter (is_exact) n_exact, count(*) filter (is_near) n_near from marked group by doc_id)
+select d.doc_id, done.text, coalesce(n_lines, 0) n_lines, coalesce(n_exact, 0) n_exact, coalesce(n_near, 0) n_near
+from documents d left join done on d.doc_id = done.doc_id
+"""
