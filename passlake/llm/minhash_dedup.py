@@ -315,3 +315,27 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(spark, docs, words=4).drop("uid", "text_hash")
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def components_sql(rows: str, words: int) -> str:
+    """CTEs over `rows` (key, text) that end with components (key, n_shingles, least): all pairs that share a shingle are compared."""
+    return f"""
+cut as (select key, {WORDS.format(LOWER.format("text"))} w from {rows} where text is not null),
+sets as (select key, list_distinct(case when len(w) = 0 then [] when len(w) < {words} then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i:i + {words - 1}], ' ')) end) g from cut),
+each_ as (select key, len(g) n, unnest(g) g from sets),
+common as (select a.key a, b.key b, any_value(a.n) na, any_value(b.n) nb, count(*) c from each_ a join each_ b on a.g = b.g and a.key <> b.key group by 1, 2),
+links as (select a, b from common where 100 * c >= {SIMILARITY_PERCENT} * (na + nb - c)),
+reach as (select key, key other from sets union select reach.key, links.b from reach join links on reach.other = links.a),
+components as (select sets.key, len(g) n_shingles, min(other) least from sets join reach on sets.key = reach.key group by all)"""
+
+
+OP7_SQL = f"""
+with recursive given as (select doc_id key, text from documents), {components_sql("given", 4)}
+select d.doc_id, coalesce(n_shingles, 0) n_shingles, coalesce(least, d.doc_id) component_id, coalesce(least = d.doc_id, true) kept
+from documents d left join components c on c.key = d.doc_id
+"""
