@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passlake.llm.common import BROADCAST_KEYS, SLICE_ROWS, Workspace, arrow_map, small
-from passlake.llm.minhash_dedup import near_duplicates
+from passlake.llm.minhash_dedup import LOWER, SHINGLE_WORDS, WORDS, components_sql, near_duplicates
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -221,3 +221,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(spark, docs).drop("text_hash")
+
+
+#: Texts that hold a frequent line are compared pair by pair; near copies count as one.
+OP1_SQL = rf"""
+with recursive base as (select doc_id, text, coalesce(source, '') host, {WORDS.format("coalesce(text, '')")} w from documents),
+grams as (select doc_id, i, count(*) over (partition by doc_id, w[i:i + 2]) n from (select doc_id, w, unnest(range(1, len(w) - 1)) i from base)),
+repeats as (select doc_id, count(distinct i + k) n_repeat_words from grams, (values (0), (1), (2)) t(k) where n > 1 group by doc_id),
+raw as (select doc_id, host, text, string_split(text, chr(10))[line_no + 1] x, line_no
+    from (select *, unnest(range(len(string_split(text, chr(10))))) line_no from base where text is not null)),
+lines as (select *, {LOWER.format(f"array_to_string({WORDS.format('x')}, ' ')")} line, len({WORDS.format('x')}) n from raw),
+dups as (select doc_id, count(*) - count(distinct x) n_dup_lines from lines where n > 0 group by doc_id),
+often as (select host, line, min(doc_id) as owner from lines where n > 0 group by host, line having count(distinct text) > {MIN_DOCS}),
+held as (select l.doc_id, l.host, l.line, l.line_no, l.n, l.text, o.owner from lines l join often o on l.host = o.host and l.line = o.line),
+holders as (select min(doc_id) key, text from held group by text), {components_sql("holders", SHINGLE_WORDS)},
+over_ as (select h.host, h.line from held h join holders t on h.text = t.text join components c on c.key = t.key
+    group by h.host, h.line having count(distinct c.least) > {MIN_DOCS}),
+gone as (select h.doc_id, h.line_no, h.n from held h join over_ o on h.host = o.host and h.line = o.line where h.doc_id <> h.owner),
+lost as (select doc_id, sum(n) removed_words from gone group by doc_id),
+left_ as (select l.doc_id, coalesce(string_agg(x, chr(10) order by l.line_no) filter (g.line_no is null), '') text
+    from lines l join lost on l.doc_id = lost.doc_id left join gone g on g.doc_id = l.doc_id and g.line_no = l.line_no group by l.doc_id),
+counted as (select b.doc_id, len(w) n_words, length(regexp_replace(coalesce(b.text, ''), '[\x20\x09-\x0D]', '', 'g')) word_chars,
+    length(regexp_replace(coalesce(b.text, ''), '[^#*$%&|<>]', '', 'g')) n_symbols, coalesce(n_dup_lines, 0) n_dup_lines,
+    coalesce(n_repeat_words, 0) n_repeat_words, cast(coalesce(removed_words, 0) as bigint) removed_words, coalesce(left_.text, b.text) text
+    from base b left join repeats r on r.doc_id = b.doc_id left join dups on dups.doc_id = b.doc_id left join lost on lost.doc_id = b.doc_id
+    left join left_ on left_.doc_id = b.doc_id)
+select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words base_failed,
+    not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) and 100 * removed_words <= {MAX_REMOVED_PERCENT} * n_words kept
+from counted
+"""
