@@ -36,4 +36,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_kdtree_topk": kdtree.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {
+        "op1_quality_rules": quality_rules.OP1_SQL,
+        "op3_kdtree_topk": kdtree.OP3_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+        "op7_minhash_dedup": minhash_dedup.OP7_SQL,
+        "op8_line_dedup": line_dedup.OP8_SQL,
+    }

@@ -13,21 +13,24 @@ import corpus_pipeline
 from passlake.llm import html_text, kdtree, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, queries, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, label string, n_lines int, copy string, n_copies int, kept int"
+EXTRA = ("u", "l", 7, "c", 99, 5)  # columns whose names the operators use too
 
 
 @pytest.fixture(scope="module")
 def given(spark):
     """Documents of the smallest tables, and rows with nulls, ties, empty and long texts."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").withColumn("uid", F.lit("x")).withColumn("label", F.lit("y"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select("*", *[F.lit(x).alias(c.split()[0]) for x, c in zip(EXTRA, SCHEMA.split(", ")[5:], strict=True)])
     long = " ".join(f"word{k % 977}x{k}" for k in range(6000))
     hard = [
         (1001, None, None, None, None), (1002, "", "en", "s", 0), (1003, " \n\t ", "en", "s", 4), (1004, "one", "en", "s", 3), (1005, "one", "en", "s", 3),
-        (1005, "one", "en", "s", 3), (None, "a line without a number of its own", "en", "s", 1), (1006, long, "en", "s", 1), (1007, long + " tail", None, "s", 1),
+        (1005, "one", "en", "s", 3), (2**53 + 1, "one", "en", "s", 3), (1010, "x" * 3000 + "\n" + "x" * 1200 + "y" + "x" * 1799, "en", "s", 1),
+        (None, "a line without a number of its own", "en", "s", 1), (1006, long, "en", "s", 1), (1007, long + " tail", None, "s", 1),
         (1008, "The same line stands here, twice.\nThe same line stands here, twice.\nthe same line stands here, twicE", "en", "s", 1),
         (1009, "The same line stands here, twicer.\r\n<|endoftext|>  two  spaces and more", "en", "s", 1),
     ]
-    return docs.unionByName(spark.createDataFrame([(*r, "u", "l") for r in hard], SCHEMA)).coalesce(3)
+    return docs.unionByName(spark.createDataFrame([(*r, *EXTRA) for r in hard], SCHEMA)).coalesce(3)
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +119,29 @@ def test_licences(spark):
     assert got[9].n_paragraphs == 0 and got[9].license == "none"
 
 
+def test_licences_in_other_words(spark):
+    """Wordings that no template has, and prose with a licence's words."""
+    said = {
+        "You can use this code under the terms of the Apache License 2.0": "apache-2.0",
+        "This project is distributed under the MIT license": "mit",
+        "This file is part of a library licensed under the GNU General Public License v3.0": "gpl",
+        "GPLv3 or later": "gpl",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND': "mit",
+        "BSD-3-Clause": "bsd",
+        "CC-BY-SA-4.0": "cc-by-sa",
+        "She gave him permission to drive the car": "none",
+        "The copyright question was raised in court": "none",
+        "Most of the software engineers at MIT wrote programs for the public": "none",
+    }
+    rows = [(k, f"Some prose.\n{t}", "x") for k, t in enumerate(said)] + [(3, f"Some prose.\n{list(said)[3]}", "x"), (20, None, "x"), (21, "", "x"), (22, "a b " * 50_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = license_scan.scan(spark, docs).collect()
+    assert len(got) == len(rows)
+    right = sum(r.license == list(said.values())[r.doc_id] for r in got if r.doc_id < 10)
+    assert right >= 10, [(list(said)[r.doc_id], r.license) for r in got if r.doc_id < 10]  # of 11
+    assert all(r.license == "none" for r in got if r.doc_id >= 20)
+
+
 @pytest.mark.parametrize("shard_rows", [40, 8192])
 def test_top_k_is_exact(spark, shard_rows):
     dice = np.random.default_rng(1)
@@ -144,6 +170,31 @@ def test_toxicity_learns_pairs_and_holds_out(spark):
     assert toxicity.toxicity(spark, d, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_pairs_of_harmless_terms(spark):
+    dice = np.random.default_rng(5)
+    docs, labels = [], []
+    for k in range(2000):
+        a, b = dice.integers(0, 2, 2)
+        filler = " ".join(f"filler{x}" for x in dice.integers(0, 40, 6))
+        docs.append((k, f"{filler} {'people' if a else 'tables'} {'outside' if b else 'within'}"))
+        labels.append((k, int(a ^ b)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(spark, d, lab).collect()}
+    held = [k for k in got if got[k].held_out]
+    assert np.mean([got[k].predicted == labels[k][1] for k in held]) > 0.95
+    linear = toxicity.score(d, toxicity.train(spark, d, lab, factors=0)).where("held_out").collect()
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in linear]) < 0.7
+
+
+def test_toxicity_of_hard_rows(spark):
+    rows = [(2**53 + 1, "smile", 3.0), (None, None, 1.0), (2**53 + 1, "smile", 2.0), (5, "", 0.0), (6, "word " * 100_000, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(2**53 + 1, 0), (5, 1), (None, 1), (6, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark, docs, labels).collect()
+    assert sorted((str(r.doc_id) for r in got)) == ["5", "6", *["9007199254740993"] * 2, "None"] and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.toxicity(spark, docs.limit(0), labels).count() == 0
+
+
 def test_shards_are_even_and_keep_copies(spark, given, rows):
     got = sharding.shard(spark, given).collect()
     sizes = collections.Counter(r.shard for r in got)
@@ -177,6 +228,16 @@ def test_mixing_equals_sql(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_clashing_columns(spark, given):
+    want = collections.Counter(given.select("doc_id", "copy", "n_copies", "n_lines").collect())
+    mixed = mixing.mix_documents(spark, given)
+    assert mixed.columns == given.columns and {(r.copy, r.n_copies) for r in mixed.collect()} == {("c", 99)}
+    assert {r.copy for r in mixing.mix(spark, given).collect()} <= set(range(60))
+    kept = line_dedup.keep_lines(spark, given)
+    assert kept.columns == given.columns and not collections.Counter(kept.select("doc_id", "copy", "n_copies", "n_lines").collect()) - want
+    assert sorted(line_dedup.dedup_lines(spark, given).columns) == sorted([*given.columns, "n_exact", "n_near"])
+
+
 def test_mixing_of_hard_rows(spark, given):
     out = mixing.mix(spark, given, weights={"s": 1.0, "none": 2.0})
     assert {r.source for r in out.select("source").distinct().collect()} <= {"s"} and out.count() > 0
@@ -243,13 +304,13 @@ def test_line_dedup(spark, given, rows):
     for d, t in sorted({(d, t) for d, t, _ in rows}, key=lambda r: (r[0] is None, r[0])):
         kept, exact, near = [], 0, 0
         for line in t.split("\n"):
-            n = line.strip(" ").lower()
-            if len(n) < 20:
+            n = line.strip(" \t\x0b\x0c\r").lower()
+            if not n:
                 kept.append(line)
             elif n in seen:
                 exact += 1
             else:
-                seen[n] = any(one_edit(n, x) for x in seen)
+                seen[n] = len(n) >= 8 and any(len(x) >= 8 and one_edit(n, x) for x in seen)
                 near += seen[n]
                 if not seen[n]:
                     kept.append(line)
@@ -257,6 +318,17 @@ def test_line_dedup(spark, given, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op7_minhash_dedup", "op8_line_dedup"])
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    got, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=repr)
+
+
 def test_main_text():
     page = (
         "<html><head><title>No</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div>"
