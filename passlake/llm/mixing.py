@@ -57,8 +57,10 @@ def _mixed(spark: SparkSession, docs: DataFrame, group: str, weights: dict[str,
     rates = rates.select("__group", poisson_cdf(F.col("rate")).alias("__cdf"), F.col("rate").alias("__rate"))
     # One row for each source, behind a count; more sources than that are joined by shuffle.
     joined = docs.join(small(rates, rates.count(), 1000), F.col(group).eqNullSafe(F.col("__group")))
-    u = uniform(seed, F.col("doc_id"))
-    drawn = F.when(F.col("__rate") > 0, F.size(F.filter("__cdf", lambda c: c <= u))).otherwise(F.lit(0))
+    # The hash is repeated as a value: inside the lambda it would be computed for each step of the distribution.
+    u = F.array_repeat(uniform(seed, F.col("doc_id")), F.size("__cdf"))
+    passed = F.filter(F.zip_with("__cdf", u, lambda c, x: c <= x), lambda x: x)
+    drawn = F.when(F.col("__rate") > 0, F.size(passed)).otherwise(F.lit(0))
     copies = joined.withColumn("__n", drawn.cast("long")).where("__n > 0").drop("__group", "__cdf", "__rate")
     copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     keyed = copies.withColumn("__key", uniform(f"{seed}-order", F.col("doc_id"), F.col("__copy")))
