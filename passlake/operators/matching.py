@@ -51,50 +51,6 @@ def retrieve_sequences(passes: DataFrame, targets: DataFrame, k: int = 3) -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target_id", "flower_id", "rank", "score", "coverage", band.alias("band"))
 
 
-def score_designs(occurrences: DataFrame, designs: DataFrame) -> DataFrame:
-    """Weighted score of an occurrence against the designs of its own family bucket.
-
-    Components: diameter and width (relative to tolerance 1), role; coverage is their share of the weight.
-    """
-    pairs = occurrences.join(designs.select(*[F.col(c).alias(f"d_{c}") for c in designs.columns]), F.col("bucket") == F.col("d_bucket"))
-    parts = {
-        "diameter": rel_sim(F.col("diameter"), F.col("d_diameter"), 1.0),
-        "width": rel_sim(F.col("width"), F.col("d_width"), 1.0),
-        "role": F.when(F.col("role") == F.col("d_role"), F.lit(1.0)).otherwise(F.lit(0.0)),
-    }
-    score, coverage = weighted_score(parts, {"diameter": 0.10, "width": 0.10, "role": 0.05})
-    return pairs.select("occ_id", F.col("d_design_id").alias("design_id"), F.col("d_family").alias("family"), score.alias("score"), coverage.alias("coverage"))
-
-
-def best_per_design(scored: DataFrame, k: int = 5) -> DataFrame:
-    """Best row of each (occurrence, family), then the k best of an occurrence."""
-    order = [F.desc("score"), F.desc("coverage"), "design_id"]
-    one = scored.withColumn("n", F.row_number().over(Window.partitionBy("occ_id", "family").orderBy(*order))).where("n = 1")
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("occ_id").orderBy(*order))).drop("n")
-    return ranked.where(F.col("rank") <= k)
-
-
-def recognise(ranked: DataFrame, high: float = 0.9, minimum: float = 0.55, least_margin: float = 0.05) -> DataFrame:
-    """Top candidate of each occurrence with margin (1 if alone), confidence and state."""
-    w = Window.partitionBy("occ_id").orderBy("rank")
-    top = ranked.withColumn("margin", F.coalesce(F.round(F.col("score") - F.lead("score").over(w), 6), F.lit(1.0))).where("rank = 1")
-    confidence = 0.45 * F.col("score") + 0.25 * F.col("coverage") + 0.15 * F.least("margin", F.lit(1.0)) + F.lit(0.15)
-    state = F.when(F.col("score") < minimum, "NO_MATCH").when(F.col("margin") < least_margin, "AMBIGUOUS").when(F.col("score") >= high, "MATCH_HIGH").otherwise("MATCH")
-    return top.select("occ_id", "design_id", "score", "margin", F.round(confidence, 6).alias("confidence"), state.alias("state"))
-
-
-def recognition_metrics(results: DataFrame) -> DataFrame:
-    """Top-1, top-3 and mean reciprocal rank of results (case, rank, predicted, expected)."""
-    hit = F.when(F.col("predicted") == F.col("expected"), F.col("rank"))
-    best = results.groupBy("case").agg(F.min(hit).alias("first"))
-    return best.agg(
-        F.count(F.lit(1)).alias("cases"),
-        F.avg(F.when(F.col("first") == 1, 1.0).otherwise(0.0)).alias("top1"),
-        F.avg(F.when(F.col("first") <= 3, 1.0).otherwise(0.0)).alias("top3"),
-        F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
-    )
-
-
 def catalog_match(occurrences: DataFrame, catalog: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """Permanent id, else all dimensions within tolerance; one hit decides, several go to manual review.
 

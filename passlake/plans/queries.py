@@ -304,53 +304,6 @@ def _(s, d):
     return m.retrieve_sequences(rows, rows)
 
 
-def scored(s: SparkSession, d: str) -> DataFrame:
-    designs = view(s, d, "designs").withColumn("bucket", F.col("design_id") % 64)
-    occ = table(s, d, "supplier").select(
-        F.col("s_suppkey").alias("occ_id"),
-        (F.col("s_suppkey") % 50).cast("double").alias("diameter"),
-        F.col("s_acctbal").alias("width"),
-        F.lit("ECONOMY").alias("role"),
-        (F.col("s_suppkey") % 64).alias("bucket"),
-    )
-    return m.score_designs(occ, designs)
-
-
-SCORED = f"""(select s_suppkey occ_id, design_id, family, round((0.1 * greatest(0.0, 1 - abs(s_suppkey % 50 - diameter) / greatest(s_suppkey % 50, abs(diameter), 1.0))
-  + 0.1 * greatest(0.0, 1 - abs(s_acctbal - width) / greatest(abs(s_acctbal), abs(width), 1.0)) + 0.05 * (case when role = 'ECONOMY' then 1 else 0 end)) / 0.25::double, 6) score,
-  1.0::double coverage from supplier join {DS} x on s_suppkey % 64 = design_id % 64)"""
-BEST = f"""(select *, row_number() over (partition by occ_id order by score desc, coverage desc, design_id) rank from (select * from {SCORED}
-  qualify row_number() over (partition by occ_id, family order by score desc, coverage desc, design_id) = 1) qualify rank <= 5)"""
-
-
-@query("f1_score_designs", f"select * from {SCORED}")
-def _(s, d):
-    return scored(s, d)
-
-
-@query("f3_best_per_design", f"select occ_id, design_id, family, score, coverage, cast(rank as integer) rank from {BEST}")
-def _(s, d):
-    return m.best_per_design(scored(s, d))
-
-
-@query("f4_recognise", f"""
-with n as (select *, coalesce(round(score - lead(score) over (partition by occ_id order by rank), 6), 1.0) margin from {BEST})
-select occ_id, design_id, score, margin, round(0.45 * score + 0.25 * coverage + 0.15 * least(margin, 1.0) + 0.15, 6) confidence,
-  case when score < 0.55 then 'NO_MATCH' when margin < 0.05 then 'AMBIGUOUS' when score >= 0.9 then 'MATCH_HIGH' else 'MATCH' end state from n where rank = 1""")
-def _(s, d):
-    return m.recognise(m.best_per_design(scored(s, d)))
-
-
-@query("g1_recognition_metrics", f"""
-with f as (select b.occ_id, min(case when b.family = 'Brand#' || (1 + b.occ_id % 5) then b.rank end) first from {BEST} b group by 1)
-select count(*) cases, round(avg(case when first = 1 then 1.0 else 0.0 end), 6) top1, round(avg(case when first <= 3 then 1.0 else 0.0 end), 6) top3,
-  round(avg(coalesce(1.0 / first, 0)), 6) mrr from f""")
-def _(s, d):
-    expected = F.concat(F.lit("Brand#"), (1 + F.col("occ_id") % 5).cast("string"))
-    rows = m.best_per_design(scored(s, d)).select(F.col("occ_id").alias("case"), "rank", F.col("family").alias("predicted"), expected.alias("expected"))
-    return rounded(m.recognition_metrics(rows))
-
-
 @query("e1_catalog_match", f"""
 with o as (select s_suppkey occ_id, case when s_suppkey % 3 = 0 then s_suppkey end design_id, (s_suppkey % 50)::double diameter, 900.0 + s_suppkey % 100 width from supplier),
 a as (select o.occ_id, c.design_id match, 'ID' tier from o join {DS} c on o.design_id = c.design_id),

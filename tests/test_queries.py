@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from passlake.plans.rules import QUERIES, SQL
+from passlake.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
