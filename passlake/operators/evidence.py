@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from passlake.operators.ranks import bin_of, cumulative, percentiles
+
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Children without a parent, counted by key."""
@@ -104,11 +106,14 @@ def grouped_split(group: Column) -> Column:
     return F.when(bucket < 70, "train").when(bucket < 85, "validation").otherwise("test")
 
 
-def content_hash(rows: DataFrame, group: str, fields: list[str], buckets: int = 64) -> DataFrame:
-    """Hash of each group's rows in any order: hashes of rows, sorted within buckets, then over bucket hashes."""
+def content_hash(rows: DataFrame, group: str, fields: list[str], digits: int = 2) -> DataFrame:
+    """Hash of each group's rows in any order: hashes of rows, sorted within buckets, then over bucket hashes.
+
+    A group has 16 ** digits buckets: take a digit more where groups have 16 times the rows, so that neither list grows.
+    """
     text = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("~")) for f in fields])
     hashed = rows.select(group, F.sha2(text, 256).alias("h"))
-    by = hashed.groupBy(group, F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    by = hashed.groupBy(group, F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
     return by.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), ""), 256).alias("hash"))
 
 
@@ -122,20 +127,34 @@ def collision_key(rows: DataFrame, path: str) -> DataFrame:
 
 
 def calibration(rows: DataFrame, support: str, error: str, bins: int = 5) -> DataFrame:
-    """Near-equal bins by support: range of support, mean, median and 90th percentile of error.
+    """Near-equal bins by support, then error: range of support, mean, median and 90th percentile of error.
 
-    Bins come from exact percentiles of support, not from one sorted partition.
+    A bin is a row's place in that order, the first bins taking the remainder. Places and percentiles are exact and come from range partitions;
+    rows equal in both values are counted, not moved. Rows with nulls take no part.
     """
-    cuts = rows.agg(F.percentile(support, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("c")).first()["c"] or []
-    number = sum((F.when(F.col(support) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return rows.groupBy(number.cast("long").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(support).alias("low"), F.max(support).alias("high"), F.avg(error).alias("mean_error"), F.median(error).alias("median_error"), F.percentile(error, F.lit(0.9)).alias("p90_error")
+    given = rows.select(support, error).dropna()
+    pair = F.struct(support, error)
+    counted = cumulative(given.select(pair.alias("pair")), [], "pair")
+    total = counted.agg(F.sum("n").alias("total"))
+    placed = counted.crossJoin(F.broadcast(total))  # one row
+    first, last = (bin_of(F.col("low") + k, F.col("total"), bins) for k in (F.lit(0), F.col("n") - 1))
+    # Equal rows may lie over a border of bins: each bin gets its share of them.
+    split = placed.withColumn("bin", F.explode(F.sequence(first, last)))
+    size, more = F.floor(F.col("total") / bins), F.col("total") % bins
+    start = lambda b: b * size + F.least(b, more)
+    inside = F.least(F.col("low") + F.col("n"), start(F.col("bin") + 1)) - F.greatest(F.col("low"), start(F.col("bin")))
+    split = split.select("bin", F.col(f"pair.{support}").alias("s"), F.col(f"pair.{error}").alias("e"), inside.alias("k"))
+    told = split.groupBy("bin").agg(
+        F.sum("k").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), (F.sum(F.col("e") * F.col("k")) / F.sum("k")).alias("mean_error")
     )
+    each = split.select("bin", "e", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("again"))
+    share = percentiles(each, ["bin"], "e", {"median_error": 0.5, "p90_error": 0.9})
+    return told.join(share, "bin").select(F.col("bin").cast("long").alias("bin"), "n", "low", "high", "mean_error", "median_error", "p90_error")
 
 
 def ood_thresholds(rows: DataFrame, distance: str) -> DataFrame:
-    """p95, and p99 or 1.05 times p95 if that is more."""
-    got = rows.agg(F.percentile(distance, F.lit(0.95)).alias("near"), F.percentile(distance, F.lit(0.99)).alias("p99"))
+    """p95, and p99 or 1.05 times p95 if that is more; exact, from range partitions."""
+    got = percentiles(rows, [], distance, {"near": 0.95, "p99": 0.99})
     return got.select("near", F.greatest(F.col("p99"), 1.05 * F.col("near")).alias("far"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from passlake.functions.vectors import lerp, vec_rms
+from passlake.operators.ranks import values_at
 
 
 def flower() -> WindowSpec:
@@ -58,10 +59,10 @@ def filter_outliers(passes: DataFrame, share: float = 0.25, jump: float = 0.75)
 
 
 def length_progression(passes: DataFrame) -> DataFrame:
-    """Deviation in percent from the upper median of the sequence, and its class."""
-    n = F.count(F.lit(1)).over(flower())
-    upper = F.element_at(F.sort_array(F.collect_list("width").over(flower())), (F.floor(n / 2) + 1).cast("int"))
-    out = passes.withColumn("percent", 100 * F.abs(F.try_divide(F.col("width") - upper, upper)))
+    """Deviation in percent from the upper median of the sequence, and its class. The median is found once for each sequence, from range partitions."""
+    upper = values_at(passes, ["flower_id"], "width", {"upper": F.floor(F.col("total") / 2)})
+    out = passes.join(upper, "flower_id", "left")
+    out = out.withColumn("percent", 100 * F.abs(F.try_divide(F.col("width") - F.col("upper"), F.col("upper"))))
     ladder = F.when(F.col("percent") <= 0.25, "CONSISTENT").when(F.col("percent") <= 1, "MINOR").when(F.col("percent") <= 5, "REVIEW")
     return out.select("flower_id", "ord", "percent", ladder.otherwise("INVALID").alias("progression"))
 

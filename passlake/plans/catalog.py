@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passlake.plans import recognition, rules, shapes, spatial  # noqa: F401
+from passlake.plans import models, recognition, rules, shapes, spatial  # noqa: F401
 from passlake.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

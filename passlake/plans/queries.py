@@ -305,31 +305,36 @@ def _(s, d):
 
 
 @query("e1_catalog_match", f"""
-with o as (select s_suppkey occ_id, case when s_suppkey % 3 = 0 then s_suppkey end design_id, (s_suppkey % 50)::double diameter, 900.0 + s_suppkey % 100 width from supplier),
-a as (select o.occ_id, c.design_id match, 'ID' tier from o join {DS} c on o.design_id = c.design_id),
-b as (select o.occ_id, count(*) n, min(c.design_id) match from o join {DS} c on abs(c.diameter - o.diameter) <= 0.1 and abs(c.width - o.width) <= 0.1
-  where o.occ_id not in (select occ_id from a) group by 1)
-select o.occ_id, coalesce(a.match, case when n = 1 then b.match end) match, coalesce(a.tier, case when n = 1 then 'DIMENSIONS' when n > 1 then 'REVIEW' end, 'NONE') tier
-from o left join a using (occ_id) left join b using (occ_id)""")
-def _(s, d):
-    key = F.col("s_suppkey")
-    occ = table(s, d, "supplier").select(
-        key.alias("occ_id"),
-        F.when(key % 3 == 0, key).alias("design_id"),
-        (key % 50).cast("double").alias("diameter"),
-        (900.0 + key % 100).alias("width"),
-    )
-    return m.catalog_match(occ, view(s, d, "designs").select("design_id", "diameter", "width"))
+with o as (select o_orderkey occ_id, case when o_orderkey % 5 = 0 then o_orderkey % 2500 end design_id, case when o_orderkey % 5 = 1 then 'dr' || (o_orderkey % 1000) end drawing,
+  case when o_orderkey % 5 = 2 then 'f' || (o_orderkey % 1200) end print, (o_orderkey % 50)::double diameter, 900 + (o_orderkey % 1000) / 10 width from orders),
+c as (select design_id, 'dr' || (design_id % 700) drawing, 'f' || (design_id % 900) print, diameter, width from {DS}),
+h as (select occ_id, 0 place, 'ID' tier, c.design_id from o join c on o.design_id = c.design_id union all select occ_id, 1, 'DRAWING', c.design_id from o join c on o.drawing = c.drawing
+  union all select occ_id, 2, 'FINGERPRINT', c.design_id from o join c on o.print = c.print union all select occ_id, 3, 'DIMENSIONS', c.design_id from o join c
+  on floor(c.diameter) = floor(o.diameter) and abs(c.diameter - o.diameter) <= 0.1 and abs(c.width - o.width) <= 0.1),
+n as (select occ_id, place, tier, count(distinct design_id) n, min(design_id) match from h group by 1, 2, 3 qualify place = min(place) over (partition by occ_id))
+select o.occ_id, case when n = 1 then match end match, case when n > 1 then 'REVIEW' else coalesce(tier, 'NONE') end tier from o left join n using (occ_id)""")
+def _(s, d):
+    key = F.col("o_orderkey")
+    occ = table(s, d, "orders").select(
+        key.alias("occ_id"), F.when(key % 5 == 0, key % 2500).alias("design_id"), F.when(key % 5 == 1, F.concat(F.lit("dr"), (key % 1000).cast("string"))).alias("drawing"),
+        F.when(key % 5 == 2, F.concat(F.lit("f"), (key % 1200).cast("string"))).alias("fingerprint"), (key % 50).cast("double").alias("diameter"), (900 + (key % 1000) / 10).alias("width"),
+    )
+    key = F.col("design_id")
+    names = {"drawings": F.array(F.concat(F.lit("dr"), (key % 700).cast("string"))), "fingerprint": F.concat(F.lit("f"), (key % 900).cast("string"))}
+    return m.catalog_match(occ, view(s, d, "designs").select("design_id", "diameter", "width", *[c.alias(n) for n, c in names.items()]))
 
 
 @query("d9_near_duplicates", f"""
-with i as (select role grp, design_id id, diameter size, width from {DS})
-select b.id, min(a.id) canonical from i a join i b on a.grp = b.grp and a.id < b.id
-and round(0.5 * greatest(0.0, 1 - abs(a.size - b.size) / greatest(a.size, b.size)) + 0.5 * greatest(0.0, 1 - abs(a.width - b.width) / greatest(a.width, b.width)), 9) >= 0.985
-group by 1""")
-def _(s, d):
-    rows = view(s, d, "designs").select(F.col("role").alias("grp"), F.col("design_id").alias("id"), F.col("diameter").alias("size"), "width")
-    return m.near_duplicates(rows)
+with i as (select role grp, design_id id, diameter length, width, (design_id % 7 + 5)::double height from {DS}),
+p as (select b.id, a.id canonical, round(0.5 * greatest(0.0, 1 - abs(a.length - b.length) / greatest(a.length, b.length)) + 0.25 * greatest(0.0, 1 - abs(a.width - b.width) / greatest(a.width, b.width))
+  + 0.25 * greatest(0.0, 1 - abs(a.height - b.height) / greatest(a.height, b.height)), 9) score from i a join i b on a.grp = b.grp and a.id < b.id)
+select id, canonical, round(score, 6) score, case when score >= 0.995 then 'EXACT' when score >= 0.94 then 'PROFILE' else 'NONE' end link from p where score >= 0.985
+qualify row_number() over (partition by id order by canonical) = 1""")
+def _(s, d):
+    rows = view(s, d, "designs").select(
+        F.col("role").alias("grp"), F.col("design_id").alias("id"), F.col("diameter").alias("length"), "width", (F.col("design_id") % 7 + 5).cast("double").alias("height")
+    )
+    return rounded(m.near_duplicates(rows))
 
 
 @query("e4_nearest_progress", f"""
@@ -491,8 +496,7 @@ def _(s, d):
 
 
 @query("g9_calibration", """
-with c as (select quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) c from events), e as (select value, abs(value - 50) err from events),
-b as (select cast(len(list_filter(c, lambda x: value > x)) as bigint) bin, value, err from e, c)
+with b as (select value, abs(value - 50) err, cast(ntile(5) over (order by value, abs(value - 50)) - 1 as bigint) bin from events)
 select bin, count(*) n, min(value) low, max(value) high, round(avg(err), 6) mean_error, round(median(err), 6) median_error, round(quantile_cont(err, 0.9), 6) p90_error from b group by 1""")
 def _(s, d):
     rows = table(s, d, "events").select("value", F.abs(F.col("value") - 50).alias("err"))

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts that stand for an unknown value, in lower case.
-UNKNOWN = ["", "-", "?", "n/a", "na", "none", "tbd", "unknown"]
+UNKNOWN = ["", "-", "?", "n/a", "na", "none", "null", "tbd", "unknown"]
+#: Other names of inventory columns.
+ALIASES = {"id": "asset_id", "roller_id": "asset_id", "design": "design_id", "alias": "design_alias"}
+NUMBER = r"^[-+]?[0-9]+(\.[0-9]+)?$"
 
 
 def header(name: str) -> str:
-    """A column name in lower case with one underscore for other characters."""
-    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+    """A column name in lower case with one underscore for other characters; other names of inventory columns become these."""
+    text = re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+    return ALIASES.get(text, text)
 
 
 def clean_feed(df: DataFrame, numbers: list[str]) -> DataFrame:
@@ -24,7 +28,8 @@ def clean_feed(df: DataFrame, numbers: list[str]) -> DataFrame:
             text = F.trim(name)
             out = out.withColumn(name, F.when(~F.lower(text).isin(UNKNOWN), text))
         if name in numbers:
-            out = out.withColumn(name, F.col(name).try_cast("double"))
+            written = F.col(name).cast("string")
+            out = out.withColumn(name, F.when(written.rlike(NUMBER), written.try_cast("double")) if kind == "string" else F.col(name).cast("double"))
     return out
 
 
