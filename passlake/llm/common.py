@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 10_000
 #: Rows of two or three numbers (5 MB or so) up to which a list of row keys is broadcast to a scan of texts.
 BROADCAST_KEYS = 200_000
+#: Numbers in arrays beside such keys (4 MB) up to which they are broadcast too.
+BROADCAST_NUMBERS = 1_000_000
 #: Rows that a Python function turns into Python objects at once.
 SLICE_ROWS = 500
 
@@ -36,13 +38,22 @@ class Workspace:
             root = tempfile.mkdtemp(prefix="passlake-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.path, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        self.saved: list[tuple[str, str]] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
         df.write.parquet(path)
+        self.saved.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *keep: str) -> None:
+        """Deletes the tables saved so far but those named. Only for tables that nothing still to be computed reads."""
+        for name, path in [x for x in self.saved if x[0] not in keep]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.saved.remove((name, path))
+
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passlake.llm.common import BROADCAST_KEYS, Workspace, small
+from passlake.llm.common import BROADCAST_KEYS, BROADCAST_NUMBERS, Workspace, small
 
 #: Shorter normalised lines go only if they are equal: one edit makes other words of them.
 NEAR_CHARS = 8
@@ -102,6 +102,7 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, near_chars: int = NEAR
         "texts",
     )
     near = work.save(_near(work, texts), "near")
+    work.drop("lines", "distinct", "near")
 
     repeated = distinct.where("first <> last").select("k1", "k2", "first", F.lit(False).alias("near"))
     close = distinct.join(near, "first").select("k1", "k2", "first", F.lit(True).alias("near"))
@@ -116,7 +117,9 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, near_chars: int = NEAR
             F.collect_set(F.when(F.col("near") & (F.col("pos") == F.col("first")), F.col("line_no"))).alias("near"),
         )
     )
-    return work.save(gone, "gone")
+    gone = work.save(gone, "gone")
+    work.drop("gone")
+    return gone
 
 
 def _near(work: Workspace, texts: DataFrame) -> DataFrame:
@@ -194,7 +197,10 @@ def _near(work: Workspace, texts: DataFrame) -> DataFrame:
 
 def _cleaned(spark: SparkSession, docs: DataFrame, near_chars: int) -> DataFrame:
     """docs with their text cleaned, and __lines, __n_exact and __n_near."""
-    gone = line_duplicates(spark, docs, near_chars).select(
+    gone = line_duplicates(spark, docs, near_chars)
+    rows, numbers = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("exact") + F.size("near")), F.lit(0))).first()
+    # The size of both, the rows and their arrays, decides whether texts must move.
+    gone = small(gone, rows, BROADCAST_KEYS if numbers <= BROADCAST_NUMBERS else 0).select(
         F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("exact").alias("__exact"), F.col("near").alias("__near")
     )
     keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))

@@ -174,6 +174,7 @@ def near_duplicates(
     percent: int = SIMILARITY_PERCENT,
     bands: int = BANDS,
     rows_per_band: int = ROWS_PER_BAND,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """One row for each row of docs: uid, doc_id, text_hash, n_shingles, component_id, kept.
 
@@ -189,9 +190,11 @@ def near_duplicates(
     empty texts have no shingles and are linked with nothing. Rows are told apart by
     position, so repeated rows join as exact copies (each with its doc_id; all rows
     with the smallest one are kept). A null doc_id never names a component unless all of its are null.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. work: where intermediate tables go; the result
+    reads its tables features and components, the others are deleted.
     """
-    work = Workspace(spark, "minhash")
+    work = work or Workspace(spark, "minhash")
+    before = [name for name, _ in work.saved]
     hashes_n = bands * rows_per_band
 
     hashes = Hashes(hashes_n)
@@ -277,6 +280,7 @@ def near_duplicates(
         .select("band", "number", "in_main", F.struct(*[F.col(f"x.{c}").alias(c) for c in ("node", "label", "signature", "n", "sketch")]).alias("x"))
     )
     blocks = work.save(blocks, "blocks")
+    work.drop("features", "nodes", "candidates", "links", "blocks", *before)
     one = blocks.where(~F.col("in_main")).select("band", "number", F.col("x").alias("a"))
     other = blocks.select("band", F.col("x").alias("b"))
     pairs = one.join(other, "band").select("number", "a", "b")
@@ -290,6 +294,7 @@ def near_duplicates(
     )
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = work.save(named.join(least, "label").select("set_key", F.col("component_id")), "components")
+    work.drop("features", "components", *before)
     out = found.select("uid", "doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select(
         "uid",
@@ -305,8 +310,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows are known by doc_id and their text's hash; repeated rows of a leader all stay, and so do rows without words.
     """
-    verdicts = near_duplicates(spark, docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"))
-    gone = Workspace(spark, "minhash").save(verdicts.where(~F.col("kept")).drop("kept"), "dropped")
+    work = Workspace(spark, "minhash")
+    verdicts = near_duplicates(spark, docs, work=work).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"))
+    gone = work.save(verdicts.where(~F.col("kept")).drop("kept"), "dropped")
+    work.drop("dropped")
     gone = small(gone, gone.count(), BROADCAST_KEYS).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash"))
     return docs.join(gone, same, "left_anti")

@@ -137,7 +137,9 @@ def _removed_lines(spark: SparkSession, work: Workspace, docs: DataFrame, host:
         .groupBy(*key)
         .agg(F.collect_set("line_no").alias("gone"))
     )
-    return work.save(removed, "removed")
+    removed = work.save(removed, "removed")
+    work.drop("removed")
+    return removed
 
 
 def _distinct(spark: SparkSession, work: Workspace, given: DataFrame, held: DataFrame) -> DataFrame:
@@ -149,7 +151,7 @@ def _distinct(spark: SparkSession, work: Workspace, given: DataFrame, held: Data
     texts = work.save(texts.select(F.col("text_hash").alias("__hash"), F.col("first.doc_id").alias("__id")), "holders")
     one = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
     compared = given.join(small(texts, texts.count(), BROADCAST_KEYS), one).select(F.col("__hash").alias("doc_id"), "text")
-    copies = near_duplicates(spark, compared).groupBy(F.col("doc_id").alias("text_hash")).agg(F.min("component_id").alias("document"))
+    copies = near_duplicates(spark, compared, work=work).groupBy(F.col("doc_id").alias("text_hash")).agg(F.min("component_id").alias("document"))
     each = held.select("host", "line", "text_hash").distinct().join(copies, "text_hash").select("host", "line", "document").distinct()
     return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
 
