@@ -17,8 +17,8 @@ from passlake.llm.common import BROADCAST_ROWS, Workspace, gapless_rank, small,
 
 CAPACITY = 1024
 END_ID = 2
-#: Distinct chunks (a word with the space before it), met twice or once, whose ids a Python worker remembers.
-CACHE_CHUNKS = 100_000
+#: Distinct chunks (a word with the space before it) whose ids a Python worker remembers, 100 MB or so.
+CACHE_CHUNKS = 500_000
 #: Texts that are encoded together.
 TEXTS = 256
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -66,7 +66,6 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = _load(path)
         self.known: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -80,26 +79,16 @@ class Encoder:
         return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Chunks met in one call only are forgotten first, as most of them never come again."""
-        known, once = self.known, self.once
+        known = self.known
         if len(known) > CACHE_CHUNKS:
             known.clear()
-        if len(once) > CACHE_CHUNKS:
-            once.clear()
         cut = [self.chunks(t) if t else [] for t in texts]
-        absent = {c for parts in cut if parts for c in parts}.difference(known)
-        again = absent.intersection(once)
-        for c in again:
-            known[c] = once.pop(c)
-        new = list(absent.difference(again))
+        new = list({c for parts in cut if parts for c in parts}.difference(known))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[c] = _bytes(e.ids)
-        out = [b"".join([known[c] for c in parts]) if parts is not None else self._ids(t) for t, parts in zip(texts, cut, strict=True)]
-        for c in new:
-            once[c] = known.pop(c)
-        return out
+        return [b"".join([known[c] for c in parts]) if parts is not None else self._ids(t) for t, parts in zip(texts, cut, strict=True)]
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
