@@ -144,7 +144,7 @@ def top_k(
     that are null, empty or hold null or non-finite components take no part, nor does a null vec_id; a query meets
     vectors of its own dimension, without those of its own vec_id. Ties go to smaller vec_ids.
     Scores must fit in 64 bits. Rows of a repeated vec_id are candidates one by one, and a repeated
-    query gives one answer. Empty tables give an empty result; other columns are ignored.
+    query asks with the least of its vectors (the shortest, then by components). Empty tables give an empty result; other columns are ignored.
 
     Vectors are dealt by hash to shards of about shard_rows rows, and queries to blocks. First each block
     searches one shard; then it searches the others with the k-th best scores found there, so boxes and leaves
@@ -162,7 +162,8 @@ def top_k(
             F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"),
         )
 
-    rows, asked = ready(vectors), ready(queries).dropDuplicates(["vec_id"])
+    rows = ready(vectors)
+    asked = ready(queries).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v")
     n, q = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_rows))
     trees = work.save(_packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))), "shard", "ids", "vectors"), "trees")

@@ -1,6 +1,8 @@
 """The ten operators and the pipeline against brute force, on the smallest tables and on a fixture of hard rows."""
 
 import collections
+import hashlib
+import math
 import time
 import zlib
 
@@ -157,6 +159,14 @@ def test_top_k_is_exact(spark, shard_rows):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
 
 
+def test_top_k_of_hard_rows(spark):
+    rows = [(0, [1.0, 2.0], 5, 1), (0, [1.0, 2.0], 6, 1), (0, [0.0, 1.0], 7, 1), (1, [3.0, 1.0], 8, 1), (2, [0.0, 9.0], 9, 1), (None, [1.0, 1.0], 9, 1), (3, [], 9, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score long, rank int")
+    got = kdtree.top_k(spark, df, df.where("vec_id = 0")).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2, 9 * 256 * 256), (2, 1, 256 * 256)]
+    assert kdtree.top_k(spark, df.limit(0), df.limit(0)).count() == 0
+
+
 def test_toxicity_learns_pairs_and_holds_out(spark):
     docs, labels = [], []
     for k in range(1200):
@@ -443,6 +453,85 @@ def test_empty_tables(spark, given):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_counts_follow_the_folder(spark):
+    """Calls in one session see the folder that they are given."""
+    for sf in (SF, "/root/testdata/sf0.01", SF):
+        docs, pages = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages"))
+        assert html_text.op9_query(spark, sf).count() == pages
+        assert sharding.op5_query(spark, sf).count() == docs
+
+
+def repeats(words_):
+    grams = list(zip(words_, words_[1:], words_[2:], strict=False))
+    n = collections.Counter(grams)
+    return len({i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)})
+
+
+def cleaned(rows):
+    """Texts without repeated lines, in the order of ids."""
+    seen, out = {}, []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        kept = []
+        for line in t.split("\n"):
+            n = line.strip(" \t\x0b\x0c\r").lower()
+            if n and n in seen:
+                continue
+            if n:
+                seen[n] = len(n) >= 8 and any(len(x) >= 8 and one_edit(n, x) for x in seen)
+            if not n or not seen[n]:
+                kept.append(line)
+        text = "\n".join(kept)
+        if text == t or words(text):
+            out.append((d, text))
+    return out
+
+
+def copies(rows):
+    """Number of copies of each (doc_id, source) by inverting a Poisson distribution at a hash."""
+    sizes = collections.Counter(r[1] for r in rows)
+    whole = sum(n**0.5 for n in sizes.values())
+    out = collections.Counter()
+    for d, source in rows:
+        rate = sizes[source] ** 0.5 / whole * len(rows) / sizes[source]
+        u = int(hashlib.md5(f"mix-1:{'null' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
+        k, log, total = 0, -rate, math.exp(-rate)
+        while total <= u:
+            k += 1
+            log += math.log(rate) - math.log(k)
+            total += math.exp(log)
+        out[d] += k
+    return +out
+
+
+def test_pipeline_of_hard_rows(spark, given):
+    """Every stage against a plain version, on what its predecessor kept."""
+    docs, names = given, [name for name, _ in corpus_pipeline.STAGES]
+    long = [(2000 + k, f"{'shared words of a page ' * 9}{k}\n" + " ".join(f"own{k}q{j}" for j in range(60)), "en", "s", 1, *EXTRA) for k in range(3)]
+    docs = docs.unionByName(spark.createDataFrame([*long, long[0]], SCHEMA))
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+        docs = stage(spark, docs, SF)
+        rows = docs.collect()
+        docs = spark.createDataFrame(rows, docs.schema)
+        if name == names[0]:
+            want = [(d, t) for d, t, _ in before if t and len(words(t)) >= 50 and 100 * repeats(words(t)) <= 50 * len(words(t))]
+        elif name == names[1]:
+            want = cleaned({(d, t) for d, t, _ in before})
+            want = [x for x in want for _ in range(sum(d == x[0] for d, _, _ in before))]
+        elif name == names[2]:
+            sets, least = components([(d, t or "", "") for d, t, _ in before], 5)
+            want = [(d, t) for (d, t, _), s, c in zip(before, sets, least, strict=True) if not s or c == d]
+        elif name == names[3]:
+            n = copies([(d, x) for d, _, x in before])
+            assert collections.Counter(r.doc_id for r in rows) == n
+            continue
+        else:
+            ids = collections.Counter(r.doc_id for r in rows if r.piece == 0)
+            assert ids == collections.Counter(d for d, _, _ in before)
+            continue
+        assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter(want), name
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:3]:
