@@ -43,7 +43,7 @@ def path_length(pts: Column) -> Column:
 
 
 def bbox(pts: Column) -> Column:
-    """min and max of both axes, width, height, aspect (null for zero height)."""
+    """min and max of both axes, width, height, aspect (null for zero height), area, perimeter, diagonal and centre of the box."""
     x, y = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
     low_x, high_x, low_y, high_y = F.array_min(x), F.array_max(x), F.array_min(y), F.array_max(y)
     return F.struct(
@@ -54,6 +54,11 @@ def bbox(pts: Column) -> Column:
         (high_x - low_x).alias("width"),
         (high_y - low_y).alias("height"),
         F.try_divide(high_x - low_x, high_y - low_y).alias("aspect"),
+        ((high_x - low_x) * (high_y - low_y)).alias("area"),
+        (2 * (high_x - low_x + high_y - low_y)).alias("perimeter"),
+        F.hypot(high_x - low_x, high_y - low_y).alias("diagonal"),
+        ((low_x + high_x) / 2).alias("center_x"),
+        ((low_y + high_y) / 2).alias("center_y"),
     )
 
 
@@ -64,7 +69,7 @@ def vec_rms(a: Column, b: Column) -> Column:
 
 
 def rel_sim(a: Column, b: Column, floor: float = 1e-9) -> Column:
-    """1 - |a - b| / max(|a|, |b|, floor) in [0, 1]; null if either is null."""
+    """1 - |a - b| / max(|a|, |b|, floor) in [0, 1]; null if either is null. A tolerance as floor keeps small values from differing wholly."""
     scale = F.greatest(F.abs(a), F.abs(b), F.lit(floor))
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(a - b) / scale))
 
@@ -113,6 +118,11 @@ def fingerprint(values: Column) -> Column:
     return F.sha2(F.array_join(F.transform(values, lambda x: F.floor(x * 1_000_000 + 0.5).cast("long").cast("string")), ","), 256)
 
 
+def flat(pts: Column) -> Column:
+    """x0, y0, x1, y1, ... of points."""
+    return F.flatten(F.transform(pts, lambda p: F.array(p["x"], p["y"])))
+
+
 def vector_with_mask(*fields: Column) -> tuple[Column, Column]:
     """Values with 0 for missing ones (null, NaN, infinite), and a mask that is true for those."""
     missing = [f.isNull() | F.isnan(f) | (F.abs(f) == float("inf")) for f in fields]

@@ -164,6 +164,12 @@ def corpus_report(rows: DataFrame, *dims: str) -> DataFrame:
     return rows.select(F.explode(pairs).alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def leakage(rows: DataFrame, group: str, split: str) -> DataFrame:
+    """group, splits: the parent groups that stand in more than one split."""
+    found = rows.groupBy(group).agg(F.array_sort(F.collect_set(split)).alias("splits"))  # a set of a few split names
+    return found.where(F.size("splits") > 1)
+
+
 def detect_stale(usages: DataFrame, inputs: DataFrame) -> DataFrame:
     """Usages whose input is missing or has another hash, with the reason."""
     both = usages.join(inputs.select("key", F.col("hash").alias("now")), "key", "left")

@@ -202,14 +202,14 @@ def topology_change(bends: DataFrame) -> DataFrame:
 
 
 def segment_events(segments: DataFrame) -> DataFrame:
-    """Segments by position against the next sequence of the same kind: ADDED, REMOVED, CHANGED (over 0.1) or UNCHANGED."""
+    """seq, pos, before, after, event: segments by position against those of the sequence before: ADDED, REMOVED, CHANGED (over 0.1) or UNCHANGED."""
     a = segments.select((F.col("seq") + 1).alias("seq"), "pos", F.col("size").alias("before"))
     b = segments.select("seq", "pos", F.col("size").alias("after"))
     ladder = (
         F.when(F.col("before").isNull(), "ADDED").when(F.col("after").isNull(), "REMOVED")
         .when(F.abs(F.col("after") - F.col("before")) > 0.1, "CHANGED").otherwise("UNCHANGED")
     )
-    return a.join(b, ["seq", "pos"], "full_outer").groupBy(ladder.alias("event")).agg(F.count(F.lit(1)).alias("n"))
+    return a.join(b, ["seq", "pos"], "full_outer").select("seq", "pos", "before", "after", ladder.alias("event"))
 
 
 def candidate_score(passes: DataFrame, matched: Column) -> DataFrame:

@@ -30,6 +30,23 @@ def canonical_open(pts: Column) -> Column:
     return F.least(form(pts), form(F.reverse(pts)))
 
 
+def canonical_mirror(pts: Column) -> Column:
+    """The least canonical form of the points and of their mirror images in x, in y and in both: eight variants; null at zero length."""
+
+    def mirrored(sx: float, sy: float) -> Column:
+        return F.transform(pts, lambda p: F.struct((p["x"] * sx).alias("x"), (p["y"] * sy).alias("y")))
+
+    return F.least(*[canonical_open(mirrored(sx, sy)) for sx in (1.0, -1.0) for sy in (1.0, -1.0)])
+
+
+def fingerprints(shape: Column) -> Column:
+    """physical (the values as they are), shape (canonical form), mirror (least mirror form), combined (all three) and whether the scale is zero."""
+    pts = v.points(shape)
+    each = {"physical": v.fingerprint(shape), "shape": v.fingerprint(v.flat(canonical_open(pts))), "mirror": v.fingerprint(v.flat(canonical_mirror(pts)))}
+    combined = F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("~")) for c in each.values()]), 256)
+    return F.struct(*[c.alias(k) for k, c in each.items()], combined.alias("combined"), (v.path_length(pts) <= 0).alias("zero_scale"))
+
+
 def path_features(pts: Column) -> Column:
     """Chord, tortuosity (null for a closed path) and the largest distance from the chord."""
     a, b = F.element_at(pts, 1), F.element_at(pts, -1)

@@ -184,8 +184,8 @@ LINES = "(select l_orderkey seq, l_linenumber pos, max(l_quantity) size from lin
 
 
 @query("h3_segment_events", f"""
-with s as (select * from {LINES}), j as (select x.size p, y.size q from s x full join s y on x.seq + 1 = y.seq and x.pos = y.pos)
-select case when p is null then 'ADDED' when q is null then 'REMOVED' when abs(q - p) > 0.1 then 'CHANGED' else 'UNCHANGED' end event, count(*) n from j group by 1""")
+with s as (select * from {LINES}), j as (select coalesce(x.seq + 1, y.seq) seq, coalesce(x.pos, y.pos) pos, x.size p, y.size q from s x full join s y on x.seq + 1 = y.seq and x.pos = y.pos)
+select seq, pos, p before, q after, case when p is null then 'ADDED' when q is null then 'REMOVED' when abs(q - p) > 0.1 then 'CHANGED' else 'UNCHANGED' end event from j""")
 def _(s, d):
     rows = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("pos"))
     return sq.segment_events(rows.agg(F.max("l_quantity").alias("size")))
@@ -220,22 +220,13 @@ def _(s, d):
 @query("b3_bbox_features", f"""
 select pass_id, round(list_min(xs), 6) min_x, round(list_max(xs), 6) max_x, round(list_min(ys), 6) min_y, round(list_max(ys), 6) max_y,
   round(list_max(xs) - list_min(xs), 6) width, round(list_max(ys) - list_min(ys), 6) height,
-  round((list_max(xs) - list_min(xs)) / nullif(list_max(ys) - list_min(ys), 0), 6) aspect from {PTS}""")
+  round((list_max(xs) - list_min(xs)) / nullif(list_max(ys) - list_min(ys), 0), 6) aspect, round((list_max(xs) - list_min(xs)) * (list_max(ys) - list_min(ys)), 6) area,
+  round(2 * (list_max(xs) - list_min(xs) + list_max(ys) - list_min(ys)), 6) perimeter, round(sqrt((list_max(xs) - list_min(xs)) ** 2 + (list_max(ys) - list_min(ys)) ** 2), 6) diagonal,
+  round((list_min(xs) + list_max(xs)) / 2, 6) center_x, round((list_min(ys) + list_max(ys)) / 2, 6) center_y from {PTS}""")
 def _(s, d):
     return rounded(pass_vectors(s, d).select("pass_id", v.bbox(v.points(F.col("shape"))).alias("b")).select("pass_id", "b.*"))
 
 
-@query("b7_turning_signature", f"""
-with h as (select pass_id, list_transform(range(1, 32), lambda i: atan2(ys[i + 1] - ys[i], xs[i + 1] - xs[i])) h from {PTS}),
-r as (select pass_id, list_transform(range(1, 31), lambda i: degrees(h[i + 1] - h[i])) r from h),
-t as (select pass_id, list_transform(r, lambda x: case when x > 180 then x - 360 when x <= -180 then x + 360 else x end) t from r)
-select pass_id, len(list_filter(t, lambda x: abs(x) >= 7.5 and abs(x) <= 172.5)) turns, round(list_sum(t), 6) net from t""")
-def _(s, d):
-    rows = pass_vectors(s, d).select("pass_id", v.turns(v.points(F.col("shape"))).alias("t"))
-    kept = F.size(F.filter("t", lambda x: (F.abs(x) >= 7.5) & (F.abs(x) <= 172.5)))
-    return rounded(rows.select("pass_id", kept.cast("long").alias("turns"), v.total(F.col("t")).alias("net")))
-
-
 @query("b15_feature_vector", """
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity + l_extendedprice + coalesce(l_tax, 0), 6) total,
   cast(case when l_discount = 0 then 1 else 0 end as bigint) missing from lineitem""")
@@ -255,12 +246,6 @@ def _(s, d):
     )
 
 
-@query("b16_fingerprints", f"""
-select pass_id, sha256(array_to_string(list_transform(shape, lambda x: cast(cast(floor(x * 1000000 + 0.5) as bigint) as varchar)), ',')) fingerprint from {PV}""")
-def _(s, d):
-    return pass_vectors(s, d).select("pass_id", v.fingerprint(F.col("shape")).alias("fingerprint"))
-
-
 PAIRS = f"(select *, lead(shape) over (partition by flower_id order by ord) nxt from {PV})"
 
 
@@ -517,6 +502,13 @@ def _(s, d):
     return ev.corpus_report(table(s, d, "documents"), "lang", "source")
 
 
+@query("g8_leakage", """
+select md5(text) "group", list_sort(list(distinct doc_id % 3)) splits from documents group by 1 having count(distinct doc_id % 3) > 1""")
+def _(s, d):
+    rows = table(s, d, "documents").select(F.md5("text").alias("group"), (F.col("doc_id") % 3).alias("split"))
+    return ev.leakage(rows, "group", "split")
+
+
 @query("k12_detect_stale", """
 with u as (select o_orderkey k, o_orderstatus h from orders where o_orderstatus = 'F'), i as (select o_orderkey k, case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end h from orders where o_orderkey % 17 <> 0)
 select u.k "key", case when i.k is null then 'INPUT_MISSING' else 'HASH_CHANGED' end reason from u left join i on u.k = i.k where i.k is null or i.h <> u.h""")

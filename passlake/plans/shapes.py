@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passlake.functions import shapes as sh
-from passlake.functions.vectors import points
+from passlake.functions.vectors import points, rel_sim
 from passlake.functions.vectors import turns as turn_angles
 from passlake.operators import alignment as al
+from passlake.operators import shape_rules as sr
 from passlake.plans.queries import PTS, query, rounded
-from passlake.views import pass_vectors
+from passlake.views import pass_vectors, table
 
 BLOCK = 25
 #: Passes with points, headings and turns; a sequence is a block of a label's passes.
@@ -224,3 +225,38 @@ def _(s, d):
     targets = first.join(names, (F.col("to") == (F.col("label") + 1) % 10) & (F.col("at_block") == F.col("block"))).drop("label", "block", "to", "at_block")
     out = al.adapt_templates(rows.select("flower_id", "ord", "shape"), targets.withColumn("score", F.lit(0.9)).withColumn("coverage", F.lit(0.8)))
     return out.select("target_id", "source_id", "station", F.round(F.aggregate("shape", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), "state", "confidence")
+
+
+_FORM = "list_transform(range(1, 33), lambda i: [round({sx} * (xs[i] - xs[1]) / len, 6), round({sy} * (ys[i] - ys[1]) / len, 6)])"
+_BACK = "list_transform(range(1, 33), lambda i: [round({sx} * (xs[33 - i] - xs[32]) / len, 6), round({sy} * (ys[33 - i] - ys[32]) / len, 6)])"
+_HASH = "sha256(array_to_string(list_transform({0}, lambda x: cast(cast(floor(x * 1000000 + 0.5) as bigint) as varchar)), ','))"
+_VARIANTS = ", ".join(f.format(sx=a, sy=b) for a in ("1", "-1") for b in ("1", "-1") for f in (_FORM, _BACK))
+
+
+@query("b16_fingerprints", f"""
+with l as (select *, list_sum({LENGTHS}) len from {PTS}),
+c as (select pass_id, shape, len, list_sort([{_FORM.format(sx=1, sy=1)}, {_BACK.format(sx=1, sy=1)}])[1] a, list_sort([{_VARIANTS}])[1] b from l),
+h as (select pass_id, {_HASH.format("shape")} physical, {_HASH.format("flatten(a)")} shape, {_HASH.format("flatten(b)")} mirror, len <= 0 zero_scale from c)
+select *, sha256(physical || '|' || shape || '|' || mirror) combined from h""")
+def _(s, d):
+    return pass_vectors(s, d).select("pass_id", sr.fingerprints(F.col("shape")).alias("f")).select("pass_id", "f.*")
+
+
+@query("b7_turning_signature", f"""
+with h as (select pass_id, {LENGTHS} d, list_transform(range(1, 32), lambda i: atan2(ys[i + 1] - ys[i], xs[i + 1] - xs[i])) h from {PTS}),
+t as (select pass_id, d, list_transform(list_transform(range(1, 31), lambda i: degrees(h[i + 1] - h[i])), lambda x: case when x > 180 then x - 360 when x <= -180 then x + 360 else x end) t from h),
+k as (select *, unnest(range(1, 31)) k from t)
+select pass_id, k "point", round(list_sum(d[1:k]) / list_sum(d), 6) "position", round(t[k], 5) angle, case when t[k] > 0 then 'UP' else 'DOWN' end label from k where abs(t[k]) between 7.5 and 172.5""")
+def _(s, d):
+    rows = pass_vectors(s, d).select("pass_id", F.explode(sh.turning_signature(F.col("shape"))).alias("t"))
+    k, at, angle = (F.get("t", F.lit(n)) for n in range(3))
+    return rows.select("pass_id", k.cast("long").alias("point"), F.round(at, 6).alias("position"), F.round(angle, 5).alias("angle"), F.when(angle > 0, "UP").otherwise("DOWN").alias("label"))
+
+
+@query("b19_relative_similarity", """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0.0, 1 - abs(l_quantity - p_size) / greatest(l_quantity, p_size, 1e-9)), 6) plain,
+  round(greatest(0.0, 1 - abs(l_discount - l_tax) / greatest(l_discount, l_tax, 0.05)), 6) floored from lineitem join part on l_partkey = p_partkey""")
+def _(s, d):
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    plain, floored = rel_sim(F.col("l_quantity"), F.col("p_size").cast("double")), rel_sim(F.col("l_discount"), F.col("l_tax"), 0.05)
+    return rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", plain.alias("plain"), floored.alias("floored")))
