@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,14 +175,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
         often = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(PAIR_TERMS).select("term").collect()]
         wanted = sorted(marked.union(often))
         kept = F.array(*[F.lit(int(t)) for t in wanted]) if wanted else F.array().cast("array<int>")
-        found = rows.select("doc_id", "toxic", F.array_intersect("terms", kept).alias("terms")).toPandas()
+        found = rows.select("doc_id", "toxic", F.array_intersect("terms", kept).alias("terms")).toArrow()
     finally:
         rows.unpersist()
-    found = found.sort_values("doc_id", kind="stable")
-    sizes = [len(x) for x in found["terms"]]
-    at = np.repeat(np.arange(len(found)), sizes)
-    flat = np.concatenate([np.asarray(x, np.int64) for x in found["terms"]]) if sum(sizes) else np.empty(0, np.int64)
-    y = found["toxic"].to_numpy(np.float64)
+    found = found.sort_by("doc_id").combine_chunks()
+    sizes = pc.list_value_length(found["terms"]).to_numpy()
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    flat = pc.list_flatten(found["terms"]).to_numpy().astype(np.int64)
+    y = found["toxic"].to_numpy().astype(np.float64)
 
     def only(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = np.isin(flat, terms)
