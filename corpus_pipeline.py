@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL cannot express MinHash and packing; tests compare run() with a brute-force version.
+#: SQL cannot express byte-pair packing; tests compare every stage with a plain version on hard rows.
 ORACLE_SQL = None
 
 
