@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from passlake.operators import model as md
 from passlake.operators import review as rv
 from passlake.operators.evidence import ood_thresholds
-from passlake.plans.queries import DS, PV, query, rounded
+from passlake.plans.queries import PV, query, rounded
 from passlake.plans.spatial import BOXES, duck, rows
 from passlake.sources import bundles as bd
 from passlake.streaming.jobs import shared_folder
-from passlake.views import pass_vectors, table, view
+from passlake.views import pass_vectors, table
 
 _K = "cast(regexp_extract(props, '([0-9]+)', 1) as double)"
 
@@ -130,9 +130,28 @@ def _(s, d):
     return bd.read_corpus(s, root, stations=2, points=32).select("sample_id", "station_count", "valid")
 
 
-@query("a11_inventory_views", f"select design_id, role, family, diameter, width from {DS}")
+@query("a11_inventory_designs", """
+select p_partkey design_id, p_name "name", p_type design_type, p_brand manufacturer, cast(null as varchar) status, p_partkey % 3 = 0 verified from part""")
 def _(s, d):
-    return bd.inventory_view({"designs": view(s, d, "designs")}, "designs")
+    key = F.col("p_partkey")
+    rows = table(s, d, "part").select(
+        key.alias("design_id"), F.col("p_name").alias("name"), F.col("p_type").alias("design_type"), F.col("p_brand").alias("manufacturer"), (key % 3 == 0).alias("verified"), "p_size"
+    )
+    return bd.inventory_view({"designs": rows}, "designs")
+
+
+@query("a11_inventory_locations", """
+select n_nationkey location_id, n_name "name", cast(null as varchar) location_type, n_regionkey parent_location_id from nation""")
+def _(s, d):
+    rows = table(s, d, "nation").select(F.col("n_nationkey").alias("location_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent_location_id"))
+    return bd.inventory_view({"locations": rows}, "locations")
+
+
+@query("a11_inventory_audit_events", """
+select event_id id, 'user' entity_type, user_id entity_key, event_type "action", cast(null as varchar) actor, cast(null as varchar) source from events""")
+def _(s, d):
+    rows = table(s, d, "events").select(F.col("event_id").alias("id"), F.lit("user").alias("entity_type"), F.col("user_id").alias("entity_key"), F.col("event_type").alias("action"))
+    return bd.inventory_view({"audit_events": rows}, "audit_events")
 
 
 # Resolution and evaluation

@@ -56,17 +56,22 @@ def read_corpus(spark: SparkSession, path: str, stations: int = 28, points: int
     return rows.withColumn("valid", shaped("teacher") & shaped("baseline"))
 
 
-#: Columns and order of the inventory lists.
+#: Columns of the inventory lists; each is ordered by its first column.
 LISTS = {
-    "designs": (["design_id", "role", "family", "diameter", "width"], ["design_id"]),
-    "assets": (["asset_id", "design_id", "location", "verified"], ["design_id", "asset_id"]),
-    "locations": (["location", "n_assets"], ["location"]),
-    "audit_events": (["at", "actor", "action", "event_id"], ["at", "event_id"]),
+    "designs": ["design_id", "name", "design_type", "manufacturer", "status", "verified"],
+    "assets": ["asset_id", "design_id", "serial_number", "condition", "location_id", "verified"],
+    "revisions": ["id", "revision_id", "design_id", "asset_id", "dimensions", "unit_status", "verification_status", "physical_fingerprint"],
+    "batches": ["id", "source_name", "source_sha256", "status", "row_count", "accepted_count", "review_count", "rejected_count"],
+    "locations": ["location_id", "name", "location_type", "parent_location_id"],
+    "conditions": ["id", "asset_id", "condition", "observed_at", "source", "notes"],
+    "regrinds": ["id", "asset_id", "performed_at", "amount_removed", "amount_unit", "resulting_revision_id", "source", "notes"],
+    "compatibility": ["id", "design_id", "compatible_design_id", "status", "evidence", "verified"],
+    "files": ["id", "sha256", "file_name", "relative_path", "content_type", "design_id", "asset_id", "revision_id"],
+    "audit_events": ["id", "entity_type", "entity_key", "action", "actor", "source"],
 }
 
 
-def inventory_view(tables: dict[str, DataFrame], name: str, lists: dict[str, tuple[list[str], list[str]]] = LISTS) -> DataFrame:
-    """One of the inventory lists: its fixed columns, in its total order. A missing column is null."""
-    columns, order = lists[name]
-    rows = tables[name]
-    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).orderBy(*order)
+def inventory_view(tables: dict[str, DataFrame], name: str, lists: dict[str, list[str]] = LISTS) -> DataFrame:
+    """One of the inventory lists: its fixed columns, ordered by the first, which is a key. A missing column is null."""
+    rows, columns = tables[name], lists[name]
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).orderBy(columns[0])
