@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passlake.llm import (
+    chat,
+    divergence,
     html_text,
     kdtree,
     license_scan,
     line_dedup,
     minhash_dedup,
     mixing,
+    negatives,
     packing,
     quality_rules,
     sharding,
@@ -32,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_query,
         "op9_html_text": html_text.op9_query,
         "op10_packing": packing.op10_query,
+        "op11_divergence": divergence.op11_query,
+        "op12_hard_negatives": negatives.op12_query,
+        "op13_chat_trees": chat.op13_query,
     }
 
 
@@ -42,4 +48,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.OP6_SQL,
         "op7_minhash_dedup": minhash_dedup.OP7_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
+        "op11_divergence": divergence.OP11_SQL,
+        "op12_hard_negatives": negatives.OP12_SQL,
+        "op13_chat_trees": chat.OP13_SQL,
     }
