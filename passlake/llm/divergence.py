@@ -128,15 +128,14 @@ def _share(n: Column, total: Column, terms: Column) -> Column:
 
 
 def _corrections(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """How much |p - q|, summed over the terms here, is more than |base - base|, for the pairs of sources of two blocks."""
-    column, gids = pd.factorize(rows["gid"], sort=True)
-    line, terms = pd.factorize(pd.MultiIndex.from_frame(rows[["digest", "part"]]))
-    base = np.zeros(len(gids), np.int64)
-    base[column] = rows["base"].to_numpy(np.int64)
+    """How much |p - q|, summed over the terms here, is more than |base - base|, for the pairs of sources of two blocks. Rows that are not counted state the sources."""
+    sources, used = rows[~rows["counted"]].sort_values("gid"), rows[rows["counted"]]
+    if used.empty:
+        return pd.DataFrame(columns=["gid", "other", "more"]).astype(np.int64)
+    gids, base, block = (sources[c].to_numpy(np.int64) for c in ("gid", "base", "block"))
+    line, terms = pd.factorize(pd.MultiIndex.from_frame(used[["digest", "part"]]))
     p = np.tile(base, (len(terms), 1))
-    p[line, column] = rows["p"].to_numpy(np.int64)
-    block = np.zeros(len(gids), np.int64)
-    block[column] = rows["block"].to_numpy(np.int64)
+    p[line, np.searchsorted(gids, used["gid"].to_numpy(np.int64))] = used["p"].to_numpy(np.int64)
     out = []
     for i in np.nonzero(block == key[2])[0]:
         js = np.nonzero(block == key[3])[0]
@@ -176,14 +175,18 @@ def source_divergence(
     per_group = counts.join(small(totals.drop("lang"), n_groups), "gid").withColumn("p", _share(F.col("n"), F.col("total"), F.col("terms")))
     per_group = work.save(per_group.select("lang", "gid", "digest", "part", "n", "p", "base", "block"), "shares")
 
-    # part pair: a row goes to each pair of blocks that its source's block is in
+    # part pair: a row goes to each pair of blocks that its source's block is in; each source states its base to all pieces
     last = totals.groupBy("lang").agg(F.max("block").alias("last"))
     load = per_group.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("pieces"))
     shape = work.save(last.join(load, "lang"), "shape")
     meets = F.transform(F.sequence(zero, F.col("last")), lambda b: F.struct(F.least(b, F.col("block")).alias("a"), F.greatest(b, F.col("block")).alias("b")))
-    dealt = per_group.join(small(shape, shape.count()), "lang").withColumn("meet", F.explode(meets))
+    shape = small(shape, shape.count())
     piece = F.pmod(F.xxhash64("digest", "part"), F.col("pieces"))
-    dealt = dealt.select("lang", piece.alias("piece"), F.col("meet.a").alias("a"), F.col("meet.b").alias("b"), "gid", "digest", "part", "p", "base", "block")
+    used = per_group.join(shape, "lang").withColumn("meet", F.explode(meets)).withColumn("piece", piece).withColumn("counted", F.lit(True))
+    stated = totals.join(shape, "lang").withColumn("meet", F.explode(meets)).withColumn("piece", F.explode(F.sequence(zero, F.col("pieces") - 1)))
+    stated = stated.withColumns({"digest": zero, "part": F.lit(0), "p": zero, "counted": F.lit(False)})
+    dealt = ["lang", "piece", F.col("meet.a").alias("a"), F.col("meet.b").alias("b"), "gid", "digest", "part", "p", "base", "block", "counted"]
+    dealt = used.select(*dealt).union(stated.select(*dealt))
     more = dealt.groupBy("lang", "piece", "a", "b").applyInPandas(_corrections, "gid long, other long, more long")
     blocks = totals.select("gid", "block")
     sides = more.join(small(blocks, n_groups), "gid").join(small(blocks.select(F.col("gid").alias("other"), F.col("block").alias("other_block")), n_groups), "other")
