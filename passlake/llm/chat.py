@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,31 +61,35 @@ def root_paths(work: Workspace, links: DataFrame, branches: int = BRANCHES) -> D
 
     The score of a path is the sum of its messages' scores (null: 0). A tree's leaves are ranked by it, ties by uid, and the best `branches` chosen (all if None).
 
-    Self-joins double the reach of every message: after k of them it knows the message 2^k above, the sum on the way and its depth, so the longest path takes
-    log2 of its length rounds. The steps are kept; in falling order they double the found part of each chosen path.
+    Self-joins double the reach of every message: after k of them it knows the message 2^k above and the sum on the way; those that know their root
+    rest, so the longest path takes log2 of its length rounds, and only its own messages take part in the last. The steps are kept; in falling order they double the found part of each chosen path.
     """
-    reach = links.select("uid", F.col("parent").alias("above"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
-    reach = reach.withColumn("root", F.when(F.col("above").isNull(), F.col("uid")))
-    steps = [work.save(reach, "reach")]
-    while not steps[-1].where("above is not null").isEmpty():
-        far = steps[-1].select(F.col("uid").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("total").alias("up"), F.col("root").alias("top"))
-        zero = F.lit(0)
-        grown = steps[-1].join(far, "above", "left").select(
-            "uid", F.col("next").alias("above"), (F.col("depth") + F.coalesce("more", zero)).alias("depth"), (F.col("total") + F.coalesce("up", F.lit(0.0))).alias("total"),
-            F.coalesce("root", "top").alias("root"),
-        )
-        steps.append(work.save(grown, "reach"))
-    whole = steps[-1]
+    first = links.select("uid", F.col("parent").alias("above"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
+    reach = work.save(first.withColumn("root", F.when(F.col("above").isNull(), F.col("uid"))), "reach")
+    going, done = [], []
+    while True:
+        done.append(reach.where("above is null"))
+        reach = reach.where("above is not null")
+        if reach.isEmpty():
+            break
+        going.append(reach)
+        far = reduce(DataFrame.union, [reach, *done]).select(
+            F.col("uid").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("total").alias("up"), F.col("root").alias("top")
+        )
+        grown = reach.drop("root").join(far, "above").select(
+            "uid", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("up")).alias("total"), F.col("top").alias("root")
+        )
+        reach = work.save(grown, "reach")
     inner = links.where("parent is not null").select(F.col("parent").alias("uid")).distinct()
-    leaves = whole.join(inner, "uid", "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("total"), "uid")))
+    leaves = reduce(DataFrame.union, done).join(inner, "uid", "left_anti")
+    leaves = leaves.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("total"), "uid")))
     if branches is not None:
         leaves = leaves.where(F.col("place") <= branches)
-    path = work.save(leaves.select(F.col("uid").alias("leaf"), "uid", "place", "depth"), "paths")
-    for k in range(len(steps) - 2, -1, -1):
-        up = steps[k].where("above is not null").select("uid", "above")
-        found = path.join(up, "uid").select("leaf", F.col("above").alias("uid"), "place", (F.col("depth") - 2**k).alias("depth"))
-        path = work.save(path.unionByName(found), "paths")
-    return path
+    parts = [work.save(leaves.select(F.col("uid").alias("leaf"), "uid", "place", "depth"), "paths")]
+    for k in range(len(going) - 1, -1, -1):
+        found = reduce(DataFrame.union, parts).join(going[k].select("uid", "above"), "uid")
+        parts.append(work.save(found.select("leaf", F.col("above").alias("uid"), "place", (F.col("depth") - 2**k).alias("depth")), "paths"))
+    return reduce(DataFrame.union, parts)
 
 
 def chosen_paths(spark: SparkSession, messages: DataFrame, branches: int | None = BRANCHES) -> DataFrame:
