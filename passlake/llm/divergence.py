@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +19,7 @@ TOP = 50
 #: Fixed values of the shares: the count that is added to each term, and the whole that shares are parts of.
 ADDED, WHOLE = 5, 1_000_000_000
 #: Terms of all groups that a task holds before it writes them, bytes of a text that are split at once, rows given to Python at once.
-HELD_TERMS, PIECE_BYTES, TEXTS = 300_000, 1 << 20, 256
+HELD_TERMS, PIECE_BYTES, TEXTS = 600_000, 1 << 20, 256
 #: Sources of a block and counted rows of a block of terms, when sources meet.
 BLOCK_SOURCES, BLOCK_ROWS = 64, 20_000
 DIGEST_BITS = 64
@@ -29,9 +28,7 @@ DIGEST_BITS = 64
 _TERM_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-_PARTIAL = pa.schema(
-    [("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())]
-)
+_PARTIAL = pa.schema([("gid", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -45,35 +42,31 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _count(digest_bits: int, held: int):
+def _count(held: int):
+    """mapInArrow: the terms of each group (gid) with their counts and numbers of documents, summed over the texts that a task holds at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs = defaultdict(Counter), defaultdict(Counter)
+        counts, docs, size = defaultdict(Counter), defaultdict(Counter), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), found in counts.items():
-                terms = list(found)
-                digests = [xxhash.xxh3_64_intdigest(t) >> (64 - digest_bits) for t in terms]
-                signed = np.array(digests, np.uint64).view(np.int64)
-                # the first row of a group has no term: groups without terms occur too
-                columns = [
-                    [lang] * (len(terms) + 1), [source] * (len(terms) + 1), [None, *signed.tolist()], [None, *[t.decode("utf-8", "replace") for t in terms]],
-                    [0, *found.values()], [0, *[docs[lang, source][t] for t in terms]],
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PARTIAL, strict=True)], schema=_PARTIAL)
+            for gid, found in counts.items():
+                rows, of_docs = len(found), docs[gid]
+                terms = pa.array(list(found), pa.binary()).cast(pa.string(), safe=False)
+                numbers = [np.fromiter(x, np.int64, rows) for x in (found.values(), map(of_docs.__getitem__, found))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, gid)), terms, *map(pa.array, numbers)], schema=_PARTIAL)
             counts.clear()
             docs.clear()
 
-        size = 0
         for batch in batches:
-            for lang, source, text in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "text")], strict=True):
-                group, seen = (lang, source), set()
-                before = len(counts[group])
+            for gid, text in zip(batch.column("gid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found, seen = counts[gid], set()
+                before = len(found)
                 for piece in _pieces(text):
                     tokens = piece.translate(_TERM_BYTES).split()
-                    counts[group].update(tokens)
+                    found.update(tokens)
                     seen.update(tokens)
-                docs[group].update(seen)
-                size += len(counts[group]) - before
+                docs[gid].update(seen)
+                size += len(found) - before
                 if size > held:
                     yield from flush()
                     size = 0
@@ -89,34 +82,41 @@ def term_counts(spark: SparkSession, work: Workspace, docs: DataFrame, min_docs:
     of their own, which the count by digest doesn't read. Digests in enough documents get their least and greatest string; where these
     differ, the digest is split: its strings are told apart by `part` (0 for all others) and counted again.
     """
-    ready = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    ready = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    groups = work.save(ready.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
+    n_groups = groups.count()
+    texts = ready.join(small(groups, n_groups, BROADCAST_KEYS), ["lang", "source"]).select("gid", F.col("text").cast("binary").alias("text"))
+    digest = F.shiftright(F.xxhash64("term"), 64 - digest_bits) if digest_bits < 64 else F.xxhash64("term")
     with arrow_rows(spark, TEXTS):
-        partial = work.save(ready.mapInArrow(_count(digest_bits, held), "lang string, source string, digest long, term string, n long, docs long"), "partial")
-    groups = work.save(partial.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
-    numbered = partial.where("digest is not null").join(small(groups, groups.count()), ["lang", "source"])
+        partial = texts.mapInArrow(_count(held), "gid long, term string, n long, docs long").select("gid", digest.alias("digest"), "n", "docs", "term")
+        partial = work.save(partial, "partial")
     sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
-    by_digest = work.save(numbered.groupBy("lang", "gid", "digest").agg(*sums), "by-digest")
-    wide = by_digest.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    wide = work.save(wide.select("lang", "digest"), "candidates")
-    asked = wide.select("digest").distinct()
-    text = partial.where("digest is not null").select("digest", "term")
-    ends = text.join(small(asked, asked.count(), BROADCAST_KEYS), "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
-    ends = work.save(ends, "ends")
-    plain = ends.where("least = most").select("digest", F.lit(0).alias("part"), F.col("least").alias("term"))
+    by_digest = work.save(partial.groupBy("gid", "digest").agg(*sums), "by-digest")
+    langs = small(groups.select("gid", "lang"), n_groups, BROADCAST_KEYS)
+    wide = by_digest.join(langs, "gid").groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    wide = work.save(wide.select("digest").distinct(), "candidates")
+    n_wide = wide.count()
+    # equal strings meet first, by hash; what is left for the least and greatest is a row for each string
+    strings = partial.select("digest", "term").join(small(wide, n_wide, BROADCAST_KEYS), "digest", "left_semi").distinct()
+    ends = work.save(strings.groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most")), "ends")
+    names = ends.where("least = most").select("digest", F.lit(0).alias("part"), F.col("least").alias("term"))
     shared = ends.where("least <> most").select("digest")
     n_shared = shared.count()
-    whole = by_digest.join(small(shared, n_shared), "digest", "left_anti").withColumn("part", F.lit(0))
+    whole = by_digest.join(small(wide, n_wide, BROADCAST_KEYS), "digest", "left_semi")
     if n_shared:
-        strings = text.join(small(shared, n_shared), "digest", "left_semi").distinct()
+        whole = whole.join(small(shared, n_shared), "digest", "left_anti")
+        strings = partial.select("digest", "term").join(small(shared, n_shared), "digest", "left_semi").distinct()
         split = work.save(strings.withColumn("part", F.row_number().over(Window.partitionBy("digest").orderBy("term"))), "split")
-        again = numbered.join(small(split, split.count()), ["digest", "term"]).groupBy("lang", "gid", "digest", "part").agg(*sums)
-        whole, plain = whole.unionByName(again), plain.unionByName(split.select(plain.columns))
+        again = partial.join(small(split, split.count()), ["digest", "term"]).groupBy("gid", "digest", "part").agg(*sums)
+        whole, names = whole.withColumn("part", F.lit(0)).unionByName(again), names.unionByName(split.select(names.columns))
+    else:
+        whole = whole.withColumn("part", F.lit(0))
+    whole = whole.join(langs, "gid")
     kept = whole.groupBy("lang", "digest", "part").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     kept = work.save(kept.select("lang", "digest", "part"), "kept")
-    n_kept = kept.count()
-    counts = whole.select("lang", "gid", "digest", "part", "n").join(small(kept, n_kept, BROADCAST_KEYS), ["lang", "digest", "part"], "left_semi")
-    names = plain.join(kept.select("digest", "part").distinct(), ["digest", "part"], "left_semi")
-    return groups, work.save(counts, "counts"), work.save(names, "names")
+    counts = whole.join(small(kept, kept.count(), BROADCAST_KEYS), ["lang", "digest", "part"], "left_semi")
+    counts = work.save(counts.select("lang", "gid", "digest", "part", "n"), "counts")
+    return groups, counts, names.join(kept.select("digest", "part").distinct(), ["digest", "part"], "left_semi")
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
