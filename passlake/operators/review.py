@@ -29,10 +29,10 @@ def direct_evidence(candidates: DataFrame, confirmed: DataFrame) -> DataFrame:
     """The eligible candidates (score from 0.55, coverage from 0.40) of each occurrence with state and whether their use is confirmed.
 
     candidates: occurrence, rank, design_id, revision_id, score, coverage, state; confirmed: occurrence, design_id. An occurrence whose best two eligible ones are
-    closer than 0.05, or whose best is ambiguous, is AMBIGUOUS as a whole.
+    closer than 0.05, or whose best is ambiguous, is AMBIGUOUS as a whole. Equal ranks go by score, coverage, then ids.
     """
     able = candidates.where((F.col("score") >= 0.55) & (F.col("coverage") >= 0.40))
-    by_rank = Window.partitionBy("occurrence").orderBy("rank", "design_id", "revision_id")
+    by_rank = Window.partitionBy("occurrence").orderBy("rank", F.desc("score"), F.desc("coverage"), "design_id", "revision_id")
     able = able.withColumn("place", F.row_number().over(by_rank)).withColumn("gap", F.col("score") - F.lead("score").over(by_rank))
     doubt = F.max(F.when(F.col("place") == 1, (F.col("state") == "AMBIGUOUS") | F.coalesce(F.col("gap") < 0.05, F.lit(False)))).over(Window.partitionBy("occurrence"))
     known = confirmed.select("occurrence", "design_id", F.lit(True).alias("known")).distinct()
@@ -46,9 +46,10 @@ def direct_evidence(candidates: DataFrame, confirmed: DataFrame) -> DataFrame:
 def threshold_evaluation(cases: DataFrame, candidates: DataFrame, high: float = 0.90, least: int = 20) -> DataFrame:
     """One row of metrics of the first candidates of adjudicated cases, with a warning under `least` matches.
 
-    cases: case_id, outcome, expected; candidates: case_id, rank, design_id, score, state.
+    cases: case_id, outcome, expected; candidates: case_id, rank, design_id, revision_id, score, coverage, state. Equal ranks go by score,
+    coverage, then ids.
     """
-    best = candidates.groupBy("case_id").agg(F.min_by(F.struct("design_id", "score", "state"), "rank").alias("top"))
+    best = candidates.groupBy("case_id").agg(F.min_by(F.struct("design_id", "score", "state"), F.struct("rank", -F.col("score"), -F.col("coverage"), "design_id", "revision_id")).alias("top"))
     rows = cases.join(best, "case_id", "left")
     match, right = F.col("outcome") == "MATCH_DESIGN", F.coalesce(F.col("top.design_id") == F.col("expected"), F.lit(False))
     taken = F.col("top.design_id").isNotNull() & (F.col("top.state") != "AMBIGUOUS")

@@ -180,7 +180,7 @@ CANDIDATES = """select l_orderkey as occurrence, cast(l_linenumber as bigint) *
 
 @query("e9_direct_evidence", f"""
 with c as (select distinct * from ({CANDIDATES.format(lineitem="lineitem")})), f as (select distinct l_orderkey occurrence, l_partkey design_id from lineitem where l_returnflag = 'R'),
-a as (select *, row_number() over w place, score - lead(score) over w gap from c where score >= 0.55 and coverage >= 0.40 window w as (partition by occurrence order by rank, design_id, revision_id)),
+a as (select *, row_number() over w place, score - lead(score) over w gap from c where score >= 0.55 and coverage >= 0.40 window w as (partition by occurrence order by rank, score desc, coverage desc, design_id, revision_id, state)),
 b as (select *, bool_or(place = 1 and (state = 'AMBIGUOUS' or coalesce(gap < 0.05, false))) over (partition by occurrence) doubt from a)
 select b.occurrence, b.design_id, revision_id, cast(place as integer) place, round(score, 6) score, case when doubt then 'AMBIGUOUS' else state end state, case when f.design_id is not null then 'CONFIRMED' else 'UNCONFIRMED' end confirmation
 from b left join f on b.occurrence = f.occurrence and b.design_id = f.design_id""")
@@ -191,7 +191,7 @@ def _(s, d):
 
 
 @query("g2_threshold_evaluation", f"""
-with t as (select * from (select distinct * from ({CANDIDATES.format(lineitem="lineitem")})) qualify row_number() over (partition by occurrence order by rank) = 1),
+with t as (select * from (select distinct * from ({CANDIDATES.format(lineitem="lineitem")})) qualify row_number() over (partition by occurrence order by rank, score desc, coverage desc, design_id % 40, revision_id) = 1),
 r as (select case o_orderstatus when 'F' then 'MATCH_DESIGN' else 'NO_DESIGN' end outcome, o_orderkey % 40 expected, t.design_id % 40 design_id, score, state,
   t.design_id is not null and state <> 'AMBIGUOUS' taken, coalesce(t.design_id % 40 = o_orderkey % 40, false) hit from orders left join t on o_orderkey = occurrence)
 select count(*) cases, count(*) filter (outcome = 'MATCH_DESIGN') matches, round(coalesce(avg(hit::int) filter (outcome = 'MATCH_DESIGN'), 0), 6) top1, round(avg(taken::int), 6) coverage,

@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, and blocking with missing values, against plain Python on small rows."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -99,20 +100,20 @@ def test_ridge_and_pca_equal_numpy(spark):
 def test_blocks_lose_no_pair_that_passes(spark):
     dice = np.random.default_rng(5)
     some = lambda v, p=0.25: None if dice.random() < p else v
-    spec = "role string, diameter double, bore double, width double, groove double, curvature double, shape array<double>, fingerprint string"
-    attributes = lambda: (some(str(dice.integers(0, 2))), some(float(dice.integers(0, 60)) / 10), some(1.0), some(float(dice.integers(0, 60)) / 10), 1.0, 0.1, [0.1, 0.2], None)
-    cases = [(k, *attributes(), "CONFIRMED" if k % 5 else "UNKNOWN", None, False, 0.9) for k in range(40)]
-    revs = [(100 + k, f"D{k % 7}", *attributes(), k % 9 == 0, 0.5) for k in range(40)]
-    c = spark.createDataFrame(cases, f"case_id long, {spec}, units string, hint string, invalid boolean, extraction double")
-    r = spark.createDataFrame(revs, f"revision_id long, design_id string, {spec}, superseded boolean, confidence double")
+    spec = "role string, diameter double, bore double, width double, groove double, curvature double, shape array<double>, physical_print string, shape_print string"
+    attributes = lambda: (some(str(dice.integers(0, 2))), some(float(dice.integers(0, 60)) / 10), some(1.0), some(float(dice.integers(0, 60)) / 10), 1.0, 0.1, [0.1, 0.2], None, None)
+    cases = [(k, *attributes(), "CONFIRMED" if k % 5 else "UNKNOWN", None, None, False, 0.9) for k in range(40)]
+    revs = [(100 + k, f"D{k % 7}", *attributes(), None, k % 9 == 0, 0.5) for k in range(40)]
+    c = spark.createDataFrame(cases, f"case_id long, {spec}, units string, hint string, alias string, invalid boolean, extraction double")
+    r = spark.createDataFrame(revs, f"revision_id long, design_id string, {spec}, aliases array<string>, superseded boolean, confidence double")
     got = {(x.case_id, x.revision_id) for x in rec.score_designs(rec.candidate_pairs(c, r)).where(rec.passes()).collect()}
     want = set()
     for a, b in itertools.product(cases, revs):
-        known = a[9] == "CONFIRMED"
+        known = a[10] == "CONFIRMED"
         clash = a[1] is not None and b[2] is not None and a[1] != b[2]
         for i, tolerance in ((2, 1.0), (3, 0.5), (4, 1.0)):
             clash |= known and a[i] is not None and b[i + 1] is not None and abs(a[i] - b[i + 1]) > tolerance
-        if not clash and not b[10]:
+        if not clash and not b[12]:
             want.add((a[0], b[0]))
     assert got == want
 
@@ -138,3 +139,32 @@ def test_shapes_by_hand(spark):
     assert got[1].o == pytest.approx([4.0, 8.0, 1.0, 1.0, 4.0, 1.0, np.pi / 4, 1.0]) and got[1].y == [1.0, 1.0, 1.0]
     assert got[2].o[-1] == 0.0 and got[3].o is None and got[4].o is None and got[4].r is None
     assert got[1].r == [0.0, 0.0, 2.0, 1.0, 0.0, 2.0]
+
+
+def test_pairs_meet_once_by_names_and_without_attributes(spark):
+    """Identifiers and aliases in any letters, both fingerprints, and cases that share no attribute with a revision."""
+    spec = "role string, diameter double, bore double, width double, groove double, curvature double, shape array<double>, physical_print string, shape_print string"
+    bare = (None, None, None, None, 1.0, 0.1, [0.1, 0.2])
+    cases = [(1, "a", 9.0, 1.0, 1.0, 1.0, 0.1, [0.1, 0.2], "P", "S", "CONFIRMED", "d1", "X", False, 0.9), (2, *bare, None, "S", "UNKNOWN", None, None, False, 0.9), (3, "a", 1.0, 1.0, 1.0, 1.0, 0.1, None, None, None, "UNKNOWN", None, None, False, 0.9)]
+    revs = [(10, "D1", "b", 1.0, 1.0, 1.0, 1.0, 0.1, [0.1, 0.2], "P", "S", ["x", "y"], False, 0.5), (11, "D2", *bare, None, "S", None, False, 0.5), (12, "D3", *bare, None, None, ["x"], True, 0.5)]
+    c = spark.createDataFrame(cases, f"case_id long, {spec}, units string, hint string, alias string, invalid boolean, extraction double")
+    r = spark.createDataFrame(revs, f"revision_id long, design_id string, {spec}, aliases array<string>, superseded boolean, confidence double")
+    got = {(x.case_id, x.revision_id): (x.exact_id, x.exact_print, x.score) for x in rec.score_designs(rec.candidate_pairs(c, r)).collect()}
+    assert set(got) == {(1, 10), (1, 11), (2, 10), (2, 11)}
+    assert got[1, 10][:2] == (True, True) and got[1, 11][:2] == (False, True) and got[2, 10][:2] == (False, True)
+    assert got[2, 11] == (False, True, 1.0)
+    # shape 1, profile (8/9 apart, 0, 0), diameter 1/9, bore, width, groove and curvature 1, role 0, two fingerprints
+    profile, diameter = math.floor((1 - 8 / 9 / 3) * 1e6 + 0.5), math.floor(1e6 / 9 + 0.5)
+    total = 35 * 10**6 + 20 * profile + 10 * diameter + 30 * 10**6 + 200 * 10**6
+    assert got[1, 10][2] == ((2 * total + 300) // 600) / 1e6
+    assert rec.score_designs(rec.candidate_pairs(c.limit(0), r)).count() == 0 and rec.score_designs(rec.candidate_pairs(c, r.limit(0))).count() == 0
+
+
+def test_equal_ranks_go_by_score(spark):
+    rows = [(1, 1, 7, 2, 0.65, 0.9, "HIGH"), (1, 1, 7, 2, 0.9, 0.5, "HIGH"), (1, 1, 6, 1, 0.9, 0.6, "LOW"), (2, 3, 5, 1, 0.8, 0.5, "AMBIGUOUS"), (2, 3, 5, 1, 0.8, 0.7, "HIGH")]
+    df = spark.createDataFrame(rows, "occurrence long, rank long, design_id long, revision_id long, score double, coverage double, state string")
+    got = sorted((r.occurrence, r.place, r.design_id, r.score, r.state) for r in rv.direct_evidence(df, df.select("occurrence", "design_id").limit(0)).collect())
+    assert got == [(1, 1, 6, 0.9, "AMBIGUOUS"), (1, 2, 7, 0.9, "AMBIGUOUS"), (1, 3, 7, 0.65, "AMBIGUOUS"), (2, 1, 5, 0.8, "AMBIGUOUS"), (2, 2, 5, 0.8, "AMBIGUOUS")]
+    cases = spark.createDataFrame([(1, "MATCH_DESIGN", 6), (2, "MATCH_DESIGN", 5), (3, "MATCH_DESIGN", 1)], "case_id long, outcome string, expected long")
+    r = rv.threshold_evaluation(cases, df.withColumnRenamed("occurrence", "case_id")).first()
+    assert (r.cases, r.matches, r.top1, r.coverage, r.accuracy) == (3, 3, round(2 / 3, 6), round(2 / 3, 6), 1.0)
