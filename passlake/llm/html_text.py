@@ -59,20 +59,32 @@ REGION_SHARE = 0.8
 CLUSTER_SHARE = 0.2
 #: End tags of other elements do not close these.
 SCOPES = frozenset("article main nav aside footer table".split())
+#: Marks that also stand in the names of layouts around an article ("with-sidebar"), so an element of these alone may hold it.
+LAYOUT = frozenset("breadcrumb breadcrumbs complementary header masthead menu nav navbar navigation notice notices pagination search sidebar toolbar widget".split())
+#: Marks of what readers and lawyers write, which an article is last looked for in.
+OTHERS = frozenset("comment comments consent cookie cookies disqus gdpr replies reply respond".split())
+#: Headings, which are no content of their own.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup legend caption".split())
+#: A line of so many characters, or a sentence of so many words, is content.
+CONTENT_CHARS, SENTENCE_WORDS = 40, 4
 _WORDS = re.compile(r"[a-z0-9]+")
+_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
+_RIGHTS = re.compile(r"^\W*(©|copyright\b)|\ball rights reserved\b", re.IGNORECASE)
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The marks in an element's names."""
+    marks: set[str] = set()
     if tag in ("html", "body", "main"):
-        return False
+        return marks
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for part in value.lower().split():
                 words = set(_WORDS.findall(part))
                 if found := words & MARKS:
                     if found != {"header"} or words.isdisjoint(HEADED):
-                        return True
-    return False
+                        marks |= found
+    return marks
 
 
 def _unseen(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -85,7 +97,7 @@ def _unseen(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Line(NamedTuple):
-    """A block of text: its tags, its innermost region, whether it is unseen, its characters in links, its innermost mark."""
+    """A block of text: its tags, its innermost region, whether it is unseen, its characters in links, its innermost mark, whether it is a heading."""
 
     text: str
     tags: int
@@ -93,6 +105,7 @@ class Line(NamedTuple):
     unseen: bool
     linked: int
     mark: int
+    heading: bool
 
 
 class Open(NamedTuple):
@@ -112,7 +125,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parents, self.kinds = [-1], ["root"]
-        self.marks = [-1]
+        self.marks, self.layout, self.others = [-1], [True], [False]
         self.stack = [Open("root", 0, False, 0, 0)]
         self.open: Counter[str] = Counter()
         self.scopes: list[Counter[str]] = [Counter()]
@@ -123,7 +136,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1]
-            self.lines.append(Line(text, self.tags, top.region, top.unseen, self.linked, top.mark))
+            self.lines.append(Line(text, self.tags, top.region, top.unseen, self.linked, top.mark, self.stack[top.block].tag in HEADINGS or top.tag in HEADINGS))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
@@ -163,11 +176,14 @@ class Lines(HTMLParser):
         top = self.stack[-1]
         region, mark = top.region, top.mark
         skip = _unseen(tag, attrs)
-        marked = _marked(tag, attrs) or tag == "form" or (tag == "header" and not self.open["article"])
+        names = _marked(tag, attrs)
+        marked = bool(names) or tag == "form" or (tag == "header" and not self.open["article"])
         if (skip or marked) and not top.unseen:
             self._flush()
         if marked and not skip and not top.unseen:
             self.marks.append(mark)
+            self.layout.append(names <= LAYOUT)
+            self.others.append(not names.isdisjoint(OTHERS))
             mark = len(self.marks) - 1
         if tag in REGIONS and not top.unseen and not skip:
             self.parents.append(region)
@@ -257,11 +273,58 @@ def _region(parser: Lines, weight: list[int]) -> list[bool]:
     return chosen
 
 
+def _content(line: Line) -> bool:
+    """Whether a line is text of its own: long or a sentence, no heading, not mostly links, no notice of rights."""
+    if line.unseen or line.heading or 2 * line.linked > len(line.text) or _RIGHTS.search(line.text):
+        return False
+    return len(line.text) >= CONTENT_CHARS or (len(line.text.split()) >= SENTENCE_WORDS and bool(_SENTENCE_END.search(line.text)))
+
+
+def _opened(parser: Lines) -> list[bool]:
+    """For each marked element, whether it is opened, that is treated as if it had no mark. Others are dropped.
+
+    While no content stands outside of dropped elements, the one that holds most of it is opened (comments and consent only where there is no other), then one within it. If content stands outside, but none of
+    it in an article or main element, layouts around such an element are opened, since they hold the article.
+    """
+    held: Counter[int] = Counter()
+    in_article: Counter[int] = Counter()
+    kinds, parents = parser.kinds, parser.parents
+    article = [False] * len(kinds)
+    for k in range(1, len(kinds)):
+        article[k] = article[parents[k]] or kinds[k] in ("article", "main")
+    for x in parser.lines:
+        if _content(x):
+            held[x.mark] += len(x.text)
+            if article[x.region]:
+                in_article[x.mark] += len(x.text)
+    marks = parser.marks
+    below, opened = _summed(marks, held), [k == 0 for k in range(len(marks))]
+    children: dict[int, list[int]] = {}
+    for m in range(1, len(marks)):
+        children.setdefault(marks[m], []).append(m)
+    at = 0
+    while not held[at]:
+        at = max(children.get(at, ()), key=lambda m: (below[m] > 0 and not parser.others[m], below[m]), default=0)
+        if not at or not below[at]:
+            break
+        opened[at] = True
+    if not any(in_article[m] for m in range(len(marks)) if opened[m]):
+        around = [True] * len(marks)  # all marks down to here are layouts
+        for m in range(1, len(marks)):
+            around[m] = around[marks[m]] and (parser.layout[m] or opened[m])
+        for m in range(len(marks) - 1, 0, -1):
+            if around[m] and in_article[m]:
+                while not opened[m]:
+                    opened[m] = True
+                    m = marks[m]
+    return opened
+
+
 def main_text(html: str | None, sigma: float = SIGMA, deviations: float = DEVIATIONS) -> str:
     """The main text of one whole page; empty for null, empty and text-free pages.
 
-    A line's ratio is its characters over its tags, 0 where it is unseen. Elements that their tag or names mark as
-    boilerplate are dropped, but not one that holds most of the characters of the page's high-ratio lines. Ratios of what is left
+    A line's ratio is its characters over its tags, 0 where it is unseen. Elements that their tag or names mark as boilerplate are dropped, however long they
+    are; one is kept only where no content stands outside of such elements, or where it is a layout around an article element (`_opened`). Ratios of what is left
     are smoothed, and runs of lines over the threshold are clusters. The region is the smallest element that holds nearly all text
     of the main clusters, or the article (else main) elements that do together. All its lines are
     returned, short ones too, but lines under the threshold that are mostly links go. Time and memory are in proportion to the page's length.
@@ -275,16 +338,8 @@ def main_text(html: str | None, sigma: float = SIGMA, deviations: float = DEVIAT
     if not lines:
         return ""
     sizes = np.array([len(x.text) for x in lines])
-    plain = np.array([0.0 if x.unseen or 2 * x.linked > len(x.text) else len(x.text) / max(1, x.tags) for x in lines])
-    high = (plain > 0) & (plain >= deviations * plain.std())
-    held: Counter[int] = Counter()
-    for k in np.flatnonzero(high):
-        held[lines[k].mark] += int(sizes[k])
-    below = _summed(parser.marks, held)
-    dropped = [False] * len(parser.marks)
-    for m in range(1, len(parser.marks)):
-        dropped[m] = dropped[parser.marks[m]] or 2 * below[m] <= below[0]
-    bad = np.array([x.unseen or dropped[x.mark] for x in lines])
+    opened = _opened(parser)
+    bad = np.array([x.unseen or not opened[x.mark] for x in lines])
     if bad.all():
         return ""
     ratios = np.where(bad, 0.0, sizes / np.maximum(1, [x.tags for x in lines]))

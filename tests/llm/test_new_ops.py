@@ -12,7 +12,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from passlake.llm import chat, divergence, negatives, queries
+from passlake.llm import chat, divergence, html_text, negatives, queries
 from passlake.llm.common import Workspace
 
 SF = "/root/testdata/sf0.001"
@@ -237,3 +237,35 @@ def test_long_paths_take_few_rounds(spark):
     path = chat.root_paths(work, links)
     assert sorted((r.uid, r.depth) for r in path.collect()) == [(k, k) for k in range(300)]
     assert sum("reach" in name for name, _ in work.saved) <= 10
+
+
+ARTICLE = "<p>Short first part of it.</p><p>The second one says more.</p>"
+LONG = "".join(f"<p>Paragraph {k} of the article tells what happened then, in some detail and at some length.</p>" for k in range(4))
+NOTICE = "<div class='cookie-consent'><p>" + "We use cookies to improve what you see here and to measure it. " * 6 + "</p></div>"
+COMMENTS = "<section class='comments'>" + "".join(f"<p>I think number {k} is right, and I would like to say so at some length here.</p>" for k in range(6)) + "</section>"
+SHORT_TEXT = "Short first part of it. The second one says more."
+LONG_TEXT = " ".join(re.findall("<p>(.*?)</p>", LONG))
+#: Marked elements that are longer than the article, around it, or beside it.
+MARKED_PAGES = {
+    "notice beside a post": (f"<div class='post'>{ARTICLE}</div>{NOTICE}", SHORT_TEXT),
+    "notice before a post": (f"{NOTICE}<div class='post'>{ARTICLE}</div>", SHORT_TEXT),
+    "notice beside an article": (f"<article>{ARTICLE}</article>{NOTICE}", SHORT_TEXT),
+    "comments beside an article": (f"<article>{ARTICLE}</article>{COMMENTS}", SHORT_TEXT),
+    "comments in an article": (f"<article>{ARTICLE}{COMMENTS}</article>", SHORT_TEXT),
+    "comments as articles": (f"<div>{ARTICLE}</div><div class='comments'><article>{LONG}</article></div>", SHORT_TEXT),
+    "notice and comments": (f"{NOTICE}<main>{ARTICLE}</main>{COMMENTS}", SHORT_TEXT),
+    "form around all": (f"<form id='f'>{NOTICE}<div>{ARTICLE}</div></form>", SHORT_TEXT),
+    "promo page": (f"<div class='promo-page'>{ARTICLE}{COMMENTS}</div>", SHORT_TEXT),
+    "marked story beside comments": (f"<h1>A title.</h1><div class='widget story'>{ARTICLE}</div>{COMMENTS}", "A title. " + SHORT_TEXT),
+    "layout around an article": (f"<p>Our tagline is a whole sentence.</p><div class='with-sidebar'><article>{LONG}</article></div>{NOTICE}", LONG_TEXT),
+    "sidebar in a layout": (f"<div class='has-sidebar'><div class='sidebar'>{NOTICE}</div><article>{ARTICLE}</article></div>", SHORT_TEXT),
+    "newsletter box in an article": (f"<article>{ARTICLE}<div class='newsletter'><p>{'Sign up for our letters, they come each week. ' * 5}</p></div></article>", SHORT_TEXT),
+    "related stories": (f"<main>{ARTICLE}</main><div class='related'>{LONG}</div>", SHORT_TEXT),
+    "rights beside a marked story": (f"<div class='search-story'>{LONG}</div><div class='footer'>© 2024 Example. All rights reserved.</div>", LONG_TEXT),
+}
+
+
+@pytest.mark.parametrize("name", MARKED_PAGES)
+def test_marked_elements_never_win_by_size(name):
+    page, want = MARKED_PAGES[name]
+    assert html_text.main_text(f"<html><body>{page}</body></html>") in (want, want.removeprefix("A title. "))
