@@ -82,7 +82,7 @@ def seq_sim(a: Column, b: Column) -> Column:
         lambda i: 1
         - F.least(
             F.lit(1.0),
-            F.abs(F.element_at(a, F.least(i, F.size(a))) - F.element_at(b, F.least(i, F.size(b)))),
+            F.abs(F.get(a, F.least(i, F.size(a)) - 1) - F.get(b, F.least(i, F.size(b)) - 1)),
         ),
     )
     return F.when((F.size(a) > 0) & (F.size(b) > 0), total(sims) / n)
