@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -16,8 +18,12 @@ NONE_DOCS = 400
 MAX_NONE_ROWS = 2000
 #: Share of held-out licence paragraphs that may fall below the probability from which a family is believed.
 MISSED_SHARE = 0.02
+#: One template of so many is held out, to calibrate the probability from which a family is believed.
+HELD_TEMPLATES = 4
 #: Share of a paragraph's word pairs that its family's templates must hold, or of one template's that the paragraph must.
 MIN_TEMPLATE_SHARE = 0.5
+#: Words that, like numbers, name no licence.
+GENERIC = frozenset("a an and any at for in later licence license licenses of only or the this to under v version".split())
 #: Notices of licence families and grants of whole licences, as their publishers word them.
 TEMPLATES = {
     "apache-2.0": [
@@ -150,7 +156,7 @@ def grams(parts: Column) -> Column:
 def examples(spark: SparkSession) -> DataFrame:
     """family, text: windows of 4 words or more of every template and prose, and these whole; with its part: 0 to fit, 1 to calibrate.
 
-    Parts are dealt by hash of the window.
+    Parts are dealt by hash of the whole template, so windows that calibrate lie in no template that the calibrated model was fitted on.
     """
     rows = [(family, text) for family, texts in (TEMPLATES | {NONE: PROSE}).items() for text in texts]
     base = spark.createDataFrame(rows, "family string, template string").coalesce(1)
@@ -165,10 +171,11 @@ def examples(spark: SparkSession) -> DataFrame:
             ),
         )
     )
-    windows = base.select("family", F.explode(F.array_distinct(F.concat(F.array("template"), spans))).alias("text"))
+    held = F.pmod(F.xxhash64("template"), F.lit(HELD_TEMPLATES)).eqNullSafe(0).cast("int")
+    windows = base.select("family", held.alias("part"), F.explode(F.array_distinct(F.concat(F.array("template"), spans))).alias("text"))
     # A window that several families share says nothing about any of them.
-    shared = windows.groupBy("text").agg(F.count_distinct("family").alias("n"), F.min("family").alias("family")).where("n = 1")
-    return shared.select("family", "text", F.pmod(F.xxhash64("text"), F.lit(5)).eqNullSafe(0).cast("int").alias("part"))
+    shared = windows.groupBy("text").agg(F.count_distinct("family").alias("n"), F.min("family").alias("family"), F.min("part").alias("part")).where("n = 1")
+    return shared.select("family", "text", "part")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -189,6 +196,20 @@ def template_share(parts: Column, family: Column) -> Column:
     return F.greatest(held, most)
 
 
+def distinctive(parts: Column, family: Column) -> Column:
+    """Whether a paragraph holds a word pair that templates of this family hold and those of no other one do, and that is more than a version."""
+    held = {f: {p for t in texts for p in _pairs_of(t) if not all(w in GENERIC or w.isdigit() for w in p.split())} for f, texts in TEMPLATES.items()}
+    only = {f: sorted(own - set().union(*[x for g, x in held.items() if g != f])) for f, own in held.items() if f != UNKNOWN}
+    table = F.create_map(*[x for f, own in only.items() for x in (F.lit(f), F.array(*[F.lit(p) for p in own]))])
+    return F.coalesce(F.arrays_overlap(pairs(parts), F.element_at(table, family)), F.lit(False))
+
+
+def _pairs_of(template: str) -> list[str]:
+    """`pairs` of the words of a template, which are plain letters and digits."""
+    parts = [w for w in re.split(r"[^a-z0-9]+", template.lower()) if w]
+    return [f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False)]
+
+
 class LicenseModel:
     """Multinomial logistic regression on hashed words and pairs, with the probability from which a family is believed."""
 
@@ -212,7 +233,9 @@ class LicenseModel:
 
 
 def train(spark: SparkSession, docs: DataFrame, max_none_rows: int = MAX_NONE_ROWS, none_docs: int = NONE_DOCS) -> LicenseModel:
-    """Fits on windows of templates and prose and on max_none_rows paragraphs of about none_docs documents; calibrates on windows held back.
+    """Fits on windows of templates and prose and on max_none_rows paragraphs of about none_docs documents; calibrates on whole templates held back.
+
+    A first model, of the other templates, tells the probability from which a family is believed; the one that is returned is fitted on all.
 
     Paragraphs of which templates hold half of the word pairs are no examples of none.
     """
@@ -236,16 +259,17 @@ def train(spark: SparkSession, docs: DataFrame, max_none_rows: int = MAX_NONE_RO
     rows = rows.select("text", "part", number.cast("double").alias("label"), grams(F.col("parts")).alias("grams"))
     rows = rows.coalesce(1).persist()
     try:
-        stages = Pipeline(
+        pipeline = Pipeline(
             stages=[
                 HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True),
                 LogisticRegression(family="multinomial", regParam=1e-4, maxIter=30, standardization=False),
             ]
-        ).fit(rows.where("part = 0"))
+        )
         # The class number is fixed by the training rows: the model has max(label) + 1 classes.
-        held = stages.transform(rows.where("part = 1"))
+        held = pipeline.fit(rows.where("part = 0")).transform(rows.where("part = 1"))
         right = F.get(vector_to_array("probability"), F.col("label").cast("int"))
         low = held.agg(F.percentile(right, MISSED_SHARE)).first()[0]
+        stages = pipeline.fit(rows)
     finally:
         rows.unpersist()
     return LicenseModel(stages, families, min(0.9, max(0.3, low if low is not None else 0.5)))
@@ -255,8 +279,8 @@ def scan(spark: SparkSession, docs: DataFrame, model: LicenseModel | None = None
     """One row for each row of docs: doc_id, n_paragraphs, families, n_licensed, n_unknown, probability, license.
 
     Every line of every text that is not blank is a paragraph, and every paragraph is classified. A predicted family is confirmed
-    when its templates hold at least MIN_TEMPLATE_SHARE of the paragraph's word pairs, or the paragraph of one template's; one that isn't
-    counts as unknown. families: confirmed ones in alphabetical order; license: the one of the likeliest paragraph, or
+    when its templates hold at least MIN_TEMPLATE_SHARE of the paragraph's word pairs, or the paragraph of one template's, and one of these pairs stands in
+    no other family's templates; one that isn't counts as unknown. Of equal probabilities the alphabetically last family leads. families: confirmed ones in alphabetical order; license: the one of the likeliest paragraph, or
     unknown, or none; probability: of that paragraph, null for none. Null and empty texts have no paragraphs; very long ones
     are classified line by line like others. Rows equal in doc_id and text are one document and get the same result each; an empty
     table gives an empty result; other columns are ignored.
@@ -264,10 +288,9 @@ def scan(spark: SparkSession, docs: DataFrame, model: LicenseModel | None = None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = model or train(spark, docs)
     seen = model.predict(paragraphs(docs).where(F.trim("text") != "")).where(F.col("family") != NONE)
-    share = template_share(words(F.col("text")), F.col("family"))
-    judged = seen.withColumn("share", share).withColumn(
-        "family", F.when((F.col("family") != UNKNOWN) & (F.col("share") >= MIN_TEMPLATE_SHARE), F.col("family")).otherwise(F.lit(UNKNOWN))
-    )
+    parts = words(F.col("text"))
+    confirmed = (F.col("family") != UNKNOWN) & (template_share(parts, F.col("family")) >= MIN_TEMPLATE_SHARE) & distinctive(parts, F.col("family"))
+    judged = seen.withColumn("family", F.when(confirmed, F.col("family")).otherwise(F.lit(UNKNOWN)))
     sure = F.col("family") != UNKNOWN
     found = (
         judged.groupBy("row_key", "line_no")

@@ -144,6 +144,21 @@ def test_licences_in_other_words(spark):
     assert all(r.license == "none" for r in got if r.doc_id >= 20)
 
 
+def test_unlisted_licences_are_unknown_and_templates_are_confirmed(spark):
+    """Notices that share only what all licences share, and every template by itself."""
+    others = [
+        "Licensed under the Eclipse Public License 2.0.", "Licensed under the European Union Public Licence, version 1.2.", "This software is released under the zlib license.",
+        "Licensed under the Academic Free License version 3.0.", "SPDX-License-Identifier: EPL-2.0", "Distributed under the Boost Software License, Version 1.0.",
+        "Licensed under the Artistic License 2.0.", "This file is licensed under the PostgreSQL License.",
+    ]
+    named = [(f, t) for f, texts in license_scan.TEMPLATES.items() for t in texts]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*others, *[t for _, t in named]])], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(spark, docs).collect()}
+    assert [got[k].families for k in range(len(others))] == [[]] * len(others)
+    assert [got[len(others) + k].license for k in range(len(named))] == [f for f, _ in named]
+    assert all(r.probability is not None for r in got.values() if r.license != "none")
+
+
 @pytest.mark.parametrize("shard_rows", [40, 8192])
 def test_top_k_is_exact(spark, shard_rows):
     dice = np.random.default_rng(1)
