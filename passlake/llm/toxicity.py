@@ -17,14 +17,13 @@ from passlake.llm.common import arrow_map
 MAX_TRAIN_ROWS = 20_000
 #: Terms are hashed to this many numbers.
 HASH_SIZE = 1 << 20
-#: Features: terms with the strongest association with the label, and members of pairs of frequent terms that
-#: stand together with other labels than either would tell.
+#: Features, documented bounds of what is taken from the labelled sample: terms with the strongest association with the label, and members of pairs of words,
+#: among all words of the sample, that stand together with other labels than either would tell.
 MAX_TERMS = 4096
-MIN_TERM_DOCS = 5
+MIN_TERM_DOCS = 3
 MIN_Z = 4.0
-PAIR_TERMS = 1024
 MAX_PAIRS = 512
-MIN_PAIR_DOCS = 20
+MIN_PAIR_DOCS = 12
 MIN_PAIR_Z = 6.0
 FACTORS = 4
 STEPS = 600
@@ -51,12 +50,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-_TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32()))])
+_TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32())), ("words", pa.list_(pa.int32()))])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
 def _terms(rows: dict[str, list]) -> dict[str, list]:
-    return {"terms": [sorted({i for w in words_of(t) for i in term_ids(w)}) for t in rows["text"]]}
+    ids = [[term_ids(w) for w in words_of(t)] for t in rows["text"]]
+    return {"terms": [sorted({i for x in own for i in x}) for own in ids], "words": [sorted({x[0] for x in own}) for own in ids]}
 
 
 class FactorizationMachine:
@@ -118,36 +118,46 @@ def fit(
     return FactorizationMachine(terms, float(theta[0][0]), theta[1], theta[2])
 
 
-def pair_members(docs: np.ndarray, places: np.ndarray, labels: np.ndarray, m: int) -> np.ndarray:
-    """Of m terms, those in pairs whose documents have other labels than the two terms' own rates add up to.
+def pair_members(docs: np.ndarray, places: np.ndarray, labels: np.ndarray, m: int, max_pairs: int = MAX_PAIRS) -> np.ndarray:
+    """Of m words, those in pairs whose documents have other labels than the two words' own rates add up to: the max_pairs most telling pairs.
 
-    docs and places as in fit. Counts of all pairs come from products of blocks of the document-term matrix.
+    docs and places as in fit. A word is counted beside all words of its documents, one word after the other, so every pair that stands together is looked at
+    and memory follows the sample.
     """
     n = len(labels)
-    both, hits = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
-    edges = np.searchsorted(docs, np.arange(0, n + 2000, 2000))
-    for at, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        block = np.zeros((2000, m), np.float32)
-        block[docs[start:end] - 2000 * at, places[start:end]] = 1
-        toxic = block[np.flatnonzero(labels[2000 * at : 2000 * (at + 1)] > 0)]
-        both += block.T @ block
-        hits += toxic.T @ toxic
-    p = labels.mean()
-    rate = np.diag(hits) / np.maximum(1, np.diag(both))
-    wanted = np.clip(rate[:, None] + rate[None, :] - p, 0.0, 1.0)
-    z = np.abs(hits - both * wanted) / np.sqrt(both * (wanted * (1 - wanted) + 0.01) + 1e-9)
-    z[both < MIN_PAIR_DOCS] = 0
-    z = np.triu(z, 1)
-    best = np.argsort(-z, axis=None, kind="stable")[:MAX_PAIRS]
-    best = best[z.flat[best] >= MIN_PAIR_Z]
-    return np.unique(np.concatenate(np.unravel_index(best, z.shape))) if len(best) else np.empty(0, np.int64)
-
-
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, factors: int = FACTORS) -> FactorizationMachine:
+    if not len(places):
+        return np.empty(0, np.int64)
+    first = np.searchsorted(docs, np.arange(n + 1))  # where a document's words begin
+    by_word = np.argsort(places, kind="stable")
+    holders, start = docs[by_word], np.searchsorted(places[by_word], np.arange(m + 1))
+    toxic = labels > 0
+    both_of = np.bincount(places, minlength=m)
+    rate = np.bincount(places, weights=toxic[docs], minlength=m) / np.maximum(1, both_of)
+    p, best = labels.mean(), []
+    for a in np.flatnonzero(both_of >= MIN_PAIR_DOCS):
+        own = holders[start[a] : start[a + 1]]
+        beside = np.concatenate([places[first[d] : first[d + 1]] for d in own])
+        both = np.bincount(beside, minlength=m)
+        others = np.flatnonzero(both >= MIN_PAIR_DOCS)
+        others = others[others > a]
+        if not len(others):
+            continue
+        bad = own[toxic[own]]
+        hits = np.bincount(np.concatenate([places[first[d] : first[d + 1]] for d in bad]), minlength=m)[others] if len(bad) else np.zeros(len(others))
+        both = both[others]
+        wanted = np.clip(rate[a] + rate[others] - p, 0.0, 1.0)
+        z = np.abs(hits - both * wanted) / np.sqrt(both * (wanted * (1 - wanted) + 0.01))
+        best += [(-float(z[k]), int(a), int(others[k])) for k in np.flatnonzero(z >= MIN_PAIR_Z)]
+        if len(best) > 8 * max_pairs:
+            best = sorted(best)[:max_pairs]
+    return np.unique(np.array([x[1:] for x in sorted(best)[:max_pairs]], np.int64).reshape(-1))
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, factors: int = FACTORS, max_terms: int = MAX_TERMS, max_pairs: int = MAX_PAIRS) -> FactorizationMachine:
     """The model of at most max_rows labelled rows outside the held-out quarter.
 
-    Terms are chosen by the deviation of their label rate from the mean, in standard errors, and by that of pairs of the
-    PAIR_TERMS most frequent ones. To the driver come these terms and their places in max_rows rows. Of several texts
+    Features are the max_terms terms whose label rate deviates most from the mean, in standard errors, and the members of the max_pairs pairs of words that do so together; all
+    words of the sample in MIN_PAIR_DOCS of its documents are looked at. To the driver come these terms and words and their places in max_rows rows. Of several texts
     of one doc_id the least is learned from.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -158,7 +168,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     known = known.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, there))), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull())
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = rows.mapInArrow(arrow_map(_terms, ["text"], _TERMS), "doc_id long, toxic int, terms array<int>").persist()
+    rows = rows.mapInArrow(arrow_map(_terms, ["text"], _TERMS), "doc_id long, toxic int, terms array<int>, words array<int>").persist()
     try:
         n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         p = positive / n if n else 0.0
@@ -171,28 +181,25 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
             .where(seen >= MIN_TERM_DOCS)
             .withColumn("z", z)
         )
-        marked = {r["term"] for r in counts.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term").collect()}
-        often = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(PAIR_TERMS).select("term").collect()]
-        wanted = sorted(marked.union(often))
-        kept = F.array(*[F.lit(int(t)) for t in wanted]) if wanted else F.array().cast("array<int>")
-        found = rows.select("doc_id", "toxic", F.array_intersect("terms", kept).alias("terms")).toArrow()
+        marked = {r["term"] for r in counts.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect()}
+        words = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAIR_DOCS)
+        often = np.sort(words.select("word").toArrow()["word"].to_numpy().astype(np.int64))  # words of max_rows texts
+        found = rows.select("doc_id", "toxic", "terms", "words").toArrow()
     finally:
         rows.unpersist()
     found = found.sort_by("doc_id").combine_chunks()
-    sizes = pc.list_value_length(found["terms"]).to_numpy()
-    at = np.repeat(np.arange(len(sizes)), sizes)
-    flat = pc.list_flatten(found["terms"]).to_numpy().astype(np.int64)
     y = found["toxic"].to_numpy().astype(np.float64)
 
-    def only(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def only(column: str, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = pc.list_value_length(found[column]).to_numpy()
+        flat, at = pc.list_flatten(found[column]).to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
         inside = np.isin(flat, terms)
         return at[inside], np.searchsorted(terms, flat[inside])
 
-    frequent = np.array(sorted(often), np.int64)
-    if len(frequent) and len(y):
-        marked.update(int(t) for t in frequent[pair_members(*only(frequent), y, len(frequent))])
+    if len(often) and len(y):
+        marked.update(int(t) for t in often[pair_members(*only("words", often), y, len(often), max_pairs)])
     terms = np.array(sorted(marked), np.int64)
-    return fit(terms, *only(terms), y, factors)
+    return fit(terms, *only("terms", terms), y, factors)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:

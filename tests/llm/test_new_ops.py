@@ -12,7 +12,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from passlake.llm import chat, divergence, html_text, negatives, queries
+from passlake.llm import chat, divergence, html_text, negatives, queries, toxicity
 from passlake.llm.common import Workspace
 
 SF = "/root/testdata/sf0.001"
@@ -269,3 +269,29 @@ MARKED_PAGES = {
 def test_marked_elements_never_win_by_size(name):
     page, want = MARKED_PAGES[name]
     assert html_text.main_text(f"<html><body>{page}</body></html>") in (want, want.removeprefix("A title. "))
+
+
+def test_a_rare_insult_tells_only_beside_a_group_word(spark):
+    """A word outside the thousand most frequent ones, with the mean label rate, is toxic beside one word and harmless beside another."""
+    dice = np.random.default_rng(13)
+    docs, labels = [], []
+    for k in range(3000):
+        filler = [f"fill{chr(97 + x // 26 % 26)}{chr(97 + x % 26)}{chr(97 + x // 676)}" for x in dice.integers(0, 1200, 60)]
+        group = ("strangers", "weather")[int(dice.integers(0, 2))]
+        insult, vile = k % 20 == 0, bool(dice.integers(0, 2))
+        docs.append((k, " ".join([*filler, group, *(["grumble"] if insult else ["vile" if vile else "fine"])])))
+        labels.append((k, int(group == "strangers" if insult else vile)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(spark, d, lab).collect()}
+    held = [k for k in got if got[k].held_out and k % 20 == 0]
+    assert len(held) > 20 and np.mean([got[k].predicted == labels[k][1] for k in held]) > 0.9
+
+
+def test_machine_scores_as_plain_sums(spark):
+    """The score of a fitted machine against the sum over all pairs of present terms, one by one."""
+    dice = np.random.default_rng(3)
+    machine = toxicity.FactorizationMachine(np.arange(9), -0.4, dice.normal(0, 1, 9), dice.normal(0, 1, (9, 4)))
+    for present in ([], [3], [0, 4, 8], list(range(9))):
+        z = machine.bias + sum(machine.weights[i] for i in present)
+        z += sum(float(machine.vectors[i] @ machine.vectors[j]) for i in present for j in present if i < j)
+        assert abs(machine.score(present) - 1 / (1 + np.exp(-z))) < 1e-12
