@@ -147,8 +147,7 @@ def calibration(rows: DataFrame, support: str, error: str, bins: int = 5) -> Dat
     told = split.groupBy("bin").agg(
         F.sum("k").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), (F.sum(F.col("e") * F.col("k")) / F.sum("k")).alias("mean_error")
     )
-    each = split.select("bin", "e", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("again"))
-    share = percentiles(each, ["bin"], "e", {"median_error": 0.5, "p90_error": 0.9})
+    share = percentiles(split, ["bin"], "e", {"median_error": 0.5, "p90_error": 0.9}, weight="k")
     return told.join(share, "bin").select(F.col("bin").cast("long").alias("bin"), "n", "low", "high", "mean_error", "median_error", "p90_error")
 
 
@@ -183,11 +182,40 @@ def unique_warnings(rows: DataFrame, keys: list[str], order: list[str]) -> DataF
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def _member(fields: list[str]) -> Column:
+    return F.sha2(F.concat_ws(":", *[F.coalesce(F.col(f).cast("string"), F.lit("~")) for f in fields]), 256)
+
+
+def group_hash(members: DataFrame, group: str, fields: list[str]) -> DataFrame:
+    """group, n, hash: a hash of each group's rows, whatever their order and partitions.
+
+    It is made of the count and the sums of the four quarters of the rows' hashes: partial sums merge, so a group of any size needs no list and no task of its own.
+    """
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}")
+    sums = members.select(group, _member(fields).alias("h")).groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[part(k) for k in range(4)])
+    return sums.select(group, "n", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3")]), 256).alias("hash"))
+
+
 def assembly_template(members: DataFrame) -> DataFrame:
-    """Hash of the members of an assembly in order: projects with one hash share a template."""
-    text = F.concat_ws(":", "role", F.col("design_id").cast("string"))
-    texts = members.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("t"))
-    return texts.select("project_id", F.sha2("t", 256).alias("template"))
+    """project_id, template: an order-free hash of each project's members; projects with one hash share a template."""
+    return group_hash(members, "project_id", ["role", "design_id"]).select("project_id", F.col("hash").alias("template"))
+
+
+def register_templates(members: DataFrame, registry: DataFrame) -> DataFrame:
+    """project_id, template, template_id, action and collision of each project's assembly: REUSED where the registry (template, template_id) has its hash, else CREATED.
+
+    Ids follow from the hash, so projects of one run that share an assembly create one, and a second run creates none. collision: projects of this hash differ in
+    a member; each (hash, member, times) must then stand in all projects of the hash. Repeated registry rows count once, with their least id.
+    """
+    told = assembly_template(members)
+    known = registry.groupBy("template").agg(F.min("template_id").alias("held"))
+    times = members.select("project_id", _member(["role", "design_id"]).alias("m")).groupBy("project_id", "m").agg(F.count(F.lit(1)).alias("k"))
+    projects = told.groupBy("template").agg(F.count(F.lit(1)).alias("projects"))
+    stands = times.join(told, "project_id").groupBy("template", "m", "k").agg(F.count(F.lit(1)).alias("c")).join(projects, "template")
+    clash = stands.groupBy("template").agg(F.max(F.col("c") < F.col("projects")).alias("collision"))
+    out = told.join(known, "template", "left").join(clash, "template")
+    fresh = F.concat(F.lit("tpl-"), F.substring("template", 1, 16))
+    return out.select("project_id", "template", F.coalesce("held", fresh).alias("template_id"), F.when(F.col("held").isNull(), "CREATED").otherwise("REUSED").alias("action"), "collision")
 
 
 def normalise_dims(designs: DataFrame, factors: dict[str, float]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passlake.streaming.jobs import shared_folder
+from passlake.folders import shared_folder
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

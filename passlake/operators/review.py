@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passlake.operators.spatial import box_join
-from passlake.streaming.jobs import shared_folder
+from passlake.folders import shared_folder
 
 
 def resolve_project(rows: DataFrame, projects: DataFrame, codes: DataFrame, pattern: str = r"[A-Za-z][0-9]{4}") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from passlake.functions.vectors import lerp, vec_rms
-from passlake.operators.ranks import values_at
+from passlake.operators.ranks import percentiles, values_at
 
 
 def flower() -> WindowSpec:
@@ -46,16 +46,17 @@ def transitions(passes: DataFrame) -> DataFrame:
 
 def filter_outliers(passes: DataFrame, share: float = 0.25, jump: float = 0.75) -> DataFrame:
     """The passes that stay: at least share of the median width, and (in sequences of three or more) not
-    different by more than jump, relative to itself, from both neighbours."""
-    median = F.median("width").over(flower())
+    different by more than jump, relative to itself, from both neighbours. The median is exact and comes from range partitions, not from a whole sequence's buffer."""
+    middle = percentiles(passes.where(F.col("flower_id").isNotNull()), ["flower_id"], "width", {"__median": 0.5})
+    passes = passes.join(middle, "flower_id", "left")
     near = lambda other: F.abs(F.col("width") - other) <= jump * F.abs(F.col("width"))
     before, after = F.lag("width").over(by_ord()), F.lead("width").over(by_ord())
     marked = passes.select(
         "*",
-        (F.col("width") >= share * median).alias("long"),
+        (F.col("width") >= share * F.col("__median")).alias("long"),
         ((F.count(F.lit(1)).over(flower()) < 3) | before.isNull() | after.isNull() | near(before) | near(after)).alias("fits"),
     )
-    return marked.where("long and fits").drop("long", "fits")
+    return marked.where("long and fits").drop("long", "fits", "__median")
 
 
 def length_progression(passes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passlake.operators.graph import components
-from passlake.streaming.jobs import shared_folder
+from passlake.folders import shared_folder
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
 

@@ -10,7 +10,7 @@ from passlake.operators.evidence import ood_thresholds
 from passlake.plans.queries import PV, query, rounded
 from passlake.plans.spatial import BOXES, duck, rows
 from passlake.sources import bundles as bd
-from passlake.streaming.jobs import shared_folder
+from passlake.folders import shared_folder
 from passlake.views import pass_vectors, table
 
 _K = "cast(regexp_extract(props, '([0-9]+)', 1) as double)"

@@ -523,12 +523,29 @@ def _(s, d):
     return ev.unique_warnings(series(s, d), ["flower_id", "kind"], ["ord"]).select("flower_id", "kind", "event_id", "width")
 
 
-@query("e2_assembly_template", f"""
-select project_id, sha256(string_agg(role || ':' || design_id, ',' order by role || ':' || design_id)) template from {OC} group by 1""")
+def group_hash_sql(rows: str, group: str, fields: list[str]) -> str:
+    """Query in brackets: group, n, hash as `evidence.group_hash` makes it."""
+    text = " || ':' || ".join(f"coalesce({f}::varchar, '~')" for f in fields)
+    sums = ", ".join(f"sum(cast('0x' || substr(h, {1 + 15 * k}, 15) as bigint)::hugeint) s{k}" for k in range(4))
+    return f"""(select {group}, n, sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) hash from
+      (select {group}, count(*) n, {sums} from (select {group}, sha256({text}) h from {rows}) group by 1))"""
+
+
+@query("e2_assembly_template", f"select project_id, hash template from {group_hash_sql(OC, 'project_id', ['role', 'design_id'])}")
 def _(s, d):
     return ev.assembly_template(view(s, d, "occurrences"))
 
 
+@query("e2_register_templates", f"""
+with t as (select project_id, hash template from {group_hash_sql(OC, 'project_id', ['role', 'design_id'])}), r as (select distinct template from t where project_id % 3 = 0)
+select project_id, t.template, case when r.template is null then 'tpl-' || substr(t.template, 1, 16) else 'old-' || substr(t.template, 1, 8) end template_id,
+  case when r.template is null then 'CREATED' else 'REUSED' end action, false collision from t left join r using (template)""")
+def _(s, d):
+    rows = view(s, d, "occurrences")
+    held = ev.assembly_template(rows.where("project_id % 3 = 0")).select("template", F.concat(F.lit("old-"), F.substring("template", 1, 8)).alias("template_id"))
+    return ev.register_templates(rows, held)
+
+
 @query("k4_normalise_dims", f"""
 with u as (select design_id, diameter, case design_id % 4 when 0 then 'mm' when 1 then 'in' when 2 then 'cm' end unit from {DS})
 select design_id, round(diameter * case unit when 'mm' then 1 when 'in' then 25.4 when 'cm' then 10 end, 6) diameter_mm, case when unit is null then 'UNKNOWN' else 'CONFIRMED' end unit_status from u""")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passlake.functions import vectors as v
 from passlake.operators import rules as r
 from passlake.operators import shape_rules as sr
-from passlake.plans.queries import BS, DS, OC, PS, PTS, PV, QUERIES, SQL, US, query, rounded
-from passlake.sources import feeds
+from passlake.plans.queries import BS, DS, OC, PS, PTS, PV, QUERIES, SQL, US, group_hash_sql, query, rounded
+from passlake.sources import feeds, files
+from passlake.sources.publish import IntegrityError, Library
 from passlake.streaming import jobs
 from passlake.views import pass_vectors, table, view
 
@@ -44,13 +46,61 @@ def _(s, d):
 
 
 @query("a10_evidence_library", f"""
-with h as (select project_id, count(*) n, sha256(string_agg(t, ',' order by t)) content from (select project_id, role || ':' || occurrence || ':' || design_id t from {OC}) group by 1)
-select 'stage-' || substr(sha256(o_orderkey::varchar), 1, 24) stage_id, coalesce(n, 0) n, coalesce(content, 'EMPTY') content from orders left join h on project_id = o_orderkey""")
+with h as {group_hash_sql(OC, 'project_id', ['role', 'occurrence', 'design_id'])}
+select 'stage-' || substr(sha256(o_orderkey::varchar), 1, 24) stage_id, coalesce(n, 0) n, coalesce(hash, 'EMPTY') content from orders left join h on project_id = o_orderkey""")
 def _(s, d):
     stages = table(s, d, "orders").select(F.col("o_orderkey").alias("project_id"))
     return feeds.evidence_library(stages, view(s, d, "occurrences"), "project_id", ["role", "occurrence", "design_id"])
 
 
+@query("a10_publish_library", """
+with s as (select 'stage-' || substr(sha256(o_orderkey::varchar), 1, 24) stage_id, o_orderkey from orders)
+select stage_id, count(l_orderkey) n, cast(2 as bigint) version from s left join lineitem on l_orderkey = o_orderkey and l_orderkey % 5 <> 0 group by 1""")
+def _(s, d):
+    stages, rows = table(s, d, "orders").select(F.col("o_orderkey").alias("project_id")), view(s, d, "occurrences")
+    rows = rows.join(stages, "project_id", "left_semi")
+    library, parts = Library(s, jobs.shared_folder(s, "library")), ["role", "occurrence", "design_id"]
+    for part in (rows, rows.where("project_id % 5 <> 0")):
+        feeds.publish_library(library, stages, part, "project_id", parts)
+    try:  # a rebuild that lost stages leaves the second version in force
+        feeds.publish_library(library, stages.where("project_id % 2 = 0"), rows, "project_id", parts)
+    except IntegrityError:
+        pass
+    return library.read("stages").select("stage_id", "n", F.lit(library.pointer()[0]).cast("long").alias("version"))
+
+
+@query("a1_file_manifest", """
+with f as (select 'source=' || source || '/bucket=' || doc_id % 16 folder, string_agg(doc_id || ' ' || n_chars || chr(10), '' order by doc_id, n_chars) t from documents group by 1)
+select folder, cast(octet_length(encode(t)) as bigint) length, sha256(t) sha256 from f""")
+def _(s, d):
+    root = jobs.shared_folder(s, "tree")
+    rows = table(s, d, "documents").select("source", (F.col("doc_id") % 16).alias("bucket"), "doc_id", "n_chars", F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string")).alias("line"))
+    dealt = rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id", "n_chars")
+    dealt.select("source", "bucket", "line").write.partitionBy("source", "bucket").text(root)
+    found = files.file_manifest(s, root, ["*.txt", "part-*", "*.txt", "none-*"])
+    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length", "sha256")
+
+
+_CONTENT = """case when doc_id % 13 = 0 then '{"id": "d' || doc_id || '", "n"' when doc_id % 11 = 0 then '{"n": ' || n_chars || '}'
+    else '{"id": "d' || doc_id || '", "n": ' || n_chars || '}' end"""
+
+
+@query("k1_resume_batch", f"""
+with b as (select source || '/' || doc_id path, doc_id, n_chars, sha256({_CONTENT}) sha256 from documents),
+p as (select *, case when doc_id % 3 = 0 and doc_id % 13 <> 0 then 'SKIP' else 'PROCESS' end action from b)
+select path, sha256, case when doc_id % 13 = 0 then 'FAILED' when doc_id % 11 = 0 then 'FAILED' else 'SUCCESS' end status,
+  case when doc_id % 13 = 0 then 'MALFORMED' when doc_id % 11 = 0 then 'MISSING: id' end error, case when doc_id % 13 <> 0 and doc_id % 11 <> 0 then n_chars end n from p where action = 'PROCESS'""")
+def _(s, d):
+    rows = table(s, d, "documents").select(F.expr("source || '/' || doc_id").alias("path"), "doc_id", F.expr(_CONTENT).alias("content")).withColumn("sha256", F.sha2("content", 256))
+    config = files.config_hash({"unit": "mm"})
+    before = rows.where("doc_id % 3 = 0 or doc_id % 5 = 0").select(
+        "path", "sha256", F.when(F.col("doc_id") % 3 == 0, config).otherwise("other").alias("config"), F.when(F.col("doc_id") % 13 == 0, "FAILED").otherwise("SUCCESS").alias("status"), F.lit(1).alias("run")
+    )
+    todo = files.plan_files(rows, before, config).where("action = 'PROCESS'").select("path")
+    told = files.read_bundles(rows.join(todo, "path", "left_semi").withColumn("content", F.col("content").cast("binary")), StructType().add("id", "string").add("n", "long"), ["id"])
+    return told.select("path", "sha256", "status", "error", F.col("bundle.n").alias("n"))
+
+
 @query("b24_redact", "select 'order-' || substr(sha256(o_orderkey || '|' || o_custkey), 1, 24) reference, o_orderstatus, o_totalprice from orders")
 def _(s, d):
     rows = table(s, d, "orders").withColumn("reference", feeds.reference_id("order", "o_orderkey", "o_custkey"))
@@ -283,6 +333,13 @@ def _(s, d):
     return jobs.stream_latest(jobs.file_stream(s, f"{d}/events.parquet"), jobs.shared_folder(s, "latest"), "user_id", ["ts", "event_id"], "event_type")
 
 
+@query("l2_latest_by_event_time", "select user_id, max(ts) ts, max_by(event_type, (ts, event_id)) event_type from events group by 1")
+def _(s, d):
+    rows = jobs.file_stream(s, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = jobs.latest_by_event_time(rows, jobs.shared_folder(s, "by-time"), "user_id", "ts", "event_id", "event_type", "2 days")
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("l3_stream_stale", """
 with h as (select user_id, min_by(event_type, (ts, event_id)) held from events group by 1)
 select event_id, user_id, event_type, held from events join h using (user_id) where event_type <> held""")

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passlake.operators.evidence import group_hash
+from passlake.sources.publish import Library
+
 #: Texts that stand for an unknown value, in lower case.
 UNKNOWN = ["", "-", "?", "n/a", "na", "none", "null", "tbd", "unknown"]
 #: Other names of inventory columns.
@@ -59,9 +62,15 @@ def write_project_tables(df: DataFrame, path: str, key: str) -> None:
 
 
 def evidence_library(stages: DataFrame, occurrences: DataFrame, key: str, parts: list[str]) -> DataFrame:
-    """Stages by an opaque id, with the number of their occurrences and a hash over these in order of their text."""
-    row = F.concat_ws(":", *[F.col(p).cast("string") for p in parts])
-    held = occurrences.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias("content"))
+    """stage_id (opaque), n and content of each stage: the number of its occurrences and an order-free hash over them, EMPTY without any."""
+    held = group_hash(occurrences, key, parts)
     return stages.select(key).join(held, key, "left").select(
-        reference_id("stage", key).alias("stage_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("content", F.lit("EMPTY")).alias("content")
+        reference_id("stage", key).alias("stage_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hash", F.lit("EMPTY")).alias("content")
     )
+
+
+def publish_library(library: Library, stages: DataFrame, occurrences: DataFrame, key: str, parts: list[str], note: str = "") -> int:
+    """Publishes the evidence library with its occurrences as one version: stage ids are unique, and each occurrence belongs to a stage. Returns its number."""
+    own = occurrences.withColumn("stage_id", reference_id("stage", key)).drop(key)
+    tables = {"stages": evidence_library(stages, occurrences, key, parts), "occurrences": own}
+    return library.publish(tables, [("occurrences", "stage_id", "stages", "stage_id")], {"stages": ["stage_id"]}, note)

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from passlake.operators import evidence as ev
+from passlake.operators import ranks
 from passlake.sources import files, publish
 from passlake.streaming import jobs
 
@@ -133,3 +135,33 @@ def test_folders_are_shared_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         jobs.shared_folder(Session(), "x")
+
+
+def test_templates_are_reused_or_created_once(spark):
+    rows = [(1, "top", 5), (1, "low", 6), (2, "low", 6), (2, "top", 5), (3, "low", 6), (3, "low", 6), (3, "top", 5), (4, None, None), (5, "low", 6)]
+    df = spark.createDataFrame(rows, "project_id long, role string, design_id long")
+    none = spark.createDataFrame([], "template string, template_id string")
+    first = {r.project_id: r for r in ev.register_templates(df.repartition(5), none).collect()}
+    assert first[1].template_id == first[2].template_id and len({first[k].template_id for k in (1, 3, 4, 5)}) == 4
+    assert {r.action for r in first.values()} == {"CREATED"} and not any(r.collision for r in first.values())
+    registry = spark.createDataFrame([(r.template, r.template_id) for r in first.values()] + [(first[5].template, "a-first")], "template string, template_id string")
+    second = {r.project_id: r for r in ev.register_templates(df.coalesce(1), registry).collect()}
+    assert {r.action for r in second.values()} == {"REUSED"} and second[5].template_id == "a-first" and second[1].template_id == first[1].template_id
+    assert ev.register_templates(df.limit(0), none).count() == 0
+
+
+def test_a_collision_of_templates_is_seen(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "a", 1)], "project_id long, role string, design_id long")
+    monkeypatch.setattr(ev, "assembly_template", lambda m: m.select("project_id").distinct().withColumn("template", F.when(F.col("project_id") < 3, "same").otherwise("other")))
+    got = {r.project_id: r.collision for r in ev.register_templates(df, spark.createDataFrame([], "template string, template_id string")).collect()}
+    assert got == {1: True, 2: True, 3: False}
+
+
+def test_weighted_percentiles_equal_unfolded_rows(spark):
+    import numpy as np
+
+    rows = [("a", 1.0, 3), ("a", 4.0, 2), ("a", 4.0, 1), ("b", 2.0, 10_000_000), ("b", 3.0, 1)]
+    df = spark.createDataFrame(rows, "k string, x double, n long")
+    got = {r.k: (r.q, r.h) for r in ranks.percentiles(df, ["k"], "x", {"q": 0.25, "h": 0.9}, weight="n").collect()}
+    flat = [1.0] * 3 + [4.0] * 3
+    assert got["a"] == (np.quantile(flat, 0.25), np.quantile(flat, 0.9)) and got["b"] == (2.0, 2.0)
