@@ -18,6 +18,8 @@ BROADCAST_ROWS = 10_000
 BROADCAST_KEYS = 200_000
 #: Numbers in arrays beside such keys (4 MB) up to which they are broadcast too.
 BROADCAST_NUMBERS = 1_000_000
+#: Bytes of rows that go to a Python function at once while a table is saved.
+BATCH_BYTES = 8 << 20
 #: Rows that a Python function turns into Python objects at once.
 SLICE_ROWS = 500
 
@@ -43,7 +45,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        with arrow_bytes(self.spark):
+            df.write.parquet(path)
         self.saved.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -56,17 +59,25 @@ class Workspace:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, Python functions get so many rows at once: for jobs on rows of many kilobytes each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it, Python functions get so many rows at once: for jobs on rows of many kilobytes each."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def arrow_bytes(spark: SparkSession, size: int = BATCH_BYTES):
+    """Within it, Python functions get a batch as soon as it has so many bytes, however long its rows are."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def arrow_map(found: Callable[[dict[str, list]], dict[str, list]], read: list[str], schema: pa.Schema):
     """A function for mapInArrow that makes `schema` rows of slices of each batch.
 
