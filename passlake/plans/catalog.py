@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passlake.plans import folds, lifecycle, models, recognition, rules, shapes, spatial, surface  # noqa: F401
+from passlake.plans import changes, folds, lifecycle, models, recognition, rules, shapes, spatial, surface  # noqa: F401
 from passlake.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
