@@ -11,19 +11,19 @@ from passlake.folders import shared_folder
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    near = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select("u", F.col("m").alias("v")))
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of all nodes (id): component is the smallest id reachable over edges (u, v), in any direction.
 
-    Ids are numbers or strings; loops and repeated edges are ignored, and a node without edges is its own component. Each round is written and
+    Joins are shuffled: files of sorted ids are so small for their rows that Spark would else broadcast millions of them. Ids are numbers or strings; loops and repeated edges are ignored, and a node without edges is its own component. Each round is written and
     read back, so a lost executor costs no recomputation; rounds grow with the logarithm of the longest path.
     """
     spark: SparkSession = edges.sparkSession
@@ -38,7 +38,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     for k in range(1, rounds + 1):
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == mark or not state[0]:
-            return nodes.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+            return nodes.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")).hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         mark = state
         now = save(_small_star(_large_star(now).distinct()).distinct(), k)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
