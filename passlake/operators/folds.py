@@ -119,10 +119,14 @@ def track_bends(bends: DataFrame) -> DataFrame:
 
 
 def pass_signatures(tracked: DataFrame, active: float = 1.0) -> DataFrame:
-    """flower_id, pass, signature, n_bends, n_active, total_angle of each pass. signature: track:tenths of the angle, in the order of u; active: bends of at least so many degrees."""
+    """flower_id, pass, signature, n_bends, n_active, total_angle of each pass. signature: track:tenths of the angle, in the order of u; active: bends of at least so many degrees.
+
+    total_angle adds up in that order too, and halves of its third digit go up by the double's value, not by its shortest text.
+    """
     tenths = F.floor(F.col("angle") * 10 + 0.5).cast("long")
     part = F.concat(F.lit("BZ"), F.lpad(F.col("track").cast("string"), 2, "0"), F.lit(":"), tenths.cast("string"))
-    rows = F.array_sort(F.collect_list(F.struct("u", "bend_id", part.alias("part"))))  # the bends of a pass
+    rows = F.array_sort(F.collect_list(F.struct("u", "bend_id", part.alias("part"), F.abs("angle").alias("size"))))  # the bends of a pass
+    total = F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["size"]) * 1000
     return tracked.groupBy("flower_id", "pass").agg(
-        F.array_join(rows["part"], ";").alias("signature"), F.count(F.lit(1)).alias("n_bends"), F.count_if(F.abs("angle") >= active).alias("n_active"), F.round(F.sum(F.abs("angle")), 3).alias("total_angle")
-    )
+        F.array_join(rows["part"], ";").alias("signature"), F.count(F.lit(1)).alias("n_bends"), F.count_if(F.abs("angle") >= active).alias("n_active"), total.alias("total")
+    ).select("flower_id", "pass", "signature", "n_bends", "n_active", ((F.floor("total") + F.when(F.col("total") - F.floor("total") >= 0.5, 1).otherwise(0)) / 1000).alias("total_angle"))
