@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from passlake.operators import folds
+from passlake.operators import lifecycle as lc
 from passlake.operators import matching as m
+from passlake.operators import recognition as rec
 from passlake.operators import spatial as sp
 
 
@@ -74,3 +76,36 @@ def test_total_angle_rounds_the_double(spark):
     rows = [(1, 1, "a", 0.1, 8.0605, 1), (1, 2, "a", 0.1, 0.0625, 1), (1, 2, "b", 0.2, -0.25, 2)]
     got = folds.pass_signatures(spark.createDataFrame(rows, "flower_id long, pass long, bend_id string, u double, angle double, track int")).orderBy("pass").collect()
     assert [r["total_angle"] for r in got] == [8.06, 0.313]
+
+
+def test_assertions_are_read_once(spark):
+    """The first label of a reviewer comes from a window over the case, not from a second pass with a join."""
+    k = F.col("id")
+    assertions = spark.range(6).select(
+        k.alias("assertion_id"), F.when(k < 5, 1).cast("long").alias("case_id"), F.when(k != 4, "r").alias("reviewer"), F.lit("match_design").alias("outcome"), F.lit(7).cast("long").alias("design_id"),
+        F.when(k == 0, 99).cast("long").alias("revision_id"), F.lit("seen").alias("reason"), F.lit(0.5).alias("confidence"),
+    )
+    cases = spark.createDataFrame([(1, 1)], "case_id long, dataset_id long")
+    datasets = spark.createDataFrame([(1, "DRAFT")], "dataset_id long, status string")
+    out = lc.judge_assertions(assertions, cases, datasets, spark.createDataFrame([(71, 7)], "revision_id long, design_id long"))
+    assert physical(out).count("Range (") == 1
+    got = {r["assertion_id"]: r["refused"] for r in out.collect()}
+    assert got == {0: "REVISION_OF_OTHER_DESIGN", 1: None, 2: "REVIEWER_REPEATED", 3: "REVIEWER_REPEATED", 4: "REVIEWER_OR_REASON_MISSING", 5: "CASE_NOT_FOUND"}
+
+
+def test_a_case_asks_in_one_cell(spark):
+    row = spark.createDataFrame([(10.0, 5.0, 900.2, "A", "R")], "diameter double, bore double, width double, role string, revision_id string")
+    asked = row.select(F.size(rec._every_key([15], [15], True, 1)).alias("n")).first()["n"]
+    held = row.select(F.size(rec._every_key([15], [15], False, 1)).alias("n")).first()["n"]
+    assert asked == 1 and held > 1
+
+
+def test_cells_reach_the_whole_tolerance(spark):
+    dice = [k * 0.25 for k in range(0, 41)]
+    cases = [(f"c{k}", x, None, None, None, "CONFIRMED", None, None, [0.0]) for k, x in enumerate(dice)]
+    held = [(f"r{k}", f"d{k}", x, None, None, None, False, None, [0.0]) for k, x in enumerate(dice)]
+    a = spark.createDataFrame(cases, "case_id string, diameter double, bore double, width double, role string, units string, hint string, alias string, shape array<double>")
+    b = spark.createDataFrame(held, "revision_id string, design_id string, diameter double, bore double, width double, role string, superseded boolean, aliases array<string>, shape array<double>")
+    got = [(r["case_id"], r["revision_id"]) for r in rec.candidate_pairs(a, b).select("case_id", "revision_id").collect()]
+    want = [(f"c{i}", f"r{j}") for i, x in enumerate(dice) for j, y in enumerate(dice) if abs(x - y) <= 1.0]
+    assert sorted(got) == sorted(want)
