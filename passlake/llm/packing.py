@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ END_ID = 2
 CACHE_CHUNKS = 500_000
 #: Texts that are encoded together.
 TEXTS = 256
+#: New chunks that are encoded as one text.
+TOGETHER = 10_000
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_IDS = f"{_PIECES}, ids array<int>"
 #: White space of Unicode, and the four separators, other than the space and the line feed.
@@ -45,7 +48,7 @@ def _load(path: str):
 
 def _bytes(ids: list[int]) -> bytes:
     """ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return np.array(ids, "<u4").tobytes() if len(ids) > 100 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=1)
@@ -65,10 +68,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = _load(path)
-        self.known: dict[str, bytes] = {}
+        feed = self._ids("\n")
+        self.known: dict[str, bytes] = {"\n": feed}
+        self.feed = struct.unpack("<I", feed)[0] if len(feed) == 4 else None
 
     def _ids(self, text: str) -> bytes:
-        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return _bytes(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     @staticmethod
     def chunks(text: str) -> list[str] | None:
@@ -82,13 +87,28 @@ class Encoder:
         known = self.known
         if len(known) > CACHE_CHUNKS:
             known.clear()
+            known["\n"] = self._ids("\n")
         cut = [self.chunks(t) if t else [] for t in texts]
-        new = list({c for parts in cut if parts for c in parts}.difference(known))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = _bytes(e.ids)
-        return [b"".join([known[c] for c in parts]) if parts is not None else self._ids(t) for t, parts in zip(texts, cut, strict=True)]
+        found = [list(map(known.get, parts or ())) for parts in cut]
+        missing = [[k for k, x in enumerate(ids) if x is None] for ids in found]
+        new = list({parts[k] for parts, at in zip(cut, missing, strict=True) for k in at})
+        for at in range(0, len(new), TOGETHER):
+            self._learn(new[at : at + TOGETHER])
+        for parts, ids, at in zip(cut, found, missing, strict=True):
+            for k in at:
+                ids[k] = known[parts[k]]
+        return [b"".join(ids) if parts is not None else self._ids(t) for t, parts, ids in zip(texts, cut, found, strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remembers the ids of chunks. They are encoded as one text, a line feed between two of them, which costs less than a text for each; where a feed is no id of its own, one by one."""
+        raw = self._ids("\n".join(new))
+        ids = np.frombuffer(raw, "<u4")
+        ends = (np.flatnonzero(ids == self.feed) * 4).tolist() if self.feed is not None else []
+        if len(ends) == len(new) - 1:
+            self.known.update(zip(new, [raw[x:y] for x, y in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True)], strict=True))
+            return
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[c] = _bytes(e.ids)
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
