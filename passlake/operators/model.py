@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -35,24 +32,28 @@ def fit_pca(rows: DataFrame, column: str, most: int = 32, variance: float = 0.99
 
 def sums_of_products(rows: DataFrame, x: list[str], y: list[str], group: str) -> DataFrame:
     """group, place, total: the sums of products of (1, x..., y...) for each group, place by place. Rows with nulls take no part."""
-    columns, width = [*x, *y], 1 + len(x) + len(y)
+    wide, width = _sums(rows, x, y, group), 1 + len(x) + len(y)
+    every = F.array(*[F.col(_place(i, j)) for i in range(width) for j in range(width)])
+    return wide.select("group", F.posexplode(every).alias("place", "total"))
+
+
+def _place(i: int, j: int) -> str:
+    return f"s{min(i, j)}_{max(i, j)}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            z = np.column_stack([np.ones(len(batch)), batch[columns].to_numpy(float)])
-            for key, at in batch.groupby("group").indices.items():
-                yield pd.DataFrame({"group": key, "place": np.arange(width * width), "total": (z[at].T @ z[at]).ravel()})
 
-    given = rows.select(F.col(group).cast("long").alias("group"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    return given.mapInPandas(run, "group long, place int, total double").groupBy("group", "place").agg(F.sum("total").alias("total"))
+def _sums(rows: DataFrame, x: list[str], y: list[str], group: str) -> DataFrame:
+    """A row for each group: the sums of products s0_0, s0_1, ..., those of one pair once. Aggregates of columns, so a group costs no call of Python and rows move as partial sums."""
+    names = [*x, *y]
+    given = rows.select(F.col(group).cast("long").alias("group"), *[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    terms = [F.lit(1.0), *[F.col(c) for c in names]]
+    return given.groupBy("group").agg(*[F.sum(terms[i] * terms[j]).alias(_place(i, j)) for i in range(len(terms)) for j in range(i, len(terms))])
 
 
-def _matrix(sums: DataFrame, width: int) -> np.ndarray:
-    """The matrix of sums over all groups: width x width numbers."""
-    found = np.zeros(width * width)
-    for r in sums.groupBy("place").agg(F.sum("total").alias("t")).collect():
-        found[r["place"]] = r["t"]
-    return found.reshape(width, width)
+def _matrices(sums: DataFrame, width: int, weights: list[Column]) -> list[np.ndarray]:
+    """The matrix of sums over all groups for each weight of groups, in one pass: width x width numbers each. A weight of 0 takes no part."""
+    places = [(i, j) for i in range(width) for j in range(i, width)]
+    row = sums.agg(*[F.sum(F.when(w != 0, F.col(_place(i, j)) * w)).alias(f"w{k}_{i}_{j}") for k, w in enumerate(weights) for i, j in places]).first()
+    return [np.array([[row[f"w{k}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(width)] for i in range(width)]) for k in range(len(weights))]
 
 
 def solve_ridge(z: np.ndarray, n_x: int, penalty: float) -> np.ndarray:
@@ -72,8 +73,8 @@ def squared_error(z: np.ndarray, w: np.ndarray) -> float:
 
 def fit_ridge(rows: DataFrame, x: list[str], y: list[str], penalty: float) -> np.ndarray:
     """Multi-output ridge of all rows."""
-    sums = sums_of_products(rows.withColumn("__one", F.lit(0)), x, y, "__one")
-    return solve_ridge(_matrix(sums, 1 + len(x) + len(y)), len(x), penalty)
+    sums = _sums(rows.withColumn("__one", F.lit(0)), x, y, "__one")
+    return solve_ridge(_matrices(sums, 1 + len(x) + len(y), [F.lit(1)])[0], len(x), penalty)
 
 
 def fit_ensemble(rows: DataFrame, x: list[str], y: list[str], group: str, members: int = MEMBERS, seed: int = SEED) -> tuple[float, list[np.ndarray]]:
@@ -83,20 +84,16 @@ def fit_ensemble(rows: DataFrame, x: list[str], y: list[str], group: str, member
     replacement, which needs no numbering of groups.
     """
     width = 1 + len(x) + len(y)
-    sums = sums_of_products(rows, x, y, group).persist()
-    try:
-        held = F.pmod(F.xxhash64(F.lit(seed), "group"), F.lit(5)) == 0
-        fit, check = _matrix(sums.where(~held), width), _matrix(sums.where(held), width)
-        errors = {p: squared_error(check, solve_ridge(fit, len(x), p)) for p in LAMBDAS}
-        penalty = min(LAMBDAS, key=lambda p: (errors[p], p))
-        out = []
-        for k in range(members):
-            u = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "group"), F.lit(1 << 30)) / float(1 << 30)
-            cdf = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, j + 1))) if j else np.exp(-1.0) for j in range(12)])
-            times = sum((F.when(u >= float(c), 1).otherwise(0) for c in cdf), F.lit(0))
-            out.append(solve_ridge(_matrix(sums.withColumn("total", F.col("total") * times), width), len(x), penalty))
-    finally:
-        sums.unpersist()
+    held = F.pmod(F.xxhash64(F.lit(seed), "group"), F.lit(5)) == 0
+    weights = [F.when(held, 0).otherwise(1), F.when(held, 1).otherwise(0)]
+    cdf = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, j + 1))) if j else np.exp(-1.0) for j in range(12)])
+    for k in range(members):
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "group"), F.lit(1 << 30)) / float(1 << 30)
+        weights.append(sum((F.when(u >= float(c), 1).otherwise(0) for c in cdf), F.lit(0)))
+    fit, check, *drawn = _matrices(_sums(rows, x, y, group), width, weights)
+    errors = {p: squared_error(check, solve_ridge(fit, len(x), p)) for p in LAMBDAS}
+    penalty = min(LAMBDAS, key=lambda p: (errors[p], p))
+    out = [solve_ridge(z, len(x), penalty) for z in drawn]
     return penalty, out
 
 

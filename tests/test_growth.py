@@ -109,3 +109,16 @@ def test_cells_reach_the_whole_tolerance(spark):
     got = [(r["case_id"], r["revision_id"]) for r in rec.candidate_pairs(a, b).select("case_id", "revision_id").collect()]
     want = [(f"c{i}", f"r{j}") for i, x in enumerate(dice) for j, y in enumerate(dice) if abs(x - y) <= 1.0]
     assert sorted(got) == sorted(want)
+
+
+def test_sums_of_products_are_columns(spark):
+    """A group cost a call of numpy and a frame of pandas in each batch; now no row goes to Python."""
+    from passlake.operators import model as md
+
+    rows = spark.range(40).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"), F.when(F.col("id") != 7, F.col("id") * 2.0).alias("y"))
+    found = md.sums_of_products(rows, ["x"], ["y"], "g")
+    assert "Pandas" not in physical(found)
+    got = {(r.group, r.place): r.total for r in found.collect()}
+    ids = [k for k in range(40) if k != 7]
+    want = {(g, 3 * i + j): float(sum((1, k, 2 * k)[i] * (1, k, 2 * k)[j] for k in ids if k % 3 == g)) for g in range(3) for i in range(3) for j in range(3)}
+    assert got == want
