@@ -122,3 +122,31 @@ def test_sums_of_products_are_columns(spark):
     ids = [k for k in range(40) if k != 7]
     want = {(g, 3 * i + j): float(sum((1, k, 2 * k)[i] * (1, k, 2 * k)[j] for k in ids if k % 3 == g)) for g in range(3) for i in range(3) for j in range(3)}
     assert got == want
+
+
+def test_templates_move_members_by_their_fields(spark):
+    """Each member's hash as 64 hex digits went through three shuffles; its fields do now, and what stands in a registry is told as before."""
+    from passlake.operators import evidence as ev
+
+    rows = [(1, "a", 5), (1, "b", 6), (2, "b", 6), (2, "a", 5), (3, None, 5)]
+    members = spark.createDataFrame(rows, "project_id long, role string, design_id long")
+    none = spark.createDataFrame([], "template string, template_id string")
+    found = ev.register_templates(members, none)
+    shuffles = [line for line in physical(found).split("\n") if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("m#" in line for line in shuffles) and any("role#" in line and "t#" in line for line in shuffles)
+    got = {r.project_id: r for r in found.collect()}
+    assert got[1].template_id == got[2].template_id != got[3].template_id and not any(r.collision for r in got.values())
+    assert {k: r.template for k, r in got.items()} == {r.project_id: r.template for r in ev.assembly_template(members).collect()}
+
+
+def test_a_canonical_shape_keeps_no_rotations(monkeypatch):
+    """A row of all rotations was a view, which kept them alive for each shape of a batch."""
+    import numpy as np
+    import pandas as pd
+
+    from passlake.functions import shapes as sh
+
+    held = []
+    monkeypatch.setattr(sh.F, "pandas_udf", lambda f, kind: lambda column: held.append(f(column)))
+    sh.canonical_closed(pd.Series([np.arange(64.0) % 7, None]))
+    assert held[0][0].base is None and len(held[0][0]) == 64 and held[0][1] is None
