@@ -207,11 +207,15 @@ def register_templates(members: DataFrame, registry: DataFrame) -> DataFrame:
     Ids follow from the hash, so projects of one run that share an assembly create one, and a second run creates none. collision: projects of this hash differ in
     a member; each (hash, member, times) must then stand in all projects of the hash. Repeated registry rows count once, with their least id.
     """
+    members = members.select("project_id", "role", "design_id").repartition("project_id")  # once, for hashes and times
     told = assembly_template(members)
     known = registry.groupBy("template").agg(F.min("template_id").alias("held"))
-    times = members.select("project_id", _member(["role", "design_id"]).alias("m")).groupBy("project_id", "m").agg(F.count(F.lit(1)).alias("k"))
-    projects = told.groupBy("template").agg(F.count(F.lit(1)).alias("projects"))
-    stands = times.join(told, "project_id").groupBy("template", "m", "k").agg(F.count(F.lit(1)).alias("c")).join(projects, "template")
+    times = members.groupBy("project_id", "role", "design_id").agg(F.count(F.lit(1)).alias("k"))
+    # Members stand by their fields and hashes as 32 bytes: hex strings of both were most of what moved.
+    short = told.select("project_id", F.unhex("template").alias("t"))
+    projects = short.groupBy("t").agg(F.count(F.lit(1)).alias("projects"))
+    stands = times.join(short.hint("merge"), "project_id").groupBy("t", "role", "design_id", "k").agg(F.count(F.lit(1)).alias("c")).join(projects.hint("merge"), "t")
+    stands = stands.select(F.lower(F.hex("t")).alias("template"), "c", "projects")
     clash = stands.groupBy("template").agg(F.max(F.col("c") < F.col("projects")).alias("collision"))
     out = told.join(known, "template", "left").join(clash, "template")
     fresh = F.concat(F.lit("tpl-"), F.substring("template", 1, 16))
