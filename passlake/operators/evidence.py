@@ -212,12 +212,12 @@ def register_templates(members: DataFrame, registry: DataFrame) -> DataFrame:
     known = registry.groupBy("template").agg(F.min("template_id").alias("held"))
     times = members.groupBy("project_id", "role", "design_id").agg(F.count(F.lit(1)).alias("k"))
     # Members stand by their fields and hashes as 32 bytes: hex strings of both were most of what moved.
-    short = told.select("project_id", F.unhex("template").alias("t"))
+    told = told.withColumn("t", F.coalesce(F.unhex("template"), F.col("template").cast("binary")))
+    short = told.select("project_id", "t")
     projects = short.groupBy("t").agg(F.count(F.lit(1)).alias("projects"))
     stands = times.join(short.hint("merge"), "project_id").groupBy("t", "role", "design_id", "k").agg(F.count(F.lit(1)).alias("c")).join(projects.hint("merge"), "t")
-    stands = stands.select(F.lower(F.hex("t")).alias("template"), "c", "projects")
-    clash = stands.groupBy("template").agg(F.max(F.col("c") < F.col("projects")).alias("collision"))
-    out = told.join(known, "template", "left").join(clash, "template")
+    clash = stands.groupBy("t").agg(F.max(F.col("c") < F.col("projects")).alias("collision"))
+    out = told.join(known, "template", "left").join(clash, "t")
     fresh = F.concat(F.lit("tpl-"), F.substring("template", 1, 16))
     return out.select("project_id", "template", F.coalesce("held", fresh).alias("template_id"), F.when(F.col("held").isNull(), "CREATED").otherwise("REUSED").alias("action"), "collision")
 
