@@ -150,3 +150,11 @@ def test_a_canonical_shape_keeps_no_rotations(monkeypatch):
     monkeypatch.setattr(sh.F, "pandas_udf", lambda f, kind: lambda column: held.append(f(column)))
     sh.canonical_closed(pd.Series([np.arange(64.0) % 7, None]))
     assert held[0][0].base is None and len(held[0][0]) == 64 and held[0][1] is None
+
+
+def test_usages_stay_dealt_over_all_partitions(spark):
+    """Lines and orders met in one merged partition, however many rows it held; now each shuffle partition is a task."""
+    from passlake.views import view
+
+    dealt = view(spark, "/root/testdata/sf0.001", "usages").groupBy(F.spark_partition_id().alias("p")).count()
+    assert dealt.count() == int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
