@@ -191,9 +191,13 @@ def group_hash(members: DataFrame, group: str, fields: list[str]) -> DataFrame:
 
     It is made of the count and the sums of the four quarters of the rows' hashes: partial sums merge, so a group of any size needs no list and no task of its own.
     """
-    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}")
-    sums = members.select(group, _member(fields).alias("h")).groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[part(k) for k in range(4)])
-    return sums.select(group, "n", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3")]), 256).alias("hash"))
+    number = lambda k: F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("long")
+    # A quarter has 60 bits; sums of its halves stay whole longs up to 2 ** 33 rows, where decimals would be an object for each row and sum.
+    halves = [F.sum(half).alias(f"{name}{k}") for k in range(4) for name, half in (("a", F.shiftright(f"q{k}", 30)), ("b", F.col(f"q{k}").bitwiseAND(F.lit(2**30 - 1))))]
+    hashed = members.select(group, _member(fields).alias("h")).select(group, *[number(k).alias(f"q{k}") for k in range(4)])
+    sums = hashed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *halves)
+    whole = [F.col(f"a{k}").cast("decimal(20,0)") * F.lit(2**30).cast("decimal(10,0)") + F.col(f"b{k}").cast("decimal(20,0)") for k in range(4)]
+    return sums.select(group, "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[x.cast("string") for x in whole]), 256).alias("hash"))
 
 
 def assembly_template(members: DataFrame) -> DataFrame:

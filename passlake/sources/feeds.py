@@ -61,16 +61,22 @@ def write_project_tables(df: DataFrame, path: str, key: str) -> None:
     df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def evidence_library(stages: DataFrame, occurrences: DataFrame, key: str, parts: list[str]) -> DataFrame:
-    """stage_id (opaque), n and content of each stage: the number of its occurrences and an order-free hash over them, EMPTY without any."""
-    held = group_hash(occurrences, key, parts)
+def evidence_library(stages: DataFrame, occurrences: DataFrame, key: str, parts: list[str], held: DataFrame | None = None) -> DataFrame:
+    """stage_id (opaque), n and content of each stage: the number of its occurrences and an order-free hash over them, EMPTY without any.
+
+    held: group_hash of these occurrences, where a caller has it already.
+    """
+    held = group_hash(occurrences, key, parts) if held is None else held
     return stages.select(key).join(held, key, "left").select(
         reference_id("stage", key).alias("stage_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hash", F.lit("EMPTY")).alias("content")
     )
 
 
-def publish_library(library: Library, stages: DataFrame, occurrences: DataFrame, key: str, parts: list[str], note: str = "") -> int:
-    """Publishes the evidence library with its occurrences as one version: stage ids are unique, and each occurrence belongs to a stage. Returns its number."""
+def publish_library(library: Library, stages: DataFrame, occurrences: DataFrame, key: str, parts: list[str], note: str = "", held: DataFrame | None = None) -> int:
+    """Publishes the evidence library with its occurrences as one version: stage ids are unique, and each occurrence belongs to a stage. Returns its number.
+
+    held: group_hash of these occurrences, where a caller has it already.
+    """
     own = occurrences.withColumn("stage_id", reference_id("stage", key)).drop(key)
-    tables = {"stages": evidence_library(stages, occurrences, key, parts), "occurrences": own}
+    tables = {"stages": evidence_library(stages, occurrences, key, parts, held), "occurrences": own}
     return library.publish(tables, [("occurrences", "stage_id", "stages", "stage_id")], {"stages": ["stage_id"]}, note)

@@ -59,9 +59,9 @@ class Library:
         held = {t: self.spark.read.schema(df.schema).parquet(self._path("versions", name, t)) for t, df in tables.items()}
         broken = []
         for table, column, other, target in references:
-            wanted = held[table].where(F.col(column).isNotNull()).select(F.col(column).alias("k"))
-            lost = wanted.join(held[other].select(F.col(target).alias("k")), "k", "left_anti")
-            if n := lost.count():
+            wanted = held[table].where(F.col(column).isNotNull()).groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+            lost = wanted.join(held[other].select(F.col(target).alias("k")).hint("merge"), "k", "left_anti")
+            if n := lost.agg(F.sum("n")).first()[0]:
                 broken.append(f"{table}.{column}: {n} rows without {other}.{target}")
         for table, columns in (keys or {}).items():
             null = held[table].where(" or ".join(f"`{c}` is null" for c in columns))

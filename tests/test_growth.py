@@ -158,3 +158,22 @@ def test_usages_stay_dealt_over_all_partitions(spark):
 
     dealt = view(spark, "/root/testdata/sf0.001", "usages").groupBy(F.spark_partition_id().alias("p")).count()
     assert dealt.count() == int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
+
+
+def test_group_hashes_are_summed_as_longs(spark):
+    """Sums of quarters were decimals, an object for each row and sum; halves of them are longs, and give the same text."""
+    import hashlib
+
+    from passlake.operators import evidence as ev
+
+    rows = spark.range(50).select((F.col("id") % 3).alias("g"), "id", F.when(F.col("id") % 4 != 0, "x").alias("role"))
+    found = ev.group_hash(rows, "g", ["role", "id"])
+    sums = [line for line in physical(found).split("\n") if "partial_sum" in line]
+    assert sums and not any("decimal" in line for line in sums)
+    want = {}
+    for g in range(3):
+        ids = range(g, 50, 3)
+        hashes = [hashlib.sha256(f"{'x' if k % 4 else '~'}:{k}".encode()).hexdigest() for k in ids]
+        totals = [sum(int(h[15 * k : 15 * k + 15], 16) for h in hashes) for k in range(4)]
+        want[g] = (len(ids), hashlib.sha256("|".join(str(x) for x in (len(ids), *totals)).encode()).hexdigest())
+    assert {r.g: (r.n, r.hash) for r in found.collect()} == want
