@@ -194,3 +194,40 @@ def test_boxes_of_a_hot_cell_are_not_paired(spark, monkeypatch):
 def test_boxes_without_size_have_no_gap(spark):
     same = spark.createDataFrame([(0, k, 1.0, 1.0, 1.0, 1.0) for k in (1, 2)], "drawing int, id long, min_x double, min_y double, max_x double, max_y double")
     assert sorted((r["id"], r["component"]) for r in sp.gap_components(same).collect()) == [(1, 1), (2, 2)]
+
+
+def test_parts_are_settled_in_their_batches(spark, monkeypatch):
+    """Only parts that lie in several batches go through rounds, and all components are as without parts."""
+    import numpy as np
+
+    from passlake.operators import graph
+
+    dice = np.random.default_rng(11)
+    rows = [(None if p == 0 else f"p{p}", f"{p}-{a}", f"{p}-{b}") for p in range(60) for a, b in dice.integers(0, 12, (8 if p else 90, 2)).tolist()]
+    edges = spark.createDataFrame(rows, "part string, u string, v string")
+    nodes = spark.createDataFrame([(f"{p}-{a}",) for p in range(60) for a in range(12)], "id string")
+    seen, real = [], graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda df: seen.append(df.select(F.split("u", "-")[0]).distinct().count()) or real(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {r.id: r.component for r in graph.components(nodes, edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 0 < seen[0] < 50
+    assert len(got) == 720 and got == {r.id: r.component for r in graph.components(nodes, edges.drop("part")).collect()}
+
+
+def test_topology_links_numbers_once(spark, monkeypatch):
+    """Names went through the rounds as text, once for each segment; profile a/b with vertex c also was vertex b/c of profile a."""
+    seen, real = [], sp.components
+    monkeypatch.setattr(sp, "components", lambda nodes, edges: seen.append((dict(edges.dtypes)["u"], edges.count())) or real(nodes, edges))
+    vertices = [("a/b", "c", 0.0, 0.0), ("a/b", "c", 5.0, 0.0), ("a/b", "d", 1.0, 0.0), ("a", "b/c", 0.0, 0.0), ("a", "b/d", 0.0, 0.0), ("a", None, 7.0, 7.0), ("e", "f", 1.0, 1.0)]
+    segments = [("a", k, "b/c", "b/d") for k in range(5)] + [("a", 5, None, "b/c"), ("a", 5, "b/c", "x"), ("e", 1, "f", "f")]
+    got = sp.validate_topology(
+        spark.createDataFrame(vertices, "profile string, id string, x double, y double"), spark.createDataFrame(segments, "profile string, id int, start string, end string")
+    ).collect()
+    assert sorted((r.profile, r.issue, r.n) for r in got) == [
+        ("a", "BAD_DEGREE", 3), ("a", "DUPLICATE_SEGMENT", 1), ("a", "MISSING_VERTEX", 2), ("a", "ZERO_LENGTH", 5),
+        ("a/b", "BAD_DEGREE", 2), ("a/b", "DISCONNECTED", 2), ("a/b", "DUPLICATE_VERTEX", 1), ("e", "ZERO_LENGTH", 1),
+    ]
+    assert seen == [("bigint", 4)]
