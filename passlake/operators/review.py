@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passlake.operators.spatial import box_join
+from passlake.operators.spatial import meeting_boxes
 from passlake.folders import shared_folder
 
 
@@ -75,11 +75,7 @@ def match_boxes(truth: DataFrame, found: DataFrame, cell: float = 4.0) -> DataFr
     """
     spark = truth.sparkSession
     root = shared_folder(spark, "matches")
-    box = ("min_x", "min_y", "max_x", "max_y")
-    a = truth.select("drawing", F.col("id").alias("truth_id"), *[F.col(c).alias(f"a_{c}") for c in box])
-    b = found.select("drawing", F.col("id").alias("found_id"), *[F.col(c).alias(f"b_{c}") for c in box])
-    near = box_join(truth, found, cell, "meets").select("drawing", F.col("outer_id").alias("truth_id"), F.col("inner_id").alias("found_id"))
-    pairs = near.join(a, ["drawing", "truth_id"]).join(b, ["drawing", "found_id"]).withColumn("iou", _iou("a_", "b_")).where("iou > 0").select("drawing", "truth_id", "found_id", "iou")
+    pairs = meeting_boxes(truth, found, cell).select("drawing", F.col("a_id").alias("truth_id"), F.col("b_id").alias("found_id"), _iou("a_", "b_").alias("iou")).where("iou > 0")
     pairs.write.parquet(f"{root}/pairs")
     left = spark.read.parquet(f"{root}/pairs")
     schema, turn = left.schema, 0
@@ -112,16 +108,16 @@ def quality_report(truth: DataFrame, found: DataFrame) -> DataFrame:
     f = found.select("drawing", F.col("id").alias("found_id"), F.col("role").alias("found_role"), "automatic", size("").alias("found_size"))
     good = F.coalesce(F.col("iou") >= 0.5, F.lit(False))
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
-    of_truth = t.join(pairs, ["drawing", "truth_id"], "left").join(f, ["drawing", "found_id"], "left")
     error = 100 * F.abs(F.try_divide(F.col("found_size") - F.col("true_size"), F.col("true_size")))
-    one = of_truth.agg(
-        F.avg(F.coalesce("iou", F.lit(0.0))).alias("mean_iou"), F.avg(flag(good)).alias("recall"), F.avg(F.when(good, flag(F.col("true_role") == F.col("found_role")))).alias("role_accuracy"),
-        F.avg(F.when(good, error)).alias("size_error_pct"),
+    both = t.withColumn("true", F.lit(True)).join(pairs.hint("merge"), ["drawing", "truth_id"], "left").join(f.hint("merge"), ["drawing", "found_id"], "full")
+    true = lambda x: F.when(F.col("true"), x)
+    one = both.agg(
+        F.avg(true(F.coalesce("iou", F.lit(0.0)))).alias("mean_iou"), F.avg(true(flag(good))).alias("recall"), F.avg(F.when(good, flag(F.col("true_role") == F.col("found_role")))).alias("role_accuracy"),
+        F.avg(F.when(good, error)).alias("size_error_pct"), F.avg(F.when(F.col("automatic"), flag(~good))).alias("false_claim_rate"),
     )
-    of_found = f.where("automatic").join(pairs, ["drawing", "found_id"], "left").agg(F.avg(flag(~good)).alias("false_claim_rate"))
     counts = truth.groupBy("drawing").agg(F.count(F.lit(1)).alias("a")).join(found.groupBy("drawing").agg(F.count(F.lit(1)).alias("b")), "drawing", "full")
     same = counts.agg(F.avg(flag(F.col("a").eqNullSafe(F.col("b")))).alias("count_accuracy"))
-    row = one.crossJoin(of_found).crossJoin(same)  # one row each
+    row = one.crossJoin(same)  # one row each
     metrics = row.unpivot([], list(TARGETS), "metric", "value")
     limit = F.create_map(*[F.lit(x) for k, (v, _) in TARGETS.items() for x in (k, v)])
     more = F.create_map(*[F.lit(x) for k, (_, up) in TARGETS.items() for x in (k, up)])

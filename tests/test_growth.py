@@ -231,3 +231,29 @@ def test_topology_links_numbers_once(spark, monkeypatch):
         ("a/b", "BAD_DEGREE", 2), ("a/b", "DISCONNECTED", 2), ("a/b", "DUPLICATE_VERTEX", 1), ("e", "ZERO_LENGTH", 1),
     ]
     assert seen == [("bigint", 4)]
+
+
+def test_boxes_that_meet_are_told_once(spark):
+    """A pair stood in each cell that both boxes cover, and all pairs were shuffled again to be told once; small tables were broadcast for their bytes."""
+    import numpy as np
+
+    from passlake.operators import review as rv
+
+    dice = np.random.default_rng(12)
+    corner = lambda: [float(v) for v in dice.integers(-12, 12, 2) / 2]
+    made = [(d, k, x, y, x + float(dice.integers(0, 20)) / 2, y + float(dice.integers(0, 20)) / 2) for k in range(60) for d, (x, y) in [(k % 2, corner())]]
+    spec = "drawing int, id long, min_x double, min_y double, max_x double, max_y double"
+    a, b = (spark.createDataFrame(rows, spec) for rows in (made[:30], made[30:]))
+    met = sp.box_join(a, b, 2.0, "meets")
+    assert "Broadcast" not in physical(met) and "Aggregate" not in physical(met)
+    want = [(p[0], p[1], q[1]) for p in made[:30] for q in made[30:] if p[0] == q[0] and all(p[2 + c] <= q[4 + c] and q[2 + c] <= p[4 + c] for c in (0, 1))]
+    assert want and sorted(tuple(r) for r in met.collect()) == sorted(want)
+
+    truth = spark.createDataFrame([(1, 1, "a", 0.0, 0.0, 2.0, 2.0), (1, 2, "b", 9.0, 0.0, 10.0, 4.0), (2, 3, "a", 0.0, 0.0, 1.0, 1.0)], spec.replace("id long", "id long, role string"))
+    found = spark.createDataFrame([(1, 7, "a", True, 0.0, 0.0, 2.0, 1.5), (1, 8, "c", False, 9.0, 0.0, 10.0, 5.0), (3, 9, "a", True, 0.0, 0.0, 1.0, 1.0)], spec.replace("id long", "id long, role string, automatic boolean"))
+    report = rv.quality_report(truth, found)
+    assert physical(report).count("ExistingRDD") == 4  # truth and found once for the boxes, once for the counts of drawings
+    assert {r.metric: (r.value, r.status) for r in report.collect()} == {
+        "count_accuracy": (0.333333, "FAIL"), "mean_iou": (0.516667, "FAIL"), "recall": (0.666667, "FAIL"), "role_accuracy": (0.5, "FAIL"),
+        "false_claim_rate": (0.5, "FAIL"), "size_error_pct": (12.5, "FAIL"),
+    }
