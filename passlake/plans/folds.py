@@ -20,6 +20,11 @@ BENDS = f"""select user_id as flower_id, cast(day(ts) as bigint) as pass, event_
     cast(floor((avg(value) - 20) * 1000000) as double) / 1000000 as angle from {{events}} group by 1, 2, 3"""
 
 
+#: The average of an order that no partition or task changes: angles are cut to whole millionths, where the last digit of a sum of doubles decides.
+_IN_ORDER = "transform(filter(array_sort(collect_list(struct(event_id, value))), x -> x.value is not null), x -> x.value)"
+ORDERED_BENDS = BENDS.replace("avg(value)", f"aggregate({_IN_ORDER}, cast(0.0 as double), (a, x) -> a + x) / nullif(count(value), 0)")
+
+
 def rows(s: SparkSession, d: str, sql: str) -> DataFrame:
     return s.sql(sql, events=table(s, d, "events"))
 
@@ -71,10 +76,10 @@ tracked as (select b.flower_id, pass, bend_id, u, angle, track from fold join b
 
 @query("d10_track_bends", f"{_TRACKS} select flower_id, pass, bend_id, u, angle, cast(track as integer) track from tracked")
 def _(s, d):
-    return folds.track_bends(rows(s, d, BENDS))
+    return folds.track_bends(rows(s, d, ORDERED_BENDS))
 
 
 @query("d10_pass_signatures", f"""{_TRACKS} select flower_id, pass, string_agg('BZ' || lpad(track::varchar, 2, '0') || ':' || cast(floor(angle * 10 + 0.5) as bigint), ';' order by u, bend_id) signature,
   count(*) n_bends, count(*) filter (abs(angle) >= 1) n_active, round(sum(abs(angle)), 3) total_angle from tracked group by flower_id, pass""")
 def _(s, d):
-    return folds.pass_signatures(folds.track_bends(rows(s, d, BENDS)))
+    return folds.pass_signatures(folds.track_bends(rows(s, d, ORDERED_BENDS)))

@@ -1,6 +1,8 @@
 """Ordered folds against plain Python, and the functions for SQL."""
 
 import collections
+import datetime
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -110,3 +112,16 @@ def test_sql_functions_equal_columns(spark):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "pl_" not in found._jdf.queryExecution().optimizedPlan().toString().replace("sql_rows", "")
     parts = spark.sql("with p as (select id, pl_points(shape) pts from sql_rows) select id, i, length from p, lateral pl_segments(pts)").collect()
     assert sorted(tuple(r) for r in parts) == [(1, 0, 5.0), (1, 1, 2.0), (4, 0, 0.0), (4, 1, 0.0)]
+
+
+def test_angles_hang_on_no_order_of_rows(spark, tmp_path):
+    """Three values whose sums differ in their last digit, in files of both orders: the one of event ids counts."""
+    from passlake.plans import folds as plans
+
+    values = [20.15, 127.12, 114.57]
+    angles = []
+    for name, step in (("up", 1), ("down", -1)):
+        rows = [(k, datetime.datetime(2024, 1, 2), 7, "click", v, '{"k": 50}') for k, v in enumerate(values)] + [(9, datetime.datetime(2024, 1, 2), 7, "click", None, '{"k": 50}')]
+        spark.createDataFrame(rows[::step], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / name / "events.parquet"))
+        angles.append(plans.rows(spark, str(tmp_path / name), plans.ORDERED_BENDS).first()["angle"])
+    assert angles == [math.floor(((values[0] + values[1] + values[2]) / 3 - 20) * 1000000) / 1000000] * 2
