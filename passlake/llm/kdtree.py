@@ -205,7 +205,8 @@ def top_k(
 
 
 def _meet(blocks: DataFrame, trees: DataFrame) -> DataFrame:
-    return blocks.join(trees, ["dim", "shard"]).sortWithinPartitions("dim", "shard")
+    """By shuffle, whatever the sizes that Spark expects: it knows the file of the blocks, not how often they are repeated, and would gather all copies in the driver to broadcast them."""
+    return blocks.hint("merge").join(trees, ["dim", "shard"]).sortWithinPartitions("dim", "shard")
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
